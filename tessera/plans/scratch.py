@@ -16,17 +16,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is set (tests), a new one that is removed at exit."""
     folder = spark.conf.get(SETTING, None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    if not _own:
         local = tempfile.mkdtemp(prefix=f"tessera-{os.getpid()}-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
-        folder = f"file://{local}"
-        spark.conf.set(SETTING, folder)
-    return folder.rstrip("/")
+        _own.append(f"file://{local}")
+    return _own[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
