@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Module and query of each operator.
 OPERATORS = {
+    "packing": "op1_packing",
+    "sharding": "op2_sharding",
     "exact_dedup": "op3_exact_dedup",
+    "toxicity": "op4_toxicity",
 }
 
 
