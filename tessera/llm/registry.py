@@ -10,6 +10,7 @@ OPERATORS = {
     "sharding": "op2_sharding",
     "exact_dedup": "op3_exact_dedup",
     "toxicity": "op4_toxicity",
+    "ngram_join": "op5_ngram_join",
 }
 
 
