@@ -36,8 +36,7 @@ def build(df: DataFrame, key: Column, bits: int) -> DataFrame:
     """``(block, bitmap)``, at most ``bits / 32768`` rows of 4 KB."""
     at = position(key, bits)
     return (
-        df.where(key.isNotNull())
-        .select(block_of(at).alias("block"), bit_in_block(at).alias("bit"))
+        df.select(block_of(at).alias("block"), bit_in_block(at).alias("bit"))
         .groupBy("block")
         .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     )

@@ -11,6 +11,8 @@ OPERATORS = {
     "exact_dedup": "op3_exact_dedup",
     "toxicity": "op4_toxicity",
     "ngram_join": "op5_ngram_join",
+    "chat_format": "op7_chat_format",
+    "pii": "op8_pii",
 }
 
 
