@@ -157,11 +157,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     marked = docs.withColumn("_digest", sha256(normalised(F.col(text_col))))
     marked = bitmap.probe(marked, F.col("_digest"), bitmap.build(pairs, F.col("digest"), HIT_BITS), HIT_BITS, "_maybe")
     touched = marked.where("_maybe")
-    match = touched[id_col].eqNullSafe(pairs["id"]) & (touched["_digest"] == pairs["digest"])
-    free = marked.where("not _maybe").unionByName(touched.join(pairs, match, "left_anti"))
-    repeated = pairs.where("stay > 0")
+    match = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone"))
+    names = [F.col("id").alias("_gone_id"), F.col("digest").alias("_gone")]
+    free = marked.where("not _maybe").unionByName(touched.join(pairs.select(*names), match, "left_anti"))
+    repeated = pairs.where("stay > 0").select(*names)
     if not repeated.isEmpty():
-        match = touched[id_col].eqNullSafe(repeated["id"]) & (touched["_digest"] == repeated["digest"])
         free = free.unionByName(touched.join(repeated, match, "left_semi").dropDuplicates([id_col, "_digest"]))
     return free.drop("_digest", "_maybe")
 

@@ -291,7 +291,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     found = near_duplicates(docs, id_col, text_col, k, threshold)
     gone = stage(found.where("id <> component_id").select("id").distinct(), "gone")
     marked = bitmap.probe(docs, F.col(id_col), bitmap.build(gone, F.col("id"), SET_BITS), SET_BITS, "_maybe")
-    touched = marked.where("_maybe").join(gone, F.col(id_col) == gone["id"], "left_anti")
+    touched = marked.where("_maybe").join(gone.select(F.col("id").alias("_gone_id")), F.col(id_col) == F.col("_gone_id"), "left_anti")
     return marked.where("not _maybe").unionByName(touched).drop("_maybe")
 
 

@@ -219,7 +219,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_doc = held.join(again, ["kind", "unit"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), "attempt"))).alias("_attempts"))
     by_doc = stage(by_doc, "attempts")
     flagged = bitmap.probe(docs, F.col(id_col), bitmap.build(by_doc, F.col("_id"), ID_BITS), ID_BITS, "_maybe")
-    touched = flagged.where("_maybe").join(by_doc, flagged[id_col].eqNullSafe(by_doc["_id"]), "left").drop("_id")
+    touched = flagged.where("_maybe").join(by_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     both = flagged.where("not _maybe").withColumn("_attempts", none).unionByName(touched)
     return both.withColumn(text_col, rewritten(F.col(text_col), F.col("_attempts"), key)).drop("_maybe", "_attempts")
 

@@ -13,6 +13,7 @@ OPERATORS = {
     "ngram_join": "op5_ngram_join",
     "chat_format": "op7_chat_format",
     "pii": "op8_pii",
+    "line_dedup": "op10_line_dedup",
 }
 
 
