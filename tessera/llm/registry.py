@@ -11,8 +11,10 @@ OPERATORS = {
     "exact_dedup": "op3_exact_dedup",
     "toxicity": "op4_toxicity",
     "ngram_join": "op5_ngram_join",
+    "sentencepiece_viterbi": "op6_sentencepiece",
     "chat_format": "op7_chat_format",
     "pii": "op8_pii",
+    "topk_mtree": "op9_topk",
     "line_dedup": "op10_line_dedup",
 }
 
