@@ -13,7 +13,8 @@ shingles of one corpus of n meet with probability n^2 / 2^65). Two link when
    size, position and count filters work on groups.
 4. *Stars.* In each group and in each long prefix list, all are verified against
    one leader first, and linked classes are merged into components. A hot list
-   of near copies is thereby settled by as many checks as it has members.
+   of near copies is thereby settled by as many checks as it has members; while
+   long lists stay open to many pairs, further leaders follow.
 5. *Rest.* Group pairs that may still join different components are filtered by
    size, position and number of shared prefix shingles, expanded into their
    member pairs, and verified. No candidate between two components is left out.
@@ -36,9 +37,10 @@ from tessera.plans.scratch import stage
 
 ORDER_BUCKETS = 1 << 19
 #: Lists of more groups than this are first compared with a leader.
-LONG_LIST, STAR_ROUNDS = 8, 3
+LONG_LIST, STAR_ROUNDS = 16, 4
 #: Bits of the filter that picks the texts whose sets are needed: 4 MB.
 SET_BITS = 1 << 25
+PAIR_BITS = 1 << 22
 WORD_CACHE = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -172,6 +174,10 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFr
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
+    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
+    # Only sets that a fixed-size filter of the pairs' ends lets through are shuffled.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"))
+    sets = bitmap.probe(sets, F.col("sig"), bitmap.build(ends, F.col("end"), PAIR_BITS), PAIR_BITS, "_maybe").where("_maybe")
     a = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
@@ -211,25 +217,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     lists = stage(entries.join(shared, "token").select("token", "gid", "n", "pos", "groups"), "lists")
 
     several = members.where("m > 1")
-    concerned = lists.select("gid").distinct()
-    wanted = members.join(concerned, "gid", "left_semi").unionByName(several).select("sig", "id").distinct()
-    sets = stage(_sets_of(docs, id_col, text_col, k, wanted), "sets")
-
-    stars = several.where("sig <> gid").select(F.col("gid").alias("a"), F.col("sig").alias("b"))
+    concerned = _candidate_groups(lists, threshold).union(lists.where(f"groups > {LONG_LIST}").select("gid")).union(several.select("gid"))
+    concerned = stage(concerned.distinct(), "concerned")
+    lists = stage(lists.join(concerned, "gid", "left_semi"), "lists")
+    sets = stage(_sets_of(docs, id_col, text_col, k, members.join(concerned, "gid", "left_semi").select("sig", "id")), "sets")
+
+    inner = several.where("sig <> gid").select(F.col("gid").alias("a"), F.col("sig").alias("b"))
+    hot = stage(lists.where(f"groups > {LONG_LIST}").withColumn("component", F.col("gid")), "hot")
+    stars = inner.unionByName(_star_pairs(hot, 0, threshold))
     links = stage(_verified(stars, sets, threshold), "links")
     components = connected_components(links, "a", "b")
-    for turn in range(STAR_ROUNDS):
-        now = _labelled(lists.where(f"groups > {LONG_LIST}"), components, "gid")
-        # Lists of one component are settled; the others get another leader each turn.
-        open_ = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "n", "pos", "component")).alias("lead"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        found = now.alias("r").join(open_.select("token", "lead.*").alias("l"), F.expr("l.token = r.token and l.component <> r.component and " + _may_link(threshold)))
-        pairs = stage(found.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct(), "stars")
-        if pairs.isEmpty():
+    for turn in range(1, STAR_ROUNDS):
+        hot = _labelled(hot.drop("component"), components, "gid")
+        if not _still_wide(hot):
             break
-        links = stage(links.unionByName(_verified(pairs, sets, threshold)), "links")
+        links = stage(links.unionByName(_verified(_star_pairs(hot, turn, threshold), sets, threshold)), "links")
         components = connected_components(links, "a", "b")
 
-    rest = _remaining(lists, members, components, threshold)
+    rest = _remaining(lists, members.join(concerned, "gid", "left_semi"), components, threshold)
     links = stage(links.unionByName(_verified(rest, sets, threshold)), "links")
     components = connected_components(links, "a", "b")
     return described.join(components, F.col("sig") == F.col("node"), "left").select(
@@ -237,6 +242,43 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     )
 
 
+def _candidate_groups(lists: DataFrame, threshold: int) -> DataFrame:
+    """``gid`` of the groups that short lists alone cannot clear.
+
+    Shared shingles are counted over the short lists; a pair may share each entry
+    that both have in long ones, so these are added before the count filter. Groups
+    of long lists are all concerned anyway.
+    """
+    short = lists.where(f"groups <= {LONG_LIST}")
+    pairs = short.alias("l").join(short.alias("r"), F.expr("l.token = r.token and l.gid < r.gid and " + _size_fits(threshold)))
+    counted = pairs.groupBy(F.col("l.gid").alias("g"), F.col("r.gid").alias("h")).agg(F.count(F.lit(1)).alias("common"), F.max("l.n").alias("p"), F.max("r.n").alias("q"))
+    in_long = lists.where(f"groups > {LONG_LIST}").groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
+    counted = counted.join(in_long.select(F.col("gid").alias("g"), F.col("k").alias("kg")), "g", "left").join(in_long.select(F.col("gid").alias("h"), F.col("k").alias("kh")), "h", "left")
+    most = f"common + least(coalesce(kg, 0), coalesce(kh, 0)) + {_behind(threshold)}"
+    kept = counted.where(f"{100 + threshold} * ({most}) >= {threshold} * (p + q)")
+    return kept.select(F.explode(F.array("g", "h")).alias("gid"))
+
+
+def _behind(threshold: int) -> str:
+    """SQL over p and q (set sizes): the most shingles that two groups can share behind their prefixes."""
+    return f"greatest(({threshold} * p + 99) div 100 - 1, ({threshold} * q + 99) div 100 - 1)"
+
+
+def _star_pairs(hot: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of a leader of each long list and the groups of other components in it; another leader each turn."""
+    lead = hot.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "n", "pos", "component")).alias("lead"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    found = hot.alias("r").join(lead.select("token", "lead.*").alias("l"), F.expr("l.token = r.token and l.component <> r.component and " + _may_link(threshold)))
+    return found.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct()
+
+
+def _still_wide(hot: DataFrame) -> bool:
+    """Whether the long lists would still give many more pairs between components than they have entries."""
+    sizes = hot.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    lists = sizes.groupBy("token").agg(F.sum("c").alias("m"), F.max("c").alias("top"))
+    row = lists.agg(F.sum(F.expr("(m - top) * m")).alias("pairs"), F.sum("m").alias("entries")).first()
+    return (row["pairs"] or 0) > 4 * (row["entries"] or 0)
+
+
 def _labelled(df: DataFrame, components: DataFrame, key: str) -> DataFrame:
     return stage(df.join(components.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", F.col(key))), "labelled")
 
@@ -263,9 +305,8 @@ def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame, thre
     )
     # `common` counts all shared prefix shingles, and no more can follow than the longer rest behind a prefix.
     counted = counted.groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"), F.max("after").alias("after"), F.max("p").alias("p"), F.max("q").alias("q"))
-    behind = f"greatest(p - (p - ({threshold} * p + 99) div 100 + 1), q - (q - ({threshold} * q + 99) div 100 + 1))"
     need = f"{threshold} * (p + q)"
-    kept = counted.where(f"{100 + threshold} * after >= {need} and {100 + threshold} * (common + {behind}) >= {need}").select("g", "h")
+    kept = counted.where(f"{100 + threshold} * after >= {need} and {100 + threshold} * (common + {_behind(threshold)}) >= {need}").select("g", "h")
     kept = stage(kept, "pairs")
     m = labelled.select("gid", "sig", "component")
     left, right = m.select(F.col("gid").alias("g"), F.col("sig").alias("a"), F.col("component").alias("ca")), m.select(F.col("gid").alias("h"), F.col("sig").alias("b"), F.col("component").alias("cb"))
