@@ -32,7 +32,7 @@ MALE = "Mr|Herr|Señor|Sr|Monsieur|Господин|г-н|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Госпожа|г-жа|Κυρία"
 NEUTRAL = "Dr|Prof"
 _ALNUM, _NAME = r"\p{L}\p{N}", r"\p{Lu}[\p{L}'’\-]+"
-#: In order of precedence; each stands for itself at any place of a text.
+#: Each stands for itself at any place of a text; no two kinds match the same string.
 PATTERNS = {
     "email": rf"(?<![{_ALNUM}._%+\-])[{_ALNUM}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])(?!\.\d)",
@@ -43,7 +43,16 @@ PATTERNS = {
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d])",
     "person": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What an entity of each kind starts with. Checked once at the start of a word, so that most places of a text cost one comparison.
+STARTS = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "secret": "(?=[0-9a-fA-F]{32})", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "person": "(?=[MHSDPFΚГг])"}
+ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"{STARTS[k]}(?:{PATTERNS[k]})" for k in ("ip", "iban", "secret", "ssn", "phone", "card", "person", "email")) + ")"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 #: Beginnings, middles and endings of names, by script; endings by gender.
 NAMES = {
     "latin": (["Ba", "Ce", "Da", "El", "Fa", "Go", "Ha", "Jo", "Ka", "Le", "Ma", "Ne", "Or", "Pa", "Ro", "Sa"], ["bi", "co", "dra", "fi", "le", "mo", "na", "ri", "sa", "ta", "ve", "zo", "lin", "mar", "ren", "tor"], {"f": "a", "m": "n", "x": "el", "s": "er"}),
@@ -99,7 +108,7 @@ def _like(s: Column, h: Column) -> Column:
     """Digits for digits and lower-case letters for letters, from the hash."""
 
     def char(c: Column, i: Column) -> Column:
-        drawn = (_byte(h, i) + F.floor(i / 31).cast("int") * 7)
+        drawn = _byte(h, i) + F.floor(i / 31).cast("int") * 7
         return F.when(F.rlike(c, F.lit("[0-9]")), (drawn % 10).cast("string")).when(F.rlike(c, F.lit(r"\p{L}")), F.char(drawn % 26 + 97)).otherwise(c)
 
     return F.array_join(F.transform(F.split(s, ""), char), "")
@@ -127,21 +136,31 @@ def _mod97(iban: Column) -> Column:
 
 def surrogate(kind: Column, unit: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a unit, in canonical form."""
-    h = F.sha2(F.encode(F.concat_ws("\x1f", F.lit(key), kind, unit, attempt.cast("string")), "utf-8"), 256)
-    digits = _like(unit, h)
-    head = F.left(digits, F.length(digits) - 1)
-    checked = F.concat(head, F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: _luhn(F.concat(head, d)))[0])
-    body = F.upper(_like(F.substr(unit, F.lit(5)), h))
-    rest = 98 - _mod97(F.concat(F.left(unit, F.lit(2)), F.lit("00"), body))
-    valid = F.concat(F.left(unit, F.lit(2)), F.lpad(rest.cast("string"), 2, "0"), body)
-    iban = F.when(_mod97(unit) == 1, valid).otherwise(F.concat(F.left(unit, F.lit(2)), _like(F.substr(unit, F.lit(3), F.lit(2)), h), body))
+    hashed = F.sha2(F.encode(F.concat_ws("\x1f", F.lit(key), kind, unit, attempt.cast("string")), "utf-8"), 256)
+    return let(hashed, lambda h: _drawn(kind, unit, h))
+
+
+def _drawn(kind: Column, unit: Column, h: Column) -> Column:
+    def card(digits: Column) -> Column:
+        head = F.left(digits, F.length(digits) - 1)
+        return let(head, lambda x: F.concat(x, F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: _luhn(F.concat(x, d)))[0]))
+
+    country, check = F.left(unit, F.lit(2)), F.substr(unit, F.lit(3), F.lit(2))
+
+    def iban(body: Column) -> Column:
+        rest = 98 - _mod97(F.concat(country, F.lit("00"), body))
+        valid = F.concat(country, F.lpad(rest.cast("string"), 2, "0"), body)
+        return F.when(_mod97(unit) == 1, valid).otherwise(F.concat(country, _like(check, h), body))
+
     octet = lambda i: (_byte(h, F.lit(i)) % 254 + 1).cast("string")
-    email = F.concat(_like(F.substring_index(unit, "@", 1), h), F.lit("@mail"), (_byte(h, F.lit(29)) * 256 + _byte(h, F.lit(30))).cast("string"), F.lit(".example.net"))
+    domain = (_byte(h, F.lit(29)) * 256 + _byte(h, F.lit(30))).cast("string")
+    email = F.concat(_like(F.substring_index(unit, "@", 1), h), F.lit("@mail"), domain, F.lit(".example.net"))
     out = F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
-    out = out.when(kind == "iban", iban).when(kind == "secret", _hex_like(unit, h)).when((kind == "card") & _luhn(unit), checked)
+    out = out.when(kind == "iban", let(F.upper(_like(F.substr(unit, F.lit(5)), h)), iban)).when(kind == "secret", _hex_like(unit, h))
+    out = out.when((kind == "card") & _luhn(unit), let(_like(unit, h), card))
     for part in "fmxs":
         out = out.when(kind == f"name_{part}", _name(unit, part, h))
-    return out.otherwise(digits)
+    return out.otherwise(_like(unit, h))
 
 
 def _in_format(e: Column, s: Column) -> Column:
@@ -158,10 +177,13 @@ def _in_format(e: Column, s: Column) -> Column:
 
 
 def _replacement(e: Column, attempts: Column, key: str) -> Column:
-    kind = kind_of(e)
-    drawn = F.transform(
-        units_of(e, kind), lambda u: surrogate(u["kind"], u["unit"], F.coalesce(F.element_at(attempts, F.concat_ws(":", u["kind"], u["unit"])), F.lit(0)), key)
-    )
+    attempt = lambda u: F.coalesce(F.element_at(attempts, F.concat_ws(":", u["kind"], u["unit"])), F.lit(0))
+    drawn = lambda kind: F.transform(units_of(e, kind), lambda u: surrogate(u["kind"], u["unit"], attempt(u), key))
+    return let(kind_of(e), lambda kind: let(drawn(kind), lambda d: _shown(e, kind, d)))
+
+
+def _shown(e: Column, kind: Column, drawn: Column) -> Column:
+    """The surrogates in the form of the entity."""
     words = F.split(e, " ")
     shown = F.transform(drawn, lambda s, i: F.when(F.upper(words[i + 1]) == words[i + 1], F.upper(s)).otherwise(F.initcap(s)))
     person = F.concat_ws(" ", words[0], F.array_join(shown, " "))
@@ -170,7 +192,7 @@ def _replacement(e: Column, attempts: Column, key: str) -> Column:
         F.when(kind == "person", person)
         .when(kind == "email", F.when((F.upper(e) == e), F.upper(first)).otherwise(first))
         .when(kind == "ip", first)
-        .otherwise(_in_format(e, first))
+        .otherwise(let(first, lambda s: _in_format(e, s)))
     )
 
 
@@ -180,9 +202,12 @@ def entities(text: Column) -> Column:
 
 def rewritten(text: Column, attempts: Column, key: str = KEY) -> Column:
     """The text with each entity replaced; what stands between stays as it is."""
-    found, between = entities(text), F.split(text, ENTITY, -1)
-    parts = F.transform(found, lambda e, i: F.concat(between[i], _replacement(e, attempts, key)))
-    return F.when(F.size(found) > 0, F.concat(F.array_join(parts, ""), F.element_at(between, -1))).otherwise(text)
+    def joined(found: Column) -> Column:
+        between = F.split(text, ENTITY, -1)
+        shown = lambda b: F.transform(found, lambda e, i: F.concat(b[i], _replacement(e, attempts, key)))
+        return let(between, lambda b: F.concat(F.array_join(shown(b), ""), F.element_at(b, -1)))
+
+    return let(entities(text), lambda found: F.when(F.size(found) > 0, joined(found)).otherwise(text))
 
 
 def redrawn(units: DataFrame, key: str = KEY) -> DataFrame:
@@ -226,5 +251,5 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Every document with its surrogates in place; ``changed`` says whether any was needed."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.coalesce(entities(F.col("text")), F.array())).alias("n_entities"))
-    return replace_pii(docs).withColumn("changed", F.col("n_entities") > 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("text").alias("source_text"))
+    return replace_pii(docs).select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("source_text"))).alias("changed"))
