@@ -28,16 +28,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def tokens_of(line: Column) -> Column:
-    """Tokens between ASCII white space, those with a digit as ``<*>``."""
+    """Tokens between ASCII white space, those with a digit as ``<*>``; of a line that is not blank and neither starts nor ends with white space."""
     masked = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line)
-    return F.filter(F.split(masked, SPACE), lambda t: t != "")
+    return F.split(masked, SPACE)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, copy, at, leaf, form, tokens`` of every line with a token; ``copy`` tells rows apart that repeat an id."""
     text = F.col(text_col)
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    rows = rows.select("id", "copy", "at", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where("line <> ''")
+    rows = rows.select("id", "copy", "at", tokens_of(F.col("line")).alias("tokens"))
     # Hashes stand for leaves and forms: texts of lines are not shuffled.
     return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))).withColumn("form", F.xxhash64("tokens"))
 
@@ -46,11 +47,9 @@ def _constant(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t != FIELD))
 
 
-def general_templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+def general_templates(lines: DataFrame) -> DataFrame:
     """``leaf, places`` of the leaves whose lines mostly agree; a place is a token or null."""
-    near = bitmap.probe(lines, F.col("leaf"), bitmap.build(leaves, F.col("leaf"), FILTER_BITS), FILTER_BITS, "_open").where("_open")
-    once = near.join(leaves, "leaf", "left_semi").select("leaf", "id", F.posexplode("tokens").alias("place", "token"))
-    counts = once.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = lines.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     token = F.when((F.col("top.n") * 2 > F.col("all")) & (F.col("top.token") != FIELD), F.col("top.token"))
     # As many places as the lines of a leaf have tokens.
@@ -66,10 +65,11 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = stage(lines.select("id", "copy", "at", "leaf", "form", _constant(F.col("tokens")).alias("constant")), "lines")
     leaves = rows.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("id").alias("c"), F.max("id").alias("d"))
     leaves = stage(leaves.where("a <> b and not (c <=> d)").select("leaf"), "leaves")
-    general = stage(general_templates(lines, leaves), "general")
+    near = bitmap.probe(lines, F.col("leaf"), bitmap.build(leaves, F.col("leaf"), FILTER_BITS), FILTER_BITS, "_open").where("_open")
+    near = stage(near.join(leaves, "leaf", "left_semi").select("leaf", "form", "tokens"), "open")
+    general = stage(general_templates(near), "general")
     if general.isEmpty():
         return rows.select("id", "copy", "at", F.col("form").alias("template"), "constant")
-    near = bitmap.probe(lines, F.col("leaf"), bitmap.build(general, F.col("leaf"), FILTER_BITS), FILTER_BITS, "_open").where("_open")
     agrees = F.forall(F.arrays_zip("places", "tokens"), lambda x: x["places"].isNull() | (x["places"] == x["tokens"]))
     joined = near.join(general, "leaf").where(agrees)
     fits = stage(joined.select("form", F.xxhash64(F.lit("general"), "leaf").alias("general"), F.size(F.filter("places", lambda t: t.isNotNull())).alias("fixed")).distinct(), "fits")
