@@ -39,13 +39,13 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\w+])\+\d{7,15}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![ \-]?\d)|(?<![\w+])\+\d{7,15}(?!\d)",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d])",
     "person": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: What an entity of each kind starts with. Checked once at the start of a word, so that most places of a text cost one comparison.
 STARTS = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "secret": "(?=[0-9a-fA-F]{32})", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "person": "(?=[MHSDPFΚГг])"}
-ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"{STARTS[k]}(?:{PATTERNS[k]})" for k in ("ip", "iban", "secret", "ssn", "phone", "card", "person", "email")) + ")"
+ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"{STARTS[k]}(?:{PATTERNS[k]})" for k in ("ip", "iban", "secret", "ssn", "card", "phone", "person", "email")) + ")"
 
 
 def let(value: Column, use) -> Column:

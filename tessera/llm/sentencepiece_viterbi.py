@@ -23,6 +23,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,11 +249,10 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "text", model: s
     kept = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     @F.pandas_udf("string")
-    def text(ids: Iterator) -> Iterator:
+    def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in ids:
             yield batch.map(lambda k: None if k is None else _encoder(kept.value).decode(k))
 
-    text.__annotations__.clear()
     return encoded.withColumn(out, text(F.col(ids_col)))
 
 

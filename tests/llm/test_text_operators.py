@@ -1,0 +1,250 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chat_format, line_dedup, pii, topk_mtree, toxicity
+from tessera.llm import sentencepiece_viterbi as sp
+
+# Toxicity ------------------------------------------------------------------------------
+
+
+def toxic_corpus(n=400):
+    rng = random.Random(0)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        t = rng.choices(words, k=60)
+        if i % 5 == 0:
+            for _ in range(4):
+                t[rng.randrange(60)] = rng.choice(["zorgle", "zorgly", "krump"])
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 5 == 0)))
+    return rows, labels
+
+
+def test_held_out_rows_are_told_apart(spark, docs):
+    rows, labels = toxic_corpus()
+    model = toxicity.train(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    df = toxicity.with_score(docs(rows), model).select("doc_id", "score", toxicity.held_out().alias("h")).toPandas()
+    held = df[df["h"]]
+    right = (held["score"] >= 0.7) == (held["doc_id"] % 5 == 0)
+    assert right.mean() > 0.95 and df["score"].between(0, 1).all() and 0.2 < df["h"].mean() < 0.5
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark, docs):
+    rows, labels = toxic_corpus(200)
+    L = spark.createDataFrame(labels, "doc_id long, toxic int")
+    flipped = L.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.with_score(docs(rows), toxicity.train(docs(rows), x)).select("doc_id", "score").toPandas() for x in (L, flipped))
+    assert a.equals(b)
+
+
+def test_without_labels_and_hostile_rows(spark, docs, cases):
+    none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs(cases), none)
+    assert {r["score"] for r in toxicity.with_score(docs(cases), model).collect()} == {0.0}
+    rows, labels = toxic_corpus(200)
+    model = toxicity.train(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.with_score(docs(cases), model)
+    assert got.count() == len(cases) and got.where("score is null or isnan(score)").count() == 0
+    assert toxicity.with_score(docs([]), model).count() == 0
+
+
+def test_isotonic_is_the_least_squares_fit():
+    at, rate = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5, 5]), np.array([0, 1, 0, 1, 1, 0]))
+    assert list(rate) == [0.0, 0.5, 2 / 3] and (np.diff(at) > 0).all()
+
+
+# SentencePiece ---------------------------------------------------------------------------
+
+LIBRARY = pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return sp.Vocabulary()
+
+
+def texts(n=300):
+    rng = random.Random(5)
+    out = ["".join(rng.choice("ab  e\nthñ▁é中😀 the in er 0123.,<s>\t") for _ in range(rng.randrange(0, 200))) for _ in range(n)]
+    return [*out, "", " ", "a" * 3000, " " * 500, "the" * 900, "=-" * 700]
+
+
+def test_ids_equal_the_library(vocabulary):
+    mine, theirs = sp.Encoder(vocabulary), LIBRARY.SentencePieceProcessor(model_file=sp.MODEL)
+    for t in texts():
+        ids = mine.encode(t)
+        assert ids == theirs.encode(t) and mine.decode(ids) == theirs.decode(ids)
+
+
+def test_stream_commits_early_and_keeps_a_small_window(vocabulary):
+    t = ("▁" + "▁".join(["the", "internationalisation", "of"] * 300))[:6000]
+    search, out, widest = sp.StreamingViterbi(vocabulary), [], 0
+    for i in range(0, len(t), 5):
+        out += search.push(t[i : i + 5])
+        widest = max(widest, len(search.text))
+    assert out + search.finish() == LIBRARY.SentencePieceProcessor(model_file=sp.MODEL).encode(t[1:].replace("▁", " ")) and widest < 64
+
+
+def test_unigram_search_finds_the_best_path(vocabulary):
+    import copy
+
+    v = copy.copy(vocabulary)
+    v.bpe, v.ids, v.scores, v.longest = False, {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}, {1: -1.0, 2: -1.0, 3: -1.2, 4: -0.9, 5: -3.0}, 3
+    s = sp.StreamingViterbi(v)
+    assert s.push("abab") + s.finish() in ([3, 3], [1, 4, 2]) and s.whole("aba") == [1, 4]
+
+
+def test_encoded_frames(spark, docs, cases):
+    got = sp.decode(sp.encode(docs(cases))).collect()
+    assert len(got) == len(cases) and all(r["round_trip"] for r in got)
+    assert sorted((str(r["id"]), r["text"]) for r in got) == sorted((str(i), t or "") for i, t in cases)
+    assert sp.encode(docs([])).count() == 0
+
+
+# Chat ----------------------------------------------------------------------------------------
+
+
+def test_chats_round_trip(spark):
+    rng = random.Random(2)
+    parts = ["### ", "</turn>", "\\", "\n", ":", "%3A", "assistant", " x ", "é"]
+    rows = [(c, t, rng.choice(["user", "assistant", "we:ird\n%25", None]), rng.choice([None, "", "".join(rng.choices(parts, k=rng.randrange(0, 9)))])) for c in range(30) for t in range(rng.randrange(1, 6))]
+    rows += [(7, 0, "user", "again"), (7, 0, "user", "again"), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, at int")
+    out = chat_format.format_chats(df).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("spans"))).collect()
+    assert len(out) == 31 and all(r["round_trip"] for r in out)
+    for r in out:
+        own = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == r["conv_id"]))
+        assert [(x["role"], x["text"]) for x in r["turns"]] == [(x[2], x[3]) for x in own]
+        assert r["loss"] == "".join(x[3] for x in own if x[2] == "assistant")
+        for s in r["spans"]:
+            assert "\n</turn>\n" == r["formatted"][s["start"] + s["length"] :][:9]
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_bare_control_strings_never_stand_in_a_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a ### b </turn> c \\### d")], "conv_id long, turn int, role string, text string")
+    row = chat_format.format_chats(df).first()
+    assert row["formatted"] == "### user:\na \\### b \\</turn> c \\\\### d\n</turn>\n" and row["n_escaped"] == 1
+
+
+# Personal data ----------------------------------------------------------------------------------
+
+SAMPLE = (
+    "Write to Mr. John Smith or Mrs. Anna Smith, jo.55@mail9.example.com / +1 (017) 555-7713, 129.38.82.176, card 4111 1111 1111 1111 and "
+    "DE89 3704 0044 0532 0130 00, token = 04dbebab91ab85687d33eeaaf9ac699e1188f962, SSN 123-45-6789, г-жа Анна Иванова."
+)
+
+
+def test_surrogates_keep_kind_format_and_coreference(spark, docs):
+    a, b = (r["text"] for r in pii.replace_pii(docs([(1, SAMPLE), (2, "Mr. Smith: (017) 555-7713, JO.55@MAIL9.EXAMPLE.COM, 129.38.82.176")])).orderBy("doc_id").collect())
+    for gone in ("John", "Smith", "Anna", "jo.55", "555-7713", "129.38", "4111", "0532", "04dbe", "6789", "Иванова"):
+        assert gone not in a and gone not in b
+    import re
+
+    name = re.search(r"Mr\. (\w+) (\w+) or Mrs\. (\w+a) (\w+),", a)
+    assert name and name[2] == name[4] and f"Mr. {name[2]}:" in b
+    phone = re.search(r"\+1 (\(\d{3}\) \d{3}-\d{4})", a)[1]
+    assert phone in b and re.search(r"г-жа [а-яА-Я]+а [а-яА-Я]+\.", a) and re.search(r"SSN \d{3}-\d{2}-\d{4}", a)
+    mail = re.search(r"[\w.]+@[\w.]+\.example\.net", a)[0]
+    assert mail.upper() in b
+    card = re.search(r"card ([\d ]{19})", a)[1].replace(" ", "")
+    assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, card))) % 10 == 0
+    iban = re.search(r"DE[\d ]{25}", a)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_clean_and_hostile_rows(docs, cases):
+    df = docs([*cases, (9, "Version 2.0 of 4.0, 12 apples and 3.5 pears in 2024.")])
+    out = pii.replace_pii(df)
+    assert out.columns == df.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+    assert pii.replace_pii(docs([])).count() == 0
+
+
+def test_colliding_surrogates_are_drawn_again(spark, docs, monkeypatch):
+    real = pii.surrogate
+    # The first draw gives everyone the same address.
+    monkeypatch.setattr(pii, "surrogate", lambda kind, unit, attempt, key: F.when(attempt == 0, F.lit("1.1.1.1")).otherwise(real(kind, unit, attempt, key)))
+    rows = [(i, f"at 10.0.0.{i % 6} now") for i in range(12)] + [(None, "at 10.0.0.1 now"), (40, "at 1.1.1.1 now")]
+    got = pii.replace_pii(docs(rows)).select("doc_id", "text").collect()
+    found = {}
+    for (i, text), new in zip(sorted(rows, key=str), sorted(((r["doc_id"], r["text"]) for r in got), key=lambda r: str(r[0]))):
+        pass
+    by_id = {r["doc_id"]: r["text"] for r in got}
+    for i, text in rows:
+        assert found.setdefault(text, by_id[i]) == by_id[i]
+    assert len(set(found.values())) == len(found) == 7 and "at 10.0.0.1 now" not in found.values()
+
+
+# Lines ----------------------------------------------------------------------------------------------
+
+
+def test_recurring_templates_are_dropped(docs):
+    rows = [
+        (1, "Page 3 of 10 here\nunique alpha beta gamma one"), (2, "Page 4 of 12 here\nContact our friend Anna for the full details\nsame line in both docs"),
+        (3, "Contact our friend Otto for the full details\n\nsame line in both docs"), (4, "Contact our friend Ida for the full details\nContact our friend is gone away now too"), (5, None), (6, "Yes.\nno"), (7, "Yes."),
+    ]
+    df = docs(rows)
+    got = {r["doc_id"]: (r["text"], r["dropped"]) for r in line_dedup.drop_lines(df).collect()}
+    assert got[1] == (rows[0][1], []) and got[2] == (rows[1][1].split("\n", 1)[1], [0]) and got[3] == ("", [0, 2])
+    assert got[4] == ("Contact our friend is gone away now too", [0]) and got[5] == (None, []) and got[6][1] == got[7][1] == []
+    everywhere = {r["doc_id"]: r["dropped"] for r in line_dedup.drop_lines(df, keep=None).collect()}
+    assert everywhere[1] == [0] and everywhere[2] == [0, 1, 2]
+
+
+def test_lines_of_random_documents(docs):
+    rng = random.Random(4)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(40)] + ["  padded   line here ", "", "x 1 y z", "x 2 y z"]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(0, 6)))) for i in range(30)]
+    form = lambda line: tuple("<*>" if any(c.isdigit() for c in t) else t for t in line.split())
+    where = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            where.setdefault(form(line), set()).add(i)
+    lines = line_dedup.templates(docs(rows))
+    # No leaf here is general: forms decide.
+    if lines.groupBy("template").count().count() == len([f for f in where if f]):
+        for r in line_dedup.drop_lines(docs(rows)).collect():
+            own = dict(rows)[r["doc_id"]].split("\n")
+            want = [k for k, line in enumerate(own) if sum(t != "<*>" for t in form(line)) >= 3 and len(where[form(line)]) > 1 and min(where[form(line)]) != r["doc_id"]]
+            assert r["dropped"] == want
+
+
+def test_line_dedup_hostile_rows(docs, cases):
+    out = line_dedup.drop_lines(docs(cases))
+    assert out.count() == len(cases) and line_dedup.drop_lines(docs([])).count() == 0
+
+
+# Search ------------------------------------------------------------------------------------------------
+
+
+def brute_top(rows, k, ids):
+    vec = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            vec.setdefault(i, []).append([int(np.floor(64 * float(x))) for x in v])
+    out = []
+    for q in ids:
+        if q in vec:
+            scored = sorted((-sum(a * b for a, b in zip(vec[q][0], v)), i) for i, vs in vec.items() if i != q for v in vs)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sample", [8, 2048])
+def test_top_k_against_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(topk_mtree, "SAMPLE", sample)
+    monkeypatch.setattr(topk_mtree, "LEAF_ROWS", 8)
+    monkeypatch.setattr(topk_mtree, "PAGE_ROWS", 40)
+    monkeypatch.setattr(topk_mtree, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(200)] + [(200 + i, [1.0] * 8) for i in range(60)]
+    rows += [(300, None), (320, [1.0, None] + [0.0] * 6), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [1.0] * 8), (380, [0.0] * 8), (400, [2.0, 3.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, id int, score int")
+    got = sorted(tuple(r) for r in topk_mtree.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect())
+    assert got == brute_top(rows, 7, [i for i in range(0, 420, 20)])
+    assert topk_mtree.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert topk_mtree.top_k(df.where("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
