@@ -17,7 +17,7 @@ from tessera.plans.scratch import discard, new_path, stage
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,23 +35,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     spark = edges.sparkSession
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    first = new_path(spark, "edges")
-    given = stage(clean.distinct(), "edges", first)
-    loops = given.where("u = v").select("u").distinct()
-    current, path, before = given.where("u <> v"), None, None
+    given = stage(clean, "edges")
+    current, path = given.where("u <> v"), None
     for _ in range(max_rounds):
         now = new_path(spark, "stars")
         current = stage(_small_star(_large_star(current)), "stars", now)
         if path:
             discard(spark, path)
         path = now
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        # Settled when the edges are stars: no centre is itself a leaf, and each leaf has one centre.
+        centres = current.select(F.col("v").alias("u")).distinct()
+        if current.join(centres, "u", "left_semi").isEmpty() and current.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
-        before = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labelled = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = loops.join(given.where("u <> v").select("u").union(given.where("u <> v").select(F.col("v"))).distinct(), "u", "left_anti")
-    return labelled.union(roots).union(alone.select(F.col("u").alias("node"), F.col("u").alias("component")))
+    out = labelled.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    loops = given.where("u = v").select("u").distinct()
+    if loops.isEmpty():
+        return out
+    alone = loops.join(out.select(F.col("node").alias("u")), "u", "left_anti")
+    return out.union(alone.select(F.col("u").alias("node"), F.col("u").alias("component")))
