@@ -10,8 +10,6 @@ from tessera.operators.clusters import cluster_repetition
 from tessera.operators.splits import top_in_group
 from tessera.plans.ordinals import number_rows
 
-NEWEST = "row_number() over (partition by {by} order by created_at desc, image_id)"
-
 
 def _sizes(posts: DataFrame) -> DataFrame:
     return posts.groupBy("similarity_cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -28,7 +26,6 @@ def feed_view(posts: DataFrame) -> DataFrame:
 
 def cluster_rollup(posts: DataFrame) -> DataFrame:
     """Each cluster's newest post, count, ids newest first, and mean similarity to 4 places."""
-    newest = F.struct("created_at", F.struct((-F.xxhash64("image_id")).alias("h")))
     ids = F.transform(F.sort_array(F.collect_list(F.struct((-F.unix_micros("created_at")).alias("t"), "image_id"))), lambda s: s["image_id"])
     grouped = posts.groupBy("similarity_cluster").agg(F.count(F.lit(1)).alias("count"), ids.alias("image_ids"), F.round(F.avg(F.coalesce("similarity_score", F.lit(0.0))), 4).alias("average_similarity"))
     return grouped.withColumn("representative_image_id", F.col("image_ids")[0])
