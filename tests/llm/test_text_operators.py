@@ -171,8 +171,6 @@ def test_colliding_surrogates_are_drawn_again(spark, docs, monkeypatch):
     rows = [(i, f"at 10.0.0.{i % 6} now") for i in range(12)] + [(None, "at 10.0.0.1 now"), (40, "at 1.1.1.1 now")]
     got = pii.replace_pii(docs(rows)).select("doc_id", "text").collect()
     found = {}
-    for (i, text), new in zip(sorted(rows, key=str), sorted(((r["doc_id"], r["text"]) for r in got), key=lambda r: str(r[0]))):
-        pass
     by_id = {r["doc_id"]: r["text"] for r in got}
     for i, text in rows:
         assert found.setdefault(text, by_id[i]) == by_id[i]
