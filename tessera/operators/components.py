@@ -27,15 +27,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _not_stars(edges: DataFrame) -> DataFrame:
+    """Nodes that keep the edges from being stars: leaves of several centres, and centres that are leaves."""
+    ends = edges.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("u"), F.lit(0), F.lit(1)))
+    roles = ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return roles.where("leaf > 1 or leaf = 1 and centre = 1")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, staged: bool = False) -> DataFrame:
     """``(node, component)`` of every node that has an edge; the component is its smallest node.
 
     Nodes may be of any ordered type. Self-loops give a node of its own component;
     edges with a null end are ignored; an empty table gives an empty result.
+    ``staged`` says that ``edges`` is a written table, which needs no further copy.
     """
     spark = edges.sparkSession
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    given = stage(clean, "edges")
+    given = clean if staged else stage(clean, "edges")
     current, path = given.where("u <> v"), None
     for _ in range(max_rounds):
         now = new_path(spark, "stars")
@@ -43,9 +51,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if path:
             discard(spark, path)
         path = now
-        # Settled when the edges are stars: no centre is itself a leaf, and each leaf has one centre.
-        centres = current.select(F.col("v").alias("u")).distinct()
-        if current.join(centres, "u", "left_semi").isEmpty() and current.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        if _not_stars(current).isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
