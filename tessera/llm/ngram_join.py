@@ -13,8 +13,8 @@ shingles of one corpus of n meet with probability n^2 / 2^65). Two link when
    size, position and count filters work on groups.
 4. *Stars.* In each group and in each long prefix list, all are verified against
    one leader first, and linked classes are merged into components. A hot list
-   of near copies is thereby settled by as many checks as it has members; while
-   long lists stay open to many pairs, further leaders follow.
+   of near copies is thereby settled by as many checks as it has members; where
+   long lists stay open to many pairs, three further leaders follow.
 5. *Rest.* Group pairs that may still join different components are filtered by
    size, position and number of shared prefix shingles, expanded into their
    member pairs, and verified. No candidate between two components is left out.
@@ -36,7 +36,9 @@ from tessera.plans.scratch import stage
 
 ORDER_BUCKETS = 1 << 19
 #: Lists of more groups than this are first compared with a leader.
-LONG_LIST, STAR_ROUNDS = 16, 4
+LONG_LIST = 16
+#: Leaders of a long list: the first alone, the others together if the list stays open.
+FIRST_LEADER, MORE_LEADERS = (0,), (1, 2, 3)
 #: Bits of the filter that picks the texts whose sets are needed: 4 MB.
 SET_BITS = 1 << 25
 PAIR_BITS = 1 << 22
@@ -223,19 +225,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     inner = several.where("sig <> gid").select(F.col("gid").alias("a"), F.col("sig").alias("b"))
     hot = stage(lists.where(f"groups > {LONG_LIST}").withColumn("component", F.col("gid")), "hot")
-    stars = inner.unionByName(_star_pairs(hot, 0, threshold))
+    stars = inner.unionByName(_star_pairs(hot, FIRST_LEADER, threshold))
     links = stage(_verified(stars, sets, threshold), "links")
-    components = connected_components(links, "a", "b")
-    for turn in range(1, STAR_ROUNDS):
-        hot = _labelled(hot.drop("component"), components, "gid")
-        if not _still_wide(hot):
-            break
-        links = stage(links.unionByName(_verified(_star_pairs(hot, turn, threshold), sets, threshold)), "links")
-        components = connected_components(links, "a", "b")
+    components = connected_components(links, "a", "b", staged=True)
+    hot = _labelled(hot.drop("component"), components, "gid")
+    if _still_wide(hot):
+        links = stage(links.unionByName(_verified(_star_pairs(hot, MORE_LEADERS, threshold), sets, threshold)), "links")
+        components = connected_components(links, "a", "b", staged=True)
 
     rest = _remaining(lists, members.join(concerned, "gid", "left_semi"), components, threshold)
     links = stage(links.unionByName(_verified(rest, sets, threshold)), "links")
-    components = connected_components(links, "a", "b")
+    components = connected_components(links, "a", "b", staged=True)
     return described.join(components, F.col("sig") == F.col("node"), "left").select(
         "id", F.col("n").alias("n_shingles"), "sig", F.coalesce("component", "sig").alias("component")
     )
@@ -263,10 +263,12 @@ def _behind(threshold: int) -> str:
     return f"greatest(({threshold} * p + 99) div 100 - 1, ({threshold} * q + 99) div 100 - 1)"
 
 
-def _star_pairs(hot: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) of a leader of each long list and the groups of other components in it; another leader each turn."""
-    lead = hot.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "n", "pos", "component")).alias("lead"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    found = hot.alias("r").join(lead.select("token", "lead.*").alias("l"), F.expr("l.token = r.token and l.component <> r.component and " + _may_link(threshold)))
+def _star_pairs(hot: DataFrame, turns: tuple[int, ...], threshold: int) -> DataFrame:
+    """Pairs (a, b) of the leaders of each long list and the groups of other components in it; one leader for each turn."""
+    leads = [F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("drawn"), "gid", "n", "pos", "component")) for turn in turns]
+    lead = hot.groupBy("token").agg(F.array(*leads).alias("leads"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    lead = lead.select("token", F.inline("leads"))
+    found = hot.alias("r").join(lead.alias("l"), F.expr("l.token = r.token and l.component <> r.component and " + _may_link(threshold)))
     return found.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct()
 
 
