@@ -233,7 +233,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         links = stage(links.unionByName(_verified(_star_pairs(hot, MORE_LEADERS, threshold), sets, threshold)), "links")
         components = connected_components(links, "a", "b", staged=True)
 
-    rest = _remaining(lists, members.join(concerned, "gid", "left_semi"), components, threshold)
+    prefixes = classes.select("sig", "prefix").join(concerned.select(F.col("gid").alias("sig")), "sig", "left_semi")
+    rest = _remaining(lists, members.join(concerned, "gid", "left_semi"), prefixes, components, threshold)
     links = stage(links.unionByName(_verified(rest, sets, threshold)), "links")
     components = connected_components(links, "a", "b", staged=True)
     return described.join(components, F.col("sig") == F.col("node"), "left").select(
@@ -284,31 +285,41 @@ def _labelled(df: DataFrame, components: DataFrame, key: str) -> DataFrame:
     return stage(df.join(components.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", F.col(key))), "labelled")
 
 
-def _remaining(lists: DataFrame, members: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
-    """Class pairs (a, b) of different components that the filters cannot rule out."""
+def _remaining(lists: DataFrame, members: DataFrame, prefixes: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
+    """Class pairs (a, b) of different components that the filters cannot rule out.
+
+    The first shingle that two linked sets share lies so early in the smaller one
+    that twice the threshold still fits behind it. Entries are thus `early` or not,
+    and those that are not only meet early ones: a passage that many documents share
+    comes last in the order and gives no pairs by itself.
+    """
     labelled = _labelled(members, components, "sig")
     # A group has one label if all its members have; else null, which differs from every label.
     groups = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).select("gid", F.when(F.col("x") == F.col("y"), F.col("x")).alias("label"))
-    entries = lists.join(groups, "gid")
+    entries = lists.join(groups, "gid").withColumn("early", F.expr(f"{100 + threshold} * (n - pos) >= {2 * threshold} * n"))
     sizes = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("c", F.col("label").isNotNull().alias("known"), "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max(F.col("label").isNull()).alias("mixed"))
     largest = largest.where("labels > 1 or mixed").select("token", F.col("top.label").alias("main"))
     entries = stage(entries.join(largest, "token"), "open")
     # Of two groups with different labels one is outside the list's main label: enumerate those against the list.
     outside = entries.where("label is null or main is null or label <> main")
+    outside = outside.withColumn("partner", F.explode(F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
     differ = "(l.label is null or r.label is null or l.label <> r.label)"
     once = "(r.label is not null and r.main is not null and r.label = r.main or l.gid < r.gid)"
-    pairs = outside.alias("l").join(entries.alias("r"), F.expr(f"l.token = r.token and l.gid <> r.gid and {differ} and {once} and " + _size_fits(threshold)))
-    counted = pairs.select(
+    found = outside.alias("l").join(entries.alias("r"), F.expr(f"l.token = r.token and l.partner = r.early and l.gid <> r.gid and {differ} and {once} and " + _may_link(threshold)))
+    met = found.select(
         F.least("l.gid", "r.gid").alias("g"), F.greatest("l.gid", "r.gid").alias("h"),
         F.expr("if(l.gid < r.gid, l.n, r.n)").alias("p"), F.expr("if(l.gid < r.gid, r.n, l.n)").alias("q"),
         F.expr("least(l.n - l.pos, r.n - r.pos)").alias("after"),
     )
-    # `common` counts all shared prefix shingles, and no more can follow than the longer rest behind a prefix.
-    counted = counted.groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"), F.max("after").alias("after"), F.max("p").alias("p"), F.max("q").alias("q"))
+    # Those met are the first of all shared shingles; behind the last of them no more than the shorter rest is shared.
+    met = met.groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"), F.min("after").alias("after"), F.max("p").alias("p"), F.max("q").alias("q"))
     need = f"{threshold} * (p + q)"
-    kept = counted.where(f"{100 + threshold} * after >= {need} and {100 + threshold} * (common + {_behind(threshold)}) >= {need}").select("g", "h")
-    kept = stage(kept, "pairs")
+    met = stage(met.where(f"{100 + threshold} * (common + after - 1) >= {need}").select("g", "h", "p", "q"), "met")
+    # Of the whole prefixes, all shared shingles count, and no more can follow than the longer rest behind a prefix.
+    ends = prefixes.select(F.col("sig").alias("g"), F.col("prefix").alias("pg")), prefixes.select(F.col("sig").alias("h"), F.col("prefix").alias("ph"))
+    whole = met.join(ends[0], "g").join(ends[1], "h").withColumn("common", F.size(F.array_intersect("pg", "ph")))
+    kept = stage(whole.where(f"{100 + threshold} * (common + {_behind(threshold)}) >= {need}").select("g", "h"), "pairs")
     m = labelled.select("gid", "sig", "component")
     left, right = m.select(F.col("gid").alias("g"), F.col("sig").alias("a"), F.col("component").alias("ca")), m.select(F.col("gid").alias("h"), F.col("sig").alias("b"), F.col("component").alias("cb"))
     across = kept.join(left, "g").join(right, "h").where("ca <> cb").select("a", "b")
