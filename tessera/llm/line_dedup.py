@@ -2,16 +2,20 @@
 
 *Tree.* A line goes down by its number of tokens and its first ``DEPTH`` tokens
 to a leaf; the depth is fixed. Tokens with a digit are variable fields, ``<*>``.
+In scripts without spaces each letter is a token, and so is each run of digits.
 
 *Templates.* A leaf with several forms of line gets a general template: at each
 place the token that more than half of its documents' lines have there, else
 ``<*>``. If at least ``CONSTANT`` of the places are constant, lines that agree
 with all of these take that template; every other line is a template of its own
-form. Counts are exact and cover all lines of all documents.
+form. A form with fewer than ``MIN_TOKENS`` constant tokens says little of a
+line: such lines are templates of their own tokens, fields as they are. Counts
+are exact and cover all lines of all documents.
 
-*Dropping.* A template with at least ``MIN_TOKENS`` constant tokens that stands
+*Dropping.* A template with at least ``min_tokens`` constant tokens that stands
 in ``MIN_DOCS`` or more documents is dropped, in all of them or, with
-``keep="first"``, in all but that with the smallest id.
+``keep="first"``, in all but that with the smallest id. With ``min_tokens=0``
+this holds for every line that several documents share, however short.
 """
 
 from __future__ import annotations
@@ -25,6 +29,14 @@ from tessera.plans.scratch import stage
 DEPTH, CONSTANT, MIN_TOKENS, MIN_DOCS, FILTER_BITS = 3, 0.7, 3, 2, 1 << 25
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Letters of scripts that put no spaces between words: Thai to Lao, Burmese, Khmer, kana and Chinese characters.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+
+
+def spaced(text: Column) -> Column:
+    """The text with spaces around each letter of a script without spaces."""
+    # Texts without any character so far up cost one look.
+    return F.when(F.rlike(text, F.lit(r"[\x{0E00}-\x{10FFFF}]")), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
 
 
 def tokens_of(line: Column) -> Column:
@@ -34,13 +46,16 @@ def tokens_of(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, copy, at, leaf, form, tokens`` of every line with a token; ``copy`` tells rows apart that repeat an id."""
+    """``id, copy, at, leaf, form, constant, own, tokens`` of every line with a token; ``copy`` tells rows apart that repeat an id, ``own`` is the template of a line that no general one covers."""
     text = F.col(text_col)
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(spaced(text), "\n")).alias("at", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where("line <> ''")
-    rows = rows.select("id", "copy", "at", tokens_of(F.col("line")).alias("tokens"))
+    rows = rows.select("id", "copy", "at", "line", tokens_of(F.col("line")).alias("tokens"))
     # Hashes stand for leaves and forms: texts of lines are not shuffled.
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))).withColumn("form", F.xxhash64("tokens"))
+    rows = rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))).withColumn("form", F.xxhash64("tokens"))
+    rows = rows.withColumn("constant", _constant(F.col("tokens")))
+    exact = (F.col("constant") < MIN_TOKENS) & (F.col("constant") < F.size("tokens"))
+    return rows.withColumn("own", F.when(exact, F.xxhash64(F.split("line", SPACE))).otherwise(F.col("form"))).drop("line")
 
 
 def _constant(tokens: Column) -> Column:
@@ -62,18 +77,18 @@ def general_templates(lines: DataFrame) -> DataFrame:
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, copy, at, template, constant`` of every line with a token; ``template`` is a hash."""
     lines = _lines(docs, id_col, text_col)
-    rows = stage(lines.select("id", "copy", "at", "leaf", "form", _constant(F.col("tokens")).alias("constant")), "lines")
+    rows = stage(lines.select("id", "copy", "at", "leaf", "form", "own", "constant"), "lines")
     leaves = rows.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("id").alias("c"), F.max("id").alias("d"))
     leaves = stage(leaves.where("a <> b and not (c <=> d)").select("leaf"), "leaves")
     near = bitmap.probe(lines, F.col("leaf"), bitmap.build(leaves, F.col("leaf"), FILTER_BITS), FILTER_BITS, "_open").where("_open")
     near = stage(near.join(leaves, "leaf", "left_semi").select("leaf", "form", "tokens"), "open")
     general = stage(general_templates(near), "general")
     if general.isEmpty():
-        return rows.select("id", "copy", "at", F.col("form").alias("template"), "constant")
+        return rows.select("id", "copy", "at", F.col("own").alias("template"), "constant")
     agrees = F.forall(F.arrays_zip("places", "tokens"), lambda x: x["places"].isNull() | (x["places"] == x["tokens"]))
     joined = near.join(general, "leaf").where(agrees)
     fits = stage(joined.select("form", F.xxhash64(F.lit("general"), "leaf").alias("general"), F.size(F.filter("places", lambda t: t.isNotNull())).alias("fixed")).distinct(), "fits")
-    return rows.join(fits, "form", "left").select("id", "copy", "at", F.coalesce("general", "form").alias("template"), F.coalesce("fixed", "constant").alias("constant"))
+    return rows.join(fits, "form", "left").select("id", "copy", "at", F.coalesce("general", "own").alias("template"), F.coalesce("fixed", "constant").alias("constant"))
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -82,17 +97,17 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     return per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: str | None = "first") -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: str | None = "first", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text_col``, and ``dropped``, the numbers of those lines from 0.
 
-    Lines end at a line feed. Blank lines and lines with fewer than ``MIN_TOKENS``
+    Lines end at a line feed. Blank lines and lines with fewer than ``min_tokens``
     constant tokens stay. Rows that repeat an id are one document; rows without an
     id together are one, and lose their recurring lines to any that has an id.
     Null texts stay null, an empty table gives an empty result, other columns and
     all rows stay as they were.
     """
     lines = stage(templates(docs, id_col, text_col), "templates")
-    found = recurring(lines, min_docs)
+    found = recurring(lines, min_docs, min_tokens)
     gone = lines.join(found, "template")
     if keep == "first":
         gone = gone.where("not (id <=> first)")
@@ -111,6 +126,6 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document without the lines that recur, and their numbers."""
+    """Every document without the lines that recur, short ones too, and their numbers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return drop_lines(docs.select("doc_id", "text")).withColumn("n_dropped", F.size("dropped").cast("long"))
+    return drop_lines(docs.select("doc_id", "text"), min_tokens=0).withColumn("n_dropped", F.size("dropped").cast("long"))

@@ -216,6 +216,18 @@ def test_line_dedup_hostile_rows(docs, cases):
     assert out.count() == len(cases) and line_dedup.drop_lines(docs([])).count() == 0
 
 
+def test_the_query_drops_short_lines_and_lines_without_spaces(spark, docs, tmp_path):
+    rows = [
+        (1, "Les.\n2024\nown one\n保留所有权利\n第3页共10页"), (2, "Les.\nNo. 7\nown two\n保留所有权利\n第4页共12页"),
+        (3, "And ornd.\n2025\nNo. 8\n"), (4, "And ornd.\n2024\nNo. 7\n\nown four"), (None, "own two\n第9"),
+    ]
+    docs(rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["dropped"]) for r in line_dedup.op10_line_dedup(spark, f"file://{tmp_path}").collect()}
+    # Lines that differ in a field only stay when little else is in them.
+    assert got[1] == (rows[0][1], []) and got[2] == ("No. 7\nown two", [0, 3, 4]) and got[3] == (rows[2][1], [])
+    assert got[4] == ("\nown four", [0, 1, 2]) and got[None] == ("第9", [0])
+
+
 # Search ------------------------------------------------------------------------------------------------
 
 
