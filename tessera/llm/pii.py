@@ -14,7 +14,8 @@ gender. Addresses go to a reserved domain.
 
 *Collisions.* Over the distinct units of all documents, a surrogate that another
 unit already has, or that is itself a unit found, is drawn again with the next
-attempt, until all are distinct. The few units drawn again are joined to the
+attempt, until all are distinct. Names and mail domains grow with the attempt, so
+that there are always more of them than units. The few units drawn again are joined to the
 documents that hold them; all other documents need no join.
 """
 
@@ -118,11 +119,15 @@ def _hex_like(s: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.lower(F.hex((_byte(h, i) + F.floor(i / 31).cast("int") * 5) % 16))), "")
 
 
-def _name(unit: Column, part: str, h: Column) -> Column:
+def _name(unit: Column, part: str, h: Column, attempt: Column) -> Column:
+    """A name of four syllables, and of one more with every second attempt."""
+
     def of(script: str) -> Column:
         first, middle, ending = NAMES[script]
-        pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), _byte(h, F.lit(i)) % len(xs) + 1)
-        return F.lower(F.concat(pick(first, 0), pick(middle, 1), pick(middle, 2), pick(middle, 3), F.lit(ending[part])))
+        pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), _byte(h, i) % len(xs) + 1)
+        more = F.transform(F.sequence(F.lit(4), F.floor(attempt / 2).cast("int") + 3), lambda i: pick(middle, i))
+        longer = F.when(attempt > 1, F.array_join(more, "")).otherwise("")
+        return F.lower(F.concat(pick(first, F.lit(0)), *[pick(middle, F.lit(i)) for i in (1, 2, 3)], longer, F.lit(ending[part])))
 
     return F.when(F.rlike(unit, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).when(F.rlike(unit, F.lit(r"\p{IsGreek}")), of("greek")).otherwise(of("latin"))
 
@@ -137,10 +142,10 @@ def _mod97(iban: Column) -> Column:
 def surrogate(kind: Column, unit: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a unit, in canonical form."""
     hashed = F.sha2(F.encode(F.concat_ws("\x1f", F.lit(key), kind, unit, attempt.cast("string")), "utf-8"), 256)
-    return let(hashed, lambda h: _drawn(kind, unit, h))
+    return let(hashed, lambda h: _drawn(kind, unit, h, attempt))
 
 
-def _drawn(kind: Column, unit: Column, h: Column) -> Column:
+def _drawn(kind: Column, unit: Column, h: Column, attempt: Column) -> Column:
     def card(digits: Column) -> Column:
         head = F.left(digits, F.length(digits) - 1)
         return let(head, lambda x: F.concat(x, F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: _luhn(F.concat(x, d)))[0]))
@@ -154,12 +159,13 @@ def _drawn(kind: Column, unit: Column, h: Column) -> Column:
 
     octet = lambda i: (_byte(h, F.lit(i)) % 254 + 1).cast("string")
     domain = (_byte(h, F.lit(29)) * 256 + _byte(h, F.lit(30))).cast("string")
+    domain = F.when(attempt > 3, F.conv(F.substring(h, 45, 15), 16, 10)).otherwise(domain)
     email = F.concat(_like(F.substring_index(unit, "@", 1), h), F.lit("@mail"), domain, F.lit(".example.net"))
     out = F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
     out = out.when(kind == "iban", let(F.upper(_like(F.substr(unit, F.lit(5)), h)), iban)).when(kind == "secret", _hex_like(unit, h))
     out = out.when((kind == "card") & _luhn(unit), let(_like(unit, h), card))
     for part in "fmxs":
-        out = out.when(kind == f"name_{part}", _name(unit, part, h))
+        out = out.when(kind == f"name_{part}", _name(unit, part, h, attempt))
     return out.otherwise(_like(unit, h))
 
 

@@ -177,6 +177,15 @@ def test_colliding_surrogates_are_drawn_again(spark, docs, monkeypatch):
     assert len(set(found.values())) == len(found) == 7 and "at 10.0.0.1 now" not in found.values()
 
 
+def test_more_names_than_short_surrogates(docs, monkeypatch):
+    first, middle, ending = pii.NAMES["latin"]
+    # 16 names of four syllables for 40 people.
+    monkeypatch.setitem(pii.NAMES, "latin", (first[:2], middle[:2], ending))
+    rows = [(i, f"Dear Mr. Q{chr(97 + i // 7)}{chr(97 + i % 7)}x, hello") for i in range(40)]
+    got = [r["text"] for r in pii.replace_pii(docs(rows)).collect()]
+    assert len(set(got)) == 40 and not set(got) & {t for _, t in rows}
+
+
 # Lines ----------------------------------------------------------------------------------------------
 
 
