@@ -1,9 +1,11 @@
 """Personal data replaced by surrogates (operator 8; SQL functions only).
 
 *Detection.* One pattern finds e-mail addresses, IP addresses, phone, card and
-identity numbers, IBANs, secrets (long hexadecimal strings) and names after a
-form of address. *Units.* An entity is reduced to what coreference depends on: a
-phone number to its last ten digits, an address to lower case, a person to given
+identity numbers, IBANs, secrets (long hexadecimal strings, keys with a known
+prefix, long strings of mixed letters and digits) and names after a form of
+address. Further mentions of these names in the same document are replaced too.
+*Units.* An entity is reduced to what coreference depends on: a
+phone number to its last ten digits without prefixes of country and trunk, an address to lower case, a person to given
 name and surname, each replaced by itself, so that "Mr. Jo Smith" and "Mr. Smith"
 stay one person.
 
@@ -32,23 +34,55 @@ KEY, ID_BITS, ATTEMPTS = "surrogates-1", 1 << 25, 40
 MALE = "Mr|Herr|Señor|Sr|Monsieur|Господин|г-н|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Госпожа|г-жа|Κυρία"
 NEUTRAL = "Dr|Prof"
-_ALNUM, _NAME = r"\p{L}\p{N}", r"\p{Lu}[\p{L}'’\-]+"
+#: A name ends before a possessive.
+_ALNUM, _NAME = r"\p{L}\p{N}", r"\p{Lu}(?:[\p{L}\-]|['’](?![sS](?!\p{L})))+"
+#: Numbers as written in Europe and America; grouped by one kind of separator where it could be a date or a list.
+_GROUPED = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![ \-]?\d)|\+\d{7,15}(?!\d)"
+_PHONES = [
+    # France.
+    r"(?:(?:\+|00)33[ .\-]?(?:\(0\) ?)?|0)[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4}|\d{8})(?![ .\-]?\d)",
+    # Spain.
+    r"(?:(?:\+|00)34[ .\-]?)?(?:[6-9]\d{2}(?:(?: \d{2}){3}|(?:\.\d{2}){3}|(?:-\d{2}){3}|\d{6})|[89]\d(?: \d{3} \d{2} \d{2}|-\d{3}-\d{2}-\d{2}))(?![ .\-]?\d)",
+    # Germany, and Britain's five and six digits.
+    r"(?:(?:\+|00)(?:49|44)[ \-/]?(?:\(0\) ?)?|\(0|0)[1-9]\d{1,4}(?:\)[ \-/]{0,3}|[ \-/]{1,3})(?:\d{5,9}(?:-\d{1,5})?|\d{2,4}(?: \d{2,4}){1,3})(?![ \-]?\d)",
+    r"0[1-9]\d{8,10}(?![.\-]?\d)",
+    # America without separators.
+    r"[2-9]\d{9}(?![.\-]?\d)",
+    # Any other with a country.
+    r"\+\d(?:[ .\-/]?\d){6,14}(?![.\-]?\d)",
+]
+#: Long strings in which letters of both cases and digits alternate; the longer, the fewer runs of digits are asked for.
+_MIXED = r"(?=[A-Za-z0-9]*[a-z])(?=[A-Za-z0-9]*[A-Z])(?:(?=[A-Za-z]*[0-9]+[A-Za-z]+[0-9])[A-Za-z0-9]{20,}|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{40,})"
+_SECRETS = [
+    r"(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}",
+    r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}",
+    r"(?:sk|pk|rk)[_\-](?:[a-z]+[_\-])*[A-Za-z0-9_\-]{16,}",
+    r"(?:gh[pousr]|github_pat|glpat|hf|npm|xox[abeprs]|dop_v1)[_\-][A-Za-z0-9_\-]{16,}",
+    r"(?:AIza|ya29\.)[A-Za-z0-9_\-]{30,}",
+    r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{16,}",
+    r"(?<![+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![+/=])",
+    _MIXED,
+]
 #: Each stands for itself at any place of a text; no two kinds match the same string.
 PATTERNS = {
     "email": rf"(?<![{_ALNUM}._%+\-])[{_ALNUM}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])(?!\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9])(?:{'|'.join(_SECRETS)})(?![A-Za-z0-9@])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![ \-]?\d)|(?<![\w+])\+\d{7,15}(?!\d)",
+    "phone": rf"(?<![\w+])(?:{_GROUPED}|(?<!\d[.\-])(?:{'|'.join(_PHONES)})(?![\p{{L}}_]))",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d])",
     "person": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: What an entity of each kind starts with. Checked once at the start of a word, so that most places of a text cost one comparison.
-STARTS = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "secret": "(?=[0-9a-fA-F]{32})", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "person": "(?=[MHSDPFΚГг])"}
+STARTS = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "secret": r"(?=[A-Za-z0-9+/_\-]{18}|ya29|eyJ)", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "person": "(?=[MHSDPFΚГг])"}
 ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"{STARTS[k]}(?:{PATTERNS[k]})" for k in ("ip", "iban", "secret", "ssn", "card", "phone", "person", "email")) + ")"
 
 
+#: A word that may be a name mentioned again.
+MENTION = rf"(?<![{_ALNUM}_]){_NAME}(?![{_ALNUM}_])"
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -66,6 +100,12 @@ def _digits(e: Column) -> Column:
     return F.regexp_replace(e, r"\D", "")
 
 
+def _national(e: Column) -> Column:
+    """The last ten digits of a phone number, without the country where a leading 0 stands for it at home."""
+    digits = F.right(F.regexp_replace(e, r"^(?:\+|00)(?:33|34|44|49)|\D", ""), F.lit(10))
+    return F.regexp_replace(digits, "^0(?=[0-9])", "")
+
+
 def _luhn(number: Column) -> Column:
     return F.call_function("luhn_check", number)
 
@@ -92,9 +132,9 @@ def units_of(e: Column, kind: Column) -> Column:
     return (
         F.when(kind == "person", person)
         .when(kind == "email", one("email", F.lower(e)))
-        .when(kind == "phone", one("phone", F.right(_digits(e), F.lit(10))))
+        .when(kind == "phone", one("phone", _national(e)))
         .when(kind == "iban", one("iban", F.replace(e, F.lit(" "), F.lit(""))))
-        .when(kind == "secret", one("secret", F.lower(e)))
+        .when(kind == "secret", one("secret", F.when(F.rlike(e, F.lit("^[0-9a-fA-F]+$")), F.lower(e)).otherwise(e)))
         .when(kind == "ip", one("ip", e))
         .when(kind == "ssn", one("ssn", _digits(e)))
         .otherwise(one("card", _digits(e)))
@@ -162,7 +202,7 @@ def _drawn(kind: Column, unit: Column, h: Column, attempt: Column) -> Column:
     domain = F.when(attempt > 3, F.conv(F.substring(h, 45, 15), 16, 10)).otherwise(domain)
     email = F.concat(_like(F.substring_index(unit, "@", 1), h), F.lit("@mail"), domain, F.lit(".example.net"))
     out = F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
-    out = out.when(kind == "iban", let(F.upper(_like(F.substr(unit, F.lit(5)), h)), iban)).when(kind == "secret", _hex_like(unit, h))
+    out = out.when(kind == "iban", let(F.upper(_like(F.substr(unit, F.lit(5)), h)), iban)).when(kind == "secret", F.when(F.rlike(unit, F.lit("^[0-9a-f]+$")), _hex_like(unit, h)).otherwise(_like(unit, h)))
     out = out.when((kind == "card") & _luhn(unit), let(_like(unit, h), card))
     for part in "fmxs":
         out = out.when(kind == f"name_{part}", _name(unit, part, h, attempt))
@@ -194,10 +234,13 @@ def _shown(e: Column, kind: Column, drawn: Column) -> Column:
     shown = F.transform(drawn, lambda s, i: F.when(F.upper(words[i + 1]) == words[i + 1], F.upper(s)).otherwise(F.initcap(s)))
     person = F.concat_ws(" ", words[0], F.array_join(shown, " "))
     first = drawn[0]
+    # As long as the entity, and long texts of secrets take one pass.
+    secret = F.zip_with(F.split(e, ""), F.split(first, ""), lambda c, n: F.when(F.rlike(c, F.lit("[A-Z]")), F.upper(n)).otherwise(n))
     return (
         F.when(kind == "person", person)
         .when(kind == "email", F.when((F.upper(e) == e), F.upper(first)).otherwise(first))
         .when(kind == "ip", first)
+        .when(kind == "secret", F.array_join(secret, ""))
         .otherwise(let(first, lambda s: _in_format(e, s)))
     )
 
@@ -206,14 +249,32 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), 0)
 
 
+def _names(found: Column) -> Column:
+    """Array of (kind, unit) of the names found in a document."""
+    return F.flatten(F.transform(F.filter(found, lambda e: F.rlike(e, F.lit(f"^(?:{MALE}|{FEMALE}|{NEUTRAL})\\.? ")) & (kind_of(e) == "person")), lambda e: units_of(e, F.lit("person"))))
+
+
+def _mentions(text: Column, names: Column, attempts: Column, key: str) -> Column:
+    """The text between entities with each word replaced that is one of the names."""
+    same = lambda w: F.filter(names, lambda n: n["unit"] == F.lower(w))
+    attempt = lambda u: F.coalesce(F.element_at(attempts, F.concat_ws(":", u["kind"], u["unit"])), F.lit(0))
+    cased = lambda w, s: F.when(F.upper(w) == w, F.upper(s)).otherwise(F.initcap(s))
+    shown = lambda w, u: cased(w, surrogate(u["kind"], u["unit"], attempt(u), key))
+    word = lambda w: let(same(w), lambda us: F.when(F.size(us) > 0, shown(w, us[0])).otherwise(w))
+    between = F.split(text, MENTION, -1)
+    joined = lambda b: F.concat(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(MENTION), 0), lambda w, i: F.concat(b[i], word(w))), ""), F.element_at(b, -1))
+    return let(between, joined)
+
+
 def rewritten(text: Column, attempts: Column, key: str = KEY) -> Column:
-    """The text with each entity replaced; what stands between stays as it is."""
-    def joined(found: Column) -> Column:
-        between = F.split(text, ENTITY, -1)
-        shown = lambda b: F.transform(found, lambda e, i: F.concat(b[i], _replacement(e, attempts, key)))
-        return let(between, lambda b: F.concat(F.array_join(shown(b), ""), F.element_at(b, -1)))
+    """The text with each entity and each further mention of its names replaced; all else stays as it is."""
+
+    def joined(found: Column, names: Column) -> Column:
+        part = lambda t: F.when((F.size(names) > 0) & (t != ""), _mentions(t, names, attempts, key)).otherwise(t)
+        shown = lambda b: F.transform(found, lambda e, i: F.concat(part(b[i]), _replacement(e, attempts, key)))
+        return let(F.split(text, ENTITY, -1), lambda b: F.concat(F.array_join(shown(b), ""), part(F.element_at(b, -1))))
 
-    return let(entities(text), lambda found: F.when(F.size(found) > 0, joined(found)).otherwise(text))
+    return let(entities(text), lambda found: F.when(F.size(found) > 0, let(_names(found), lambda names: joined(found, names))).otherwise(text))
 
 
 def redrawn(units: DataFrame, key: str = KEY) -> DataFrame:
