@@ -12,8 +12,8 @@ groups only and are placed group by group.
 
 A heavy group is cut by a hash of the id into chunks of about one parcel's rows,
 so no task numbers the rows of a hot group alone. Its chunks stay together
-unless the group exceeds half a shard in some dimension; then they are placed
-one by one, since no shard could hold it and stay near the others.
+unless the group exceeds a shard in some dimension; then they are placed one by
+one, since no shard could hold it and stay near the others.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def _place_units(units, shards: int):
     units = units.copy()
     total = units[list(DIMS)].sum()
     whole = units.groupby(["heavy", "unit"], sort=False)[list(DIMS)].transform("sum")
-    over = ((whole > total / (2 * shards)) & (total > 0)).any(axis=1)
+    over = ((whole > total / shards) & (total > 0)).any(axis=1)
     units["item"] = units["unit"].astype(str) + units["heavy"].map({True: "h", False: "p"}) + units["chunk"].where(over, 0).astype(str)
     items = units.groupby("item", sort=False)[list(DIMS)].sum()
     units["shard"] = units["item"].map(dict(zip(items.index, place(items.to_numpy(float), shards)))).astype("int32")

@@ -78,3 +78,13 @@ def test_written_shards_hold_all_rows(spark, docs, tmp_path):
 def test_place_is_deterministic(shards):
     v = np.random.default_rng(1).random((100, 3))
     assert (sharding.place(v, shards) == sharding.place(v, shards)).all()
+
+
+def test_a_group_that_fits_into_a_shard_is_not_split():
+    import pandas as pd
+
+    # Of 1,600 rows in 16 shards, one group has 80.
+    heavy = [(True, 1, c, 10, 10, 10) for c in range(8)]
+    units = pd.DataFrame(heavy + [(False, u, 0, 10, 10, 10) for u in range(152)], columns=["heavy", "unit", "chunk", "size", "tokens", "rows"])
+    placed = sharding._place_units(units, 16)
+    assert placed[placed["heavy"]]["shard"].nunique() == 1 and (units.groupby(placed["shard"])["rows"].sum() == 100).all()
