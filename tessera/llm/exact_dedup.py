@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
+from tessera.llm.columns import free_name
 from tessera.llm.text import ascii_lower
 from tessera.plans.scratch import stage
 
@@ -154,16 +155,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     said = stage(dedup(docs, id_col, text_col, keep), "verdicts")
     pairs = said.groupBy("id", "digest").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
     pairs = stage(pairs.where("n > stay").select("id", "digest", "stay"), "pairs")
-    marked = docs.withColumn("_digest", sha256(normalised(F.col(text_col))))
-    marked = bitmap.probe(marked, F.col("_digest"), bitmap.build(pairs, F.col("digest"), HIT_BITS), HIT_BITS, "_maybe")
-    touched = marked.where("_maybe")
-    match = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone"))
-    names = [F.col("id").alias("_gone_id"), F.col("digest").alias("_gone")]
-    free = marked.where("not _maybe").unionByName(touched.join(pairs.select(*names), match, "left_anti"))
+    own, maybe, gone_id, gone = (free_name(docs, x) for x in ("_digest", "_maybe", "_gone_id", "_gone_digest"))
+    marked = docs.withColumn(own, sha256(normalised(F.col(text_col))))
+    marked = bitmap.probe(marked, F.col(own), bitmap.build(pairs, F.col("digest"), HIT_BITS), HIT_BITS, maybe)
+    touched = marked.where(F.col(maybe))
+    match = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone))
+    names = [F.col("id").alias(gone_id), F.col("digest").alias(gone)]
+    free = marked.where(~F.col(maybe)).unionByName(touched.join(pairs.select(*names), match, "left_anti"))
     repeated = pairs.where("stay > 0").select(*names)
     if not repeated.isEmpty():
-        free = free.unionByName(touched.join(repeated, match, "left_semi").dropDuplicates([id_col, "_digest"]))
-    return free.drop("_digest", "_maybe")
+        free = free.unionByName(touched.join(repeated, match, "left_semi").dropDuplicates([id_col, own]))
+    return free.drop(own, maybe)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,19 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
+from tessera.llm.columns import free_name
+from tessera.llm.text import FAR_UP, UNSPACED
 from tessera.plans.scratch import stage
 
 DEPTH, CONSTANT, MIN_TOKENS, MIN_DOCS, FILTER_BITS = 3, 0.7, 3, 2, 1 << 25
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Letters of scripts that put no spaces between words: Thai to Lao, Burmese, Khmer, kana and Chinese characters.
-UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 
 
 def spaced(text: Column) -> Column:
     """The text with spaces around each letter of a script without spaces."""
     # Texts without any character so far up cost one look.
-    return F.when(F.rlike(text, F.lit(r"[\x{0E00}-\x{10FFFF}]")), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
+    return F.when(F.rlike(text, F.lit(FAR_UP)), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
 
 
 def tokens_of(line: Column) -> Column:
@@ -97,8 +97,8 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     return per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: str | None = "first", min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text_col``, and ``dropped``, the numbers of those lines from 0.
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: str | None = "first", min_tokens: int = MIN_TOKENS, out: str = "dropped") -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text_col``, and in ``out`` the numbers of those lines from 0 (a column of that name is replaced).
 
     Lines end at a line feed. Blank lines and lines with fewer than ``min_tokens``
     constant tokens stay. Rows that repeat an id are one document; rows without an
@@ -112,17 +112,18 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if keep == "first":
         gone = gone.where("not (id <=> first)")
     # A document's own line numbers.
-    by_doc = stage(gone.groupBy("id", "copy").agg(F.sort_array(F.collect_set("at")).alias("_dropped")), "dropped")
-    marked = docs.withColumn("_copy", F.xxhash64(F.col(text_col)))
-    marked = bitmap.probe(marked, F.col("_copy"), bitmap.build(by_doc, F.col("copy"), FILTER_BITS), FILTER_BITS, "_maybe")
-    touched = marked.where("_maybe")
-    own = by_doc.select(F.col("id").alias("_own_id"), F.col("copy").alias("_own_copy"), "_dropped")
-    touched = touched.join(own, F.col(id_col).eqNullSafe(F.col("_own_id")) & (F.col("_copy") == F.col("_own_copy")), "left").drop("_own_id", "_own_copy")
+    by_doc = stage(gone.groupBy("id", "copy").agg(F.sort_array(F.collect_set("at")).alias("dropped")), "dropped")
+    copy, maybe, gone_at, own_id, own_copy = (free_name(docs, x) for x in ("_copy", "_maybe", "_dropped", "_own_id", "_own_copy"))
+    marked = docs.withColumn(copy, F.xxhash64(F.col(text_col)))
+    marked = bitmap.probe(marked, F.col(copy), bitmap.build(by_doc, F.col("copy"), FILTER_BITS), FILTER_BITS, maybe)
+    touched = marked.where(F.col(maybe))
+    own = by_doc.select(F.col("id").alias(own_id), F.col("copy").alias(own_copy), F.col("dropped").alias(gone_at))
+    touched = touched.join(own, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(copy) == F.col(own_copy)), "left").drop(own_id, own_copy)
     none = F.array().cast("array<int>")
-    both = marked.where("not _maybe").withColumn("_dropped", none).unionByName(touched)
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
-    both = both.withColumn(text_col, F.when(F.size("_dropped") > 0, kept).otherwise(F.col(text_col)))
-    return both.withColumn("dropped", F.coalesce("_dropped", none)).drop("_copy", "_maybe", "_dropped")
+    both = marked.where(~F.col(maybe)).withColumn(gone_at, none).unionByName(touched)
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col(gone_at), i)), "\n")
+    both = both.withColumn(text_col, F.when(F.size(gone_at) > 0, kept).otherwise(F.col(text_col)))
+    return both.withColumn(out, F.coalesce(F.col(gone_at), none)).drop(copy, maybe, gone_at)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
