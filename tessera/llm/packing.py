@@ -1,7 +1,8 @@
 """Packing into optimal length buckets (operator 1).
 
-1. A text's length is its number of words; texts longer than ``max_length`` are
-   cut into segments, so the histogram of lengths has at most ``max_length``
+1. A text's length is its number of tokens: of ids where a column holds them, else
+   of words, where each letter of a script without spaces is a word. Texts longer
+   than ``max_length`` are cut into segments, so the histogram of lengths has at most ``max_length``
    entries whatever the input. It is counted over all segments.
 2. Dynamic programming over that histogram chooses the bucket boundaries whose
    total padding is least. The cost of a bucket obeys the quadrangle inequality,
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import word_count
+from tessera.llm.text import token_count
 from tessera.plans.scratch import stage
 
 BUCKETS, MAX_LENGTH, BUDGET, GROUP_BATCHES, GROUP_ROWS = 16, 4096, 65536, 64, 1024
@@ -61,19 +62,22 @@ def optimal_boundaries(lengths, counts, buckets: int) -> list[int]:
     return out[::-1]
 
 
-def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
-    """``id, segment, start, length``: whole texts in pieces of at most ``max_length`` words; an empty text has one of length 0."""
-    n = word_count(F.coalesce(F.col(text_col), F.lit("")))
+def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH, tokens_col: str | None = None) -> DataFrame:
+    """``id, segment, start, length`` and with ``tokens_col`` also ``tokens``: whole texts in pieces of at most ``max_length`` tokens; an empty text has one of length 0."""
+    n = F.coalesce(F.size(tokens_col), F.lit(0)).cast("long") if tokens_col else token_count(F.coalesce(F.col(text_col), F.lit("")))
+    n = F.greatest(n, F.lit(0).cast("long"))
+    own = docs.select(F.col(id_col).alias("id"), n.alias("words"), *([F.col(tokens_col).alias("all")] if tokens_col else []))
+    length = F.least(F.lit(max_length).cast("long"), F.col("words") - F.col("start"))
+    cut = F.when(F.col("words") > max_length, F.slice("all", (F.col("start") + 1).cast("int"), F.lit(max_length))).otherwise(F.coalesce("all", F.array().cast("array<int>"))) if tokens_col else None
     return (
-        docs.select(F.col(id_col).alias("id"), n.alias("words"))
-        .withColumn("segment", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / max_length).cast("int")))))
+        own.withColumn("segment", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / max_length).cast("int")))))
         .withColumn("start", F.col("segment").cast("long") * max_length)
-        .select("id", "segment", "start", F.least(F.lit(max_length).cast("long"), F.col("words") - F.col("start")).alias("length"))
+        .select("id", "segment", "start", length.alias("length"), *([cut.alias("tokens")] if tokens_col else []))
     )
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_length: int = MAX_LENGTH, budget: int = BUDGET) -> DataFrame:
-    """``id, segment, start, length, bucket, boundary, pack_group, batch, slot`` of every segment.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_length: int = MAX_LENGTH, budget: int = BUDGET, tokens_col: str | None = None) -> DataFrame:
+    """``id, segment, start, length, bucket, boundary, pack_group, batch, slot`` of every segment, and its ``tokens`` where ``tokens_col`` holds ids.
 
     ``(bucket, pack_group, batch)`` names a batch; its segments have slots from 0 and
     are padded to ``boundary``. A batch never exceeds ``budget`` padded tokens
@@ -81,7 +85,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     empty texts form segments of length 0, padded like others of their bucket.
     Rows that repeat an id are packed each. An empty table gives an empty result.
     """
-    pieces = stage(segments(docs, id_col, text_col, max_length), "segments")
+    pieces = stage(segments(docs, id_col, text_col, max_length, tokens_col), "segments")
     # At most max_length + 1 rows.
     histogram = pieces.groupBy("length").count().toPandas()
     ends = optimal_boundaries(histogram["length"], histogram["count"], buckets)
@@ -103,6 +107,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     return dealt.select(
         "id", "segment", "start", "length", "bucket", "boundary", "pack_group",
         F.floor(F.col("n") / pick(capacity)).cast("int").alias("batch"), (F.col("n") % pick(capacity)).cast("int").alias("slot"),
+        *(["tokens"] if tokens_col else []),
     )
 
 

@@ -19,10 +19,11 @@ one, since no shard could hold it and stay near the others.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import word_count
+from tessera.llm.columns import free_name
+from tessera.llm.text import token_count
 from tessera.plans.scratch import stage
 
 SHARDS, RESOLUTION, PARCELS = 16, 256, 4096
@@ -48,8 +49,12 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, resolution: int = RESOLUTION, parcels: int = PARCELS) -> DataFrame:
-    """``id, size, tokens, text_crc32, shard, slot`` of every row.
+    """``id, size, tokens, text_crc32, text_hash, shard, slot`` of every row.
 
     ``size`` is the text's UTF-8 bytes plus 1; a null text has none and counts as
     empty. Slots number the rows of a shard without gaps from 0. Rows that repeat
@@ -61,39 +66,40 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
-            word_count(text).alias("tokens"),
+            token_count(text).alias("tokens"),
             F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-            F.xxhash64(text).alias("key"),
+            _text_hash(F.col(text_col)).alias("text_hash"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
     spark = docs.sparkSession
     total = rows.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     if not total["rows"]:
-        return rows.select("id", "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select("id", "size", "tokens", "text_crc32", "text_hash", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     cut = {d: max(1.0, total[d] / (shards * resolution)) for d in DIMS}
     is_heavy = (F.col("size") > cut["size"]) | (F.col("tokens") > cut["tokens"]) | (F.col("rows") > cut["rows"])
     chunk_rows = max(1, total["rows"] // parcels)
     heavy = stage(
-        rows.groupBy("key").agg(*sums).where(is_heavy).select("key", F.ceil(F.col("rows") / chunk_rows).cast("int").alias("chunks")),
+        rows.groupBy("text_hash").agg(*sums).where(is_heavy).select("text_hash", F.ceil(F.col("rows") / chunk_rows).cast("int").alias("chunks")),
         "heavy",
     )
     chunks = F.coalesce("chunks", F.lit(0))
     # At most 3 * shards * resolution rows of 12 bytes.
-    dealt = rows.join(F.broadcast(heavy), "key", "left").select(
-        "id", "size", "tokens", "text_crc32",
+    dealt = rows.join(F.broadcast(heavy), "text_hash", "left").select(
+        "id", "size", "tokens", "text_crc32", "text_hash",
         (chunks > 0).alias("heavy"),
-        F.when(chunks > 0, F.col("key")).otherwise(F.pmod("key", F.lit(parcels).cast("long"))).alias("unit"),
-        F.when(chunks > 0, F.pmod(F.xxhash64("id"), chunks.cast("long"))).otherwise(F.lit(0)).cast("int").alias("chunk"),
+        F.when(chunks > 0, F.col("text_hash")).otherwise(F.pmod("text_hash", F.lit(parcels).cast("long"))).alias("unit"),
+        F.when(chunks > 0, F.pmod(F.xxhash64(F.col("id"), F.when(F.col("id").isNull(), F.col("row"))), chunks.cast("long"))).otherwise(F.lit(0)).cast("int").alias("chunk"),
     )
     units = dealt.groupBy("heavy", "unit", "chunk").agg(*sums).toPandas().sort_values(["heavy", "unit", "chunk"], ignore_index=True)
     placed = _place_units(units, shards)
     # One row for each unit's chunk: as many as were collected.
     where = F.broadcast(spark.createDataFrame(placed, "heavy boolean, unit long, chunk int, shard int, first long"))
-    order = "row_number() over (partition by heavy, unit, chunk order by id, size, text_crc32)"
+    order = "row_number() over (partition by heavy, unit, chunk order by id, size, text_crc32, text_hash)"
     return dealt.withColumn("n", F.expr(order)).join(where, ["heavy", "unit", "chunk"]).select(
-        "id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("n") - 1).alias("slot")
+        "id", "size", "tokens", "text_crc32", "text_hash", "shard", (F.col("first") + F.col("n") - 1).alias("slot")
     )
 
 
@@ -111,13 +117,23 @@ def _place_units(units, shards: int):
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> None:
-    """Write the rows of ``docs`` as Parquet below ``path``, one ``shard=`` folder for each shard.
+    """Write the rows of ``docs`` as Parquet below ``path``, one folder ``shard=`` for each shard.
 
-    Ids are taken to be distinct here: a row finds its shard by id.
+    Every row is written once: rows that repeat an id find their places by id and
+    text, and those that repeat both by a number among them. A column ``shard`` of
+    ``docs`` would clash with the name of the folders and is written as ``_shard``,
+    lengthened until it is free.
     """
-    where = assign(docs, id_col, text_col, shards).select(F.col("id").alias("_id"), "shard", "slot")
-    joined = docs.join(where, docs[id_col].eqNullSafe(where["_id"])).drop("_id")
-    joined.repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if "shard" in (c.lower() for c in docs.columns):
+        docs = docs.withColumnRenamed("shard", free_name(docs, "_shard"))
+    mark, at, own_id, own_mark, own_at, slot = (free_name(docs, x) for x in ("_mark", "_at", "_own_id", "_own_mark", "_own_at", "_slot"))
+    numbered = lambda names: F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    where = stage(assign(docs, id_col, text_col, shards), "places").withColumn("at", numbered(["id", "text_hash"]))
+    where = where.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_mark), F.col("at").alias(own_at), "shard", F.col("slot").alias(slot))
+    own = docs.withColumn(mark, _text_hash(F.col(text_col))).withColumn(at, numbered([id_col, mark]))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_mark)) & (F.col(at) == F.col(own_at))
+    joined = own.join(where, same).drop(mark, at, own_id, own_mark, own_at)
+    joined.repartition("shard", F.pmod(F.col(slot), F.lit(64))).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

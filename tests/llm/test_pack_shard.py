@@ -88,3 +88,29 @@ def test_a_group_that_fits_into_a_shard_is_not_split():
     units = pd.DataFrame(heavy + [(False, u, 0, 10, 10, 10) for u in range(152)], columns=["heavy", "unit", "chunk", "size", "tokens", "rows"])
     placed = sharding._place_units(units, 16)
     assert placed[placed["heavy"]]["shard"].nunique() == 1 and (units.groupby(placed["shard"])["rows"].sum() == 100).all()
+
+
+def test_written_shards_with_repeated_ids_and_any_columns(spark, docs, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, None), (None, ""), (2, "c d"), (2, "c d")]
+    df = docs(rows)
+    for name in ("_mark", "_at", "_own_id", "_slot", "_shard", "slot", "at"):
+        df = df.withColumn(name, df["n"] + 4)
+    sharding.write_shards(df, f"file://{tmp_path}/out", shards=3)
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(rows, key=str)
+    assert set(df.drop("shard").columns) <= set(out.columns)
+
+
+def test_packed_ids_are_whole(spark):
+    rows = [(1, list(range(25))), (2, []), (3, None), (4, [7] * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    out = packing.pack(df, buckets=2, max_length=10, budget=40, tokens_col="ids").collect()
+    for i, ids in rows:
+        own = sorted((r["segment"], r["tokens"]) for r in out if r["id"] == i)
+        assert sum((t for _, t in own), []) == (ids or []) and all(len(t) <= 10 for _, t in own)
+    assert all(r["length"] == len(r["tokens"]) for r in out)
+
+
+def test_letters_without_spaces_are_tokens(docs):
+    out = packing.pack(docs([(1, "漢字 and かな"), (2, "plain words")])).collect()
+    assert {r["id"]: r["length"] for r in out} == {1: 5, 2: 2}
