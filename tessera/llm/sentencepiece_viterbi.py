@@ -10,8 +10,9 @@ and it is what the merges give. Either way the ids equal those of the library.
 Memory is a window: a piece has at most ``longest`` characters, so only the last
 ``longest`` places can be extended. As soon as the back-pointers of all of them
 meet in one boundary, the ids before it are committed and forgotten. No piece
-crosses from a word to the space that follows or holds a line break, so words
-are searched one by one and their ids remembered.
+crosses from a word to the space that follows or holds a line break, so the paths
+meet at the end of each word: words are searched one by one, all of them through
+the same window, and what was committed for a short word is remembered.
 
 Characters without a piece become byte pieces. Texts of any length are encoded
 whole.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD_CACHE, PAIR_CACHE, LONG_WORD = 600_000, 1_000_000, 256
+WORD_CACHE, PAIR_CACHE = 600_000, 1_000_000
+#: Characters between two commits, and the longest word whose ids are remembered.
+STEP, REMEMBERED = 32, 48
 
 
 class Vocabulary:
@@ -161,18 +165,15 @@ class StreamingViterbi:
 
     def push(self, text: str) -> list[int]:
         out = []
-        for at in range(0, len(text), LONG_WORD):
-            self.text += text[at : at + LONG_WORD]
+        for at in range(0, len(text), STEP):
+            self.text += text[at : at + STEP]
             while len(self.last) <= len(self.text):
                 self._extend(len(self.last))
             out += self._commit()
         return out
 
     def whole(self, word: str) -> list[int]:
-        self.text = word
-        for i in range(1, len(word) + 1):
-            self._extend(i)
-        return self.finish()
+        return self.push(word) + self.finish()
 
     def finish(self) -> list[int]:
         out = self._take(len(self.last) - 1)
@@ -180,29 +181,31 @@ class StreamingViterbi:
         return out
 
 
+class _Words(dict):
+    """Word to its ids; those of a word that is not yet there are committed by the search."""
+
+    def __init__(self, search: StreamingViterbi):
+        super().__init__()
+        self.search = search
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.search.whole(word))
+        if len(word) <= REMEMBERED and len(self) < WORD_CACHE:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes and decodes whole texts, remembering the ids of words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.search, self.words = vocabulary, StreamingViterbi(vocabulary), {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        if len(word) > LONG_WORD:
-            return tuple(self.search.push(word) + self.search.finish())
-        ids = tuple(self.search.whole(word))  # shorter than a window's worth of text: nothing to commit early
-        if len(self.words) < WORD_CACHE:
-            self.words[word] = ids
-        return ids
+        self.v, self.words = vocabulary, _Words(StreamingViterbi(vocabulary))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         shown = ((" " if self.v.prefix else "") + text).replace(" ", SPACE)
-        words, out = self.words, []
-        for word in self.v.cut.findall(shown) if self.v.cut else [shown]:
-            ids = words.get(word)
-            out += self._word(word) if ids is None else ids
-        return out
+        return list(chain.from_iterable(map(self.words.__getitem__, self.v.cut.findall(shown) if self.v.cut else [shown])))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.v.output.__getitem__, ids)).decode("utf-8", "replace")
