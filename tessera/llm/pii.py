@@ -1,15 +1,15 @@
 """Personal data replaced by surrogates (operator 8; SQL functions only).
 
-*Detection.* One pattern finds e-mail addresses, IP addresses, phone, card and
+*Detection.* One pattern finds e-mail addresses, IP addresses (not after "version"), phone, card and
 identity numbers, IBANs, secrets (long hexadecimal strings, keys with a known
 prefix, long strings of mixed letters and digits) and names after a form of
 address. Further mentions of these names in the same document are replaced too.
 *Units.* An entity is reduced to what coreference depends on: a
 phone number to its last ten digits without prefixes of country and trunk, an address to lower case, a person to given
 name and surname, each replaced by itself, so that "Mr. Jo Smith" and "Mr. Smith"
-stay one person.
+stay one person. In a document that has "Mrs. Jo Smith", "Dr. Jo Smith" is she.
 
-*Surrogates* come from a keyed hash of kind and unit: digits for digits and
+*Surrogates* come from the HMAC of kind and unit under the caller's key: digits for digits and
 letters for letters in the format found; card numbers and IBANs with valid check
 digits where the original has them; names in the script found, with an ending by
 gender. Addresses go to a reserved domain.
@@ -23,17 +23,20 @@ documents that hold them; all other documents need no join.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
+from tessera.llm.columns import free_name
 from tessera.plans.scratch import stage
 
 KEY, ID_BITS, ATTEMPTS = "surrogates-1", 1 << 25, 40
 
-MALE = "Mr|Herr|Señor|Sr|Monsieur|Господин|г-н|Κύριος"
-FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Госпожа|г-жа|Κυρία"
-NEUTRAL = "Dr|Prof"
+MALE = "Mr|MR|Mister|Herr|HERR|Señor|SEÑOR|Sr|SR|Monsieur|MONSIEUR|Господин|г-н|Κύριος"
+FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Señora|SEÑORA|Señorita|Sra|SRA|Madame|MADAME|Mme|MME|Mlle|Госпожа|г-жа|Κυρία"
+NEUTRAL = "Dr|DR|Prof|PROF|Professor"
 #: A name ends before a possessive.
 _ALNUM, _NAME = r"\p{L}\p{N}", r"\p{Lu}(?:[\p{L}\-]|['’](?![sS](?!\p{L})))+"
 #: Numbers as written in Europe and America; grouped by one kind of separator where it could be a date or a list.
@@ -63,10 +66,12 @@ _SECRETS = [
     r"(?<![+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![+/=])",
     _MIXED,
 ]
+_HEX = "[0-9a-fA-F]{1,4}"
 #: Each stands for itself at any place of a text; no two kinds match the same string.
 PATTERNS = {
     "email": rf"(?<![{_ALNUM}._%+\-])[{_ALNUM}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])(?!\.\d)",
+    "ip": r"(?<![\d.])(?<!(?i:version|release|build|ver|rev|v)[ .:]{0,2})(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])(?!\.\d)",
+    "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=(?:[0-9a-fA-F]*:){{3}})(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?)(?![\w:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": rf"(?<![A-Za-z0-9])(?:{'|'.join(_SECRETS)})(?![A-Za-z0-9@])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -75,8 +80,8 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: What an entity of each kind starts with. Checked once at the start of a word, so that most places of a text cost one comparison.
-STARTS = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "secret": r"(?=[A-Za-z0-9+/_\-]{18}|ya29|eyJ)", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "person": "(?=[MHSDPFΚГг])"}
-ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"{STARTS[k]}(?:{PATTERNS[k]})" for k in ("ip", "iban", "secret", "ssn", "card", "phone", "person", "email")) + ")"
+STARTS = {"email": "", "ip": "(?=[0-9])", "ip6": "(?=[0-9a-fA-F]{0,4}:)", "iban": "(?=[A-Z]{2}[0-9])", "secret": r"(?=[A-Za-z0-9+/_\-]{18}|ya29|eyJ)", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "person": "(?=[MHSDPFΚГг])"}
+ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"{STARTS[k]}(?:{PATTERNS[k]})" for k in ("ip", "ip6", "iban", "secret", "ssn", "card", "phone", "person", "email")) + ")"
 
 
 #: A word that may be a name mentioned again.
@@ -136,6 +141,7 @@ def units_of(e: Column, kind: Column) -> Column:
         .when(kind == "iban", one("iban", F.replace(e, F.lit(" "), F.lit(""))))
         .when(kind == "secret", one("secret", F.when(F.rlike(e, F.lit("^[0-9a-fA-F]+$")), F.lower(e)).otherwise(e)))
         .when(kind == "ip", one("ip", e))
+        .when(kind == "ip6", one("ip6", F.lower(e)))
         .when(kind == "ssn", one("ssn", _digits(e)))
         .otherwise(one("card", _digits(e)))
     )
@@ -156,7 +162,7 @@ def _like(s: Column, h: Column) -> Column:
 
 
 def _hex_like(s: Column, h: Column) -> Column:
-    return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.lower(F.hex((_byte(h, i) + F.floor(i / 31).cast("int") * 5) % 16))), "")
+    return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex((_byte(h, i) + F.floor(i / 31).cast("int") * 5) % 16)))), "")
 
 
 def _name(unit: Column, part: str, h: Column, attempt: Column) -> Column:
@@ -181,8 +187,16 @@ def _mod97(iban: Column) -> Column:
 
 def surrogate(kind: Column, unit: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a unit, in canonical form."""
-    hashed = F.sha2(F.encode(F.concat_ws("\x1f", F.lit(key), kind, unit, attempt.cast("string")), "utf-8"), 256)
-    return let(hashed, lambda h: _drawn(kind, unit, h, attempt))
+    message = F.encode(F.concat_ws("\x1f", kind, unit, attempt.cast("string")), "utf-8")
+    return let(_hmac(message, key), lambda h: _drawn(kind, unit, h, attempt))
+
+
+def _hmac(message: Column, key: str) -> Column:
+    """HMAC-SHA-256 in hexadecimal digits."""
+    own = key.encode()
+    own = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    inner = F.unhex(F.sha2(F.concat(F.lit(bytearray(b ^ 0x36 for b in own)), message), 256))
+    return F.sha2(F.concat(F.lit(bytearray(b ^ 0x5C for b in own)), inner), 256)
 
 
 def _drawn(kind: Column, unit: Column, h: Column, attempt: Column) -> Column:
@@ -203,6 +217,7 @@ def _drawn(kind: Column, unit: Column, h: Column, attempt: Column) -> Column:
     email = F.concat(_like(F.substring_index(unit, "@", 1), h), F.lit("@mail"), domain, F.lit(".example.net"))
     out = F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
     out = out.when(kind == "iban", let(F.upper(_like(F.substr(unit, F.lit(5)), h)), iban)).when(kind == "secret", F.when(F.rlike(unit, F.lit("^[0-9a-f]+$")), _hex_like(unit, h)).otherwise(_like(unit, h)))
+    out = out.when(kind == "ip6", _hex_like(unit, h))
     out = out.when((kind == "card") & _luhn(unit), let(_like(unit, h), card))
     for part in "fmxs":
         out = out.when(kind == f"name_{part}", _name(unit, part, h, attempt))
@@ -222,9 +237,15 @@ def _in_format(e: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(e, ""), char), "")
 
 
-def _replacement(e: Column, attempts: Column, key: str) -> Column:
+def _resolved(u: Column, names: Column) -> Column:
+    """A given name after a title that tells no gender is that of the document's person whose gender is told."""
+    told = F.get(F.filter(names, lambda n: (n["unit"] == u["unit"]) & n["kind"].isin("name_f", "name_m")), F.lit(0))
+    return F.when(u["kind"] == "name_x", F.coalesce(told, u)).otherwise(u)
+
+
+def _replacement(e: Column, attempts: Column, key: str, names: Column) -> Column:
     attempt = lambda u: F.coalesce(F.element_at(attempts, F.concat_ws(":", u["kind"], u["unit"])), F.lit(0))
-    drawn = lambda kind: F.transform(units_of(e, kind), lambda u: surrogate(u["kind"], u["unit"], attempt(u), key))
+    drawn = lambda kind: F.transform(F.transform(units_of(e, kind), lambda u: _resolved(u, names)), lambda u: surrogate(u["kind"], u["unit"], attempt(u), key))
     return let(kind_of(e), lambda kind: let(drawn(kind), lambda d: _shown(e, kind, d)))
 
 
@@ -240,7 +261,7 @@ def _shown(e: Column, kind: Column, drawn: Column) -> Column:
         F.when(kind == "person", person)
         .when(kind == "email", F.when((F.upper(e) == e), F.upper(first)).otherwise(first))
         .when(kind == "ip", first)
-        .when(kind == "secret", F.array_join(secret, ""))
+        .when(kind.isin("secret", "ip6"), F.array_join(secret, ""))
         .otherwise(let(first, lambda s: _in_format(e, s)))
     )
 
@@ -250,8 +271,8 @@ def entities(text: Column) -> Column:
 
 
 def _names(found: Column) -> Column:
-    """Array of (kind, unit) of the names found in a document."""
-    return F.flatten(F.transform(F.filter(found, lambda e: F.rlike(e, F.lit(f"^(?:{MALE}|{FEMALE}|{NEUTRAL})\\.? ")) & (kind_of(e) == "person")), lambda e: units_of(e, F.lit("person"))))
+    """Array of (kind, unit) of the names found in a document; given names of a told gender come first."""
+    return F.array_sort(F.flatten(F.transform(F.filter(found, lambda e: F.rlike(e, F.lit(f"^(?:{MALE}|{FEMALE}|{NEUTRAL})\\.? ")) & (kind_of(e) == "person")), lambda e: units_of(e, F.lit("person")))))
 
 
 def _mentions(text: Column, names: Column, attempts: Column, key: str) -> Column:
@@ -271,7 +292,7 @@ def rewritten(text: Column, attempts: Column, key: str = KEY) -> Column:
 
     def joined(found: Column, names: Column) -> Column:
         part = lambda t: F.when((F.size(names) > 0) & (t != ""), _mentions(t, names, attempts, key)).otherwise(t)
-        shown = lambda b: F.transform(found, lambda e, i: F.concat(part(b[i]), _replacement(e, attempts, key)))
+        shown = lambda b: F.transform(found, lambda e, i: F.concat(part(b[i]), _replacement(e, attempts, key, names)))
         return let(F.split(text, ENTITY, -1), lambda b: F.concat(F.array_join(shown(b), ""), part(F.element_at(b, -1))))
 
     return let(entities(text), lambda found: F.when(F.size(found) > 0, let(_names(found), lambda names: joined(found, names))).otherwise(text))
@@ -308,15 +329,20 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if again.isEmpty():
         return docs.withColumn(text_col, rewritten(F.col(text_col), none, key))
     # A document has few units, and these are the few of them drawn again.
-    by_doc = held.join(again, ["kind", "unit"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), "attempt"))).alias("_attempts"))
+    by_doc = held.join(again, ["kind", "unit"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), "attempt"))).alias("attempts"))
     by_doc = stage(by_doc, "attempts")
-    flagged = bitmap.probe(docs, F.col(id_col), bitmap.build(by_doc, F.col("_id"), ID_BITS), ID_BITS, "_maybe")
-    touched = flagged.where("_maybe").join(by_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    both = flagged.where("not _maybe").withColumn("_attempts", none).unionByName(touched)
-    return both.withColumn(text_col, rewritten(F.col(text_col), F.col("_attempts"), key)).drop("_maybe", "_attempts")
+    maybe, own_id, own = (free_name(docs, x) for x in ("_maybe", "_own_id", "_attempts"))
+    flagged = bitmap.probe(docs, F.col(id_col), bitmap.build(by_doc, F.col("_id"), ID_BITS), ID_BITS, maybe)
+    named = by_doc.select(F.col("_id").alias(own_id), F.col("attempts").alias(own))
+    touched = flagged.where(F.col(maybe)).join(named, F.col(id_col).eqNullSafe(F.col(own_id)), "left").drop(own_id)
+    both = flagged.where(~F.col(maybe)).withColumn(own, none).unionByName(touched)
+    return both.withColumn(text_col, rewritten(F.col(text_col), F.col(own), key)).drop(maybe, own)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    """Every document with its surrogates in place; ``changed`` says whether any was needed."""
+    """Every document with its surrogates in place; ``changed`` says whether any was needed.
+
+    The key is the setting ``spark.tessera.pii.key``; without one, a public key for tests.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("text").alias("source_text"))
-    return replace_pii(docs).select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("source_text"))).alias("changed"))
+    return replace_pii(docs, key=spark.conf.get("spark.tessera.pii.key", KEY)).select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("source_text"))).alias("changed"))
