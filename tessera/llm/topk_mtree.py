@@ -4,156 +4,276 @@
 sqrt(M^2 - |x|^2), and a query 0. Then |q' - x'|^2 = |q|^2 + M^2 - 2 q.x: the
 highest products are the nearest neighbours of a metric.
 
-*Tree.* ``NODES`` routing objects are picked by farthest-first traversal from a
-sample of ``SAMPLE`` rows. Every row goes to its nearest one; a node's rows are
-dealt by a hash into pages of about ``PAGE_ROWS``, so copies of one vector fill
-many pages. A page is cut into leaves around local routing objects. A leaf
-stores its covering radius, its distance to the node above, and the distance of
-each entry to its own routing object. Leaves are written as a table.
-
-*Search.* Queries come in blocks of about ``QUERY_BLOCK``, so what is broadcast
-is bounded. Each task searches its part of the leaves best first, from the
-smallest lower bound: subtrees, leaves and entries whose stored distances prove,
-by the triangle inequality, that they are farther than the k-th best so far are
-never compared. A first bound comes from the sample, whose rows are candidates
-too. The best k of all tasks are merged by a window with a partial limit.
+*Tree.* It grows by levels. A node of more rows than a page holds gets routing
+objects, picked from a bounded sample of its rows, as many as the pages it needs
+and ``FANOUT`` at most; its rows go to the nearest one. This repeats until each
+node fills one page. A node whose sample is one vector repeated is cut into
+pages by a hash, so copies fill many pages. A page is a row of a table with its
+routing object and covering radius, and its leaves: for each its routing object,
+distance to that of the page, covering radius, and the distance of each entry.
+
+*Bounds.* Each query first meets the page that its own row lies in; its k-th best
+there bounds the result from below.
+
+*Search.* Pages come in groups of ``GROUP_PAGES``. A task holds one group and
+streams blocks of ``QUERY_BLOCK`` queries past it. Each query takes the pages in
+the order of their lower bounds; the queries of a block that are at the same page
+are compared in one product. Pages, leaves and entries whose stored distances
+prove, by the triangle inequality, that they are farther than the k-th best so
+far are never compared. The best k of all groups are merged by a window with a
+partial limit. Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import stage
 
-NODES, SAMPLE, PAGE_ROWS, LEAF_ROWS, QUERY_BLOCK = 64, 2048, 2048, 256, 8192
+#: Routing objects of a node, rows that they are picked from, rows of a page and of a leaf, pages of a group, queries of a block.
+FANOUT, SAMPLE, PAGE_ROWS, LEAF_ROWS, GROUP_PAGES, QUERY_BLOCK = 64, 512, 2048, 256, 8, 2048
+#: Rows that one task deals to routing objects at a time, and the deepest level of the tree.
+CHUNK_ROWS, DEPTH = 16384, 9
+#: Components that a page, a chunk or a block of queries holds at most: 16 MB.
+HELD = 1 << 21
 #: Lower bounds are lowered by this share, so that rounding never prunes a tie.
-SLACK = 1e-9
+SLACK = 1e-7
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component x as double; null for a null vector or one with a null or non-finite component."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
+    doubles = F.transform(vector, lambda x: x.cast("double") * scale)
     good = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(doubles, lambda x: F.floor(x * scale)))
+    # From 2^53 on every double is whole, and floor() would leave the range of a long.
+    whole = F.transform(doubles, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
+    return F.when(F.coalesce(good, F.lit(False)), whole)
 
 
-def _matrix(rows, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _fitting(rows: int, dims: int) -> int:
+    return max(1, min(rows, HELD // dims))
+
+
+def _block(column: pa.Array, dims: int) -> np.ndarray:
+    """A list column as a matrix, shorter vectors padded with zeros."""
+    flat = np.asarray(column.flatten(), float)
+    if len(flat) == len(column) * dims:
+        return flat.reshape(-1, dims)
+    sizes = np.asarray(column.value_lengths())
+    out = np.zeros((len(column), dims))
+    out[np.arange(dims) < sizes[:, None]] = flat
     return out
 
 
-def _augmented(x: np.ndarray, longest: int) -> np.ndarray:
-    f = x.astype(float)
-    return np.hstack([f, np.sqrt(np.maximum(0.0, longest - (f * f).sum(1)))[:, None]])
+def _augmented(x: np.ndarray, longest: float, unit: float = 1.0) -> np.ndarray:
+    """Points of the metric; ``unit`` scales vectors whose squares leave the range of doubles, and ``longest`` is in that unit."""
+    x = x * unit
+    return np.hstack([x, np.sqrt(np.maximum(0.0, longest - (x * x).sum(1)))[:, None]])
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T))
 
 
-def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
-    """Rows of up to ``k`` distinct vectors, each the farthest from those before it."""
-    chosen, gap = [0], _distances(x, x[:1])[:, 0]
-    while len(chosen) < k:
-        at = int(gap.argmax())
-        if gap[at] <= 1e-6:
+def routing_objects(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Up to ``k`` distinct rows: each next one is drawn with the square of its distance to those before it."""
+    chosen, rng = [0], np.random.default_rng(seed)
+    gap = _distances(x, x[:1])[:, 0] ** 2
+    floor = 1e-12 * max(1.0, float((x[0] * x[0]).sum()))
+    while len(chosen) < min(k, len(x)):
+        gap[gap <= floor] = 0.0
+        total = gap.sum()
+        if total <= 0:
             break
+        at = min(int(np.searchsorted(gap.cumsum(), rng.random() * total, side="right")), len(x) - 1)
         chosen.append(at)
-        gap = np.minimum(gap, _distances(x, x[at : at + 1])[:, 0])
+        gap = np.minimum(gap, _distances(x, x[at : at + 1])[:, 0] ** 2)
     return np.array(chosen)
 
 
-def build_leaves(vectors: DataFrame, routing: np.ndarray, longest: int, dims: int, node_rows: dict[int, int], placed: DataFrame) -> DataFrame:
-    """One row for each leaf: node, distance to it, radius, routing object, entries with their distances."""
-    pages = [max(1, -(-node_rows.get(n, 0) // PAGE_ROWS)) for n in range(len(routing))]
-    page = F.pmod(F.xxhash64("id"), F.element_at(F.array(*map(F.lit, pages)), F.col("node") + 1).cast("long"))
-
-    def leaves(page: pd.DataFrame) -> pd.DataFrame:
-        node = int(page["node"].iloc[0])
-        page = page.sort_values("id", ignore_index=True)
-        x = _matrix(page["v"], dims)
-        f = _augmented(x, longest)
-        pivots = f[farthest_first(f, max(1, len(f) // LEAF_ROWS))]
-        gap = _distances(f, pivots)
-        own, out = gap.argmin(1), []
-        for k in range(len(pivots)):
-            at = np.flatnonzero(own == k)
-            if len(at):
-                d = gap[at, k]
-                up = float(_distances(pivots[k : k + 1], routing[node : node + 1])[0, 0])
-                out.append((node, up, float(d.max()), pivots[k].tobytes(), page["id"].to_numpy()[at].tolist(), x[at].tobytes(), d.tobytes()))
-        return pd.DataFrame(out, columns=["node", "up", "radius", "pivot", "ids", "vectors", "gaps"])
-
-    dealt = placed.withColumn("page", page)
-    return dealt.groupBy("node", "page").applyInPandas(leaves, "node int, up double, radius double, pivot binary, ids array<long>, vectors binary, gaps binary")
-
+def grow(rows: DataFrame, longest: float, dims: int, unit: float = 1.0) -> DataFrame:
+    """``rows`` (id, v, query, mark) with ``node``, each node small enough for a page, and ``pages`` (more than 1 only for repeated vectors)."""
+    fanout, sample_rows, page_rows, chunk_rows = FANOUT, SAMPLE, _fitting(PAGE_ROWS, dims), _fitting(CHUNK_ROWS, dims)
+    columns = "id long, v array<double>, query boolean, mark long"
+    placed, done = rows.withColumn("node", F.lit(0).cast("long")), []
+
+    def route(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.lexsort((np.asarray(table["mark"]), np.asarray(table["drawn"])))
+        x = _augmented(_block(table["v"].combine_chunks(), dims), longest, unit)[order]
+        need = -(-int(table["n"][0].as_py()) // max(1, page_rows // 2))
+        chosen = x[routing_objects(x, max(2, min(fanout, need)))]
+        return pa.table({"node": [key[0].as_py()], "routing": pa.array([chosen.tobytes()], pa.binary())})
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return left.select(["id", "v", "query", "mark", "node"]).append_column("flat", pa.array([], pa.bool_()))
+        routing = np.frombuffer(right["routing"][0].as_py()).reshape(-1, dims + 1)
+        x = _augmented(_block(left["v"].combine_chunks(), dims), longest, unit)
+        node = np.asarray(left["node"])
+        child = node * fanout + 1 + _distances(x, routing).argmin(1)
+        flat = len(routing) == 1
+        out = left.select(["id", "v", "query", "mark"]).append_column("node", pa.array(node if flat else child))
+        return out.append_column("flat", pa.array(np.full(len(left), flat)))
+
+    for level in range(DEPTH):
+        counts = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        counts = stage(counts.withColumn("large", F.col("n") > page_rows), "nodes")
+        large = counts.where("large").select("node", "n", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+        if large.isEmpty():
+            done.append(placed.withColumn("pages", F.lit(1)))
+            break
+        done.append(placed.join(counts.where("not large").select("node"), "node", "left_semi").select("id", "v", "query", "mark", "node").withColumn("pages", F.lit(1)))
+        open_rows = placed.join(large, "node")
+        drawn = open_rows.withColumn("drawn", F.xxhash64("id", F.lit(level)))
+        first = drawn.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("drawn", "mark"))).where(F.col("at") <= sample_rows)
+        routing = first.groupBy("node").applyInArrow(route, "node long, routing binary")
+        routing = stage(routing.join(large, "node").select("node", "routing", "n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")), "routing")
+        dealt = open_rows.withColumn("chunk", F.pmod(F.xxhash64("id", "mark"), F.col("chunks").cast("long")).cast("int"))
+        split = dealt.groupBy("node", "chunk").cogroup(routing.groupBy("node", "chunk")).applyInArrow(deal, f"{columns}, node long, flat boolean")
+        split = stage(split, "placed")
+        flat = split.where("flat").join(large, "node").withColumn("pages", F.ceil(F.col("n") / page_rows).cast("int"))
+        done.append(flat.select("id", "v", "query", "mark", "node", "pages"))
+        placed = split.where("not flat").drop("flat")
+    else:  # deeper than any tree of distinct vectors that the levels can hold
+        sizes = placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("pages"))
+        done.append(placed.join(sizes, "node").select("id", "v", "query", "mark", "node", "pages"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
-def search_leaves(leaves: list, queries, k: int):
-    """Best-first search of one task's part of the tree; yields (query row, ids, scores).
 
-    leaves: rows of :func:`build_leaves`; queries: (ids, vectors, first bounds, routing objects, longest).
-    """
-    q_ids, q, bound, routing, longest = queries
-    dims = q.shape[1]
-    exact = np.float64 if longest < 2**50 and (q.astype(float) ** 2).sum(1).max(initial=0) < 2**50 else np.int64
-    pivots = np.stack([np.frombuffer(x["pivot"]) for x in leaves])
-    node, up, radius = (np.array([x[c] for x in leaves]) for c in ("node", "up", "radius"))
-    ids = [np.asarray(x["ids"], np.int64) for x in leaves]
-    rows = [np.frombuffer(x["vectors"], np.int64).reshape(-1, dims).astype(exact) for x in leaves]
-    gaps = [np.frombuffer(x["gaps"]) for x in leaves]
-    members = {int(n): np.flatnonzero(node == n) for n in np.unique(node)}
-    reach = {n: float((up[m] + radius[m]).max()) for n, m in members.items()}
-    f = np.hstack([q.astype(float), np.zeros((len(q), 1))])
-    to_nodes = _distances(f, routing)
+PAGE = "pivot binary, radius double, ids binary, vectors binary, gaps binary, ends binary, leaf_pivots binary, leaf_ups binary, leaf_radii binary, q_ids array<long>, q_marks array<long>, q_lows array<long>"
+
+
+def build_pages(placed: DataFrame, longest: float, dims: int, k: int, unit: float = 1.0) -> DataFrame:
+    """One row for each page; ``q_*`` are the queries whose own row lies in it, with their first bounds."""
+    leaf_rows = LEAF_ROWS
+    page = F.pmod(F.xxhash64("id", "mark", F.lit("page")), F.col("pages").cast("long"))
+
+    def build(table: pa.Table) -> pa.Table:
+        order = np.lexsort((np.asarray(table["mark"]), np.asarray(table["id"])))
+        x = _block(table["v"].combine_chunks(), dims)[order]
+        ids, marks, asked = (np.asarray(table[c])[order] for c in ("id", "mark", "query"))
+        f = _augmented(x, longest, unit)
+        leaves = f[routing_objects(f, -(-len(f) // leaf_rows), seed=1)]
+        gap = _distances(f, leaves)
+        own = gap.argmin(1)
+        by_leaf = np.argsort(own, kind="stable")
+        own, x, f, ids, marks, asked = own[by_leaf], x[by_leaf], f[by_leaf], ids[by_leaf], marks[by_leaf], asked[by_leaf]
+        used, starts = np.unique(own, return_index=True)
+        leaves, gaps = leaves[used], gap[by_leaf, own]
+        pivot = f[_distances(f, f.mean(0, keepdims=True))[:, 0].argmin()][None]
+        radii = np.maximum.reduceat(gaps, starts)
+        at = np.flatnonzero(asked)
+        lows = np.concatenate([first_bounds(ids[at[i : i + 512]], x[at[i : i + 512]], ids, x, k) for i in range(0, len(at), 512)] or [np.zeros(0, np.int64)])
+        cells = {
+            "pivot": pivot.tobytes(), "radius": float(_distances(f, pivot).max()), "ids": ids.tobytes(), "vectors": x.tobytes(), "gaps": gaps.tobytes(),
+            "ends": np.append(starts[1:], len(x)).astype(np.int64).tobytes(), "leaf_pivots": leaves.tobytes(), "leaf_ups": _distances(leaves, pivot)[:, 0].tobytes(),
+            "leaf_radii": radii.tobytes(), "q_ids": ids[at].tolist(), "q_marks": marks[at].tolist(), "q_lows": lows.tolist(),
+        }
+        return pa.Table.from_pylist([cells], schema=_PAGE_SCHEMA)
+
+    return placed.withColumn("page", page).groupBy("node", "page").applyInArrow(build, PAGE)
+
+
+_KINDS = {"binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+_PAGE_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in PAGE.split(", ")])
+
+
+def scores_of(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products; those beyond a long count as the nearest long."""
+    with np.errstate(over="ignore"):
+        top = np.sqrt((q * q).sum(1).max(initial=0.0)) * np.sqrt((x * x).sum(1).max(initial=0.0))
+    if top < 2.0**52:  # every partial sum is exact
+        return (q @ x.T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(q).dot(whole(x).T), LEAST, MOST).astype(np.int64)
+
+
+def first_bounds(ids: np.ndarray, q: np.ndarray, other_ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among rows of other ids; the least long if there are fewer."""
+    score = np.where(ids[:, None] == other_ids, LEAST, scores_of(q, x))
+    if score.shape[1] < k:
+        return np.full(len(ids), LEAST)
+    return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+
+
+class Page:
+    """A page read back from its row."""
+
+    def __init__(self, row: dict, dims: int):
+        part = lambda name, kind=float: np.frombuffer(row[name], kind)
+        self.pivot, self.radius = part("pivot")[None], row["radius"]
+        self.ids, self.gaps, self.ends = part("ids", np.int64), part("gaps"), part("ends", np.int64)
+        self.x = part("vectors").reshape(-1, dims)
+        self.leaves, self.ups, self.radii = part("leaf_pivots").reshape(-1, dims + 1), part("leaf_ups"), part("leaf_radii")
+        self.leaf_of = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+
+    def open_entries(self, f: np.ndarray, to_pivot: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Rows of the page that some of the queries still has to compare."""
+        near = np.abs(to_pivot[:, None] - self.ups) - self.radii <= limit[:, None]
+        leaves = np.flatnonzero(near.any(0))  # the others are ruled out without a distance
+        if not len(leaves):
+            return leaves
+        d = _distances(f, self.leaves[leaves])
+        near = near[:, leaves] & (d - self.radii[leaves] <= limit[:, None])
+        slot = np.full(len(self.ends), -1)
+        slot[leaves] = np.arange(len(leaves))
+        rows = np.flatnonzero(slot[self.leaf_of] >= 0)
+        column = slot[self.leaf_of[rows]]
+        keep = (near[:, column] & (np.abs(d[:, column] - self.gaps[rows]) <= limit[:, None])).any(0)
+        return rows[keep]
+
+
+def search(pages: list[Page], ids: np.ndarray, q: np.ndarray, lows: np.ndarray, longest: float, k: int, unit: float = 1.0):
+    """The rows (query number, id, score) among which the best k of these pages are, best first."""
+    f, low = np.hstack([q * unit, np.zeros((len(q), 1))]), lows.copy()
     square = (f * f).sum(1) + longest
-    for i in range(len(q)):
-        best: list[tuple] = []  # a heap of (score, -id), worst first
-        low = bound[i]
-
-        def far(low, i=i) -> float:
-            return np.inf if low is None else np.sqrt(max(0.0, square[i] - 2 * low)) * (1 + SLACK) + SLACK
-
-        limit = far(low)
-        heap = [(to_nodes[i, n] - reach[n], 0, n) for n in members]
-        heapq.heapify(heap)
-        while heap:
-            least, kind, at = heapq.heappop(heap)
-            if least > limit:
-                break
-            if kind == 0:
-                m = members[at]
-                near = np.abs(to_nodes[i, at] - up[m]) - radius[m]
-                for leaf in m[near <= limit]:  # the others are ruled out without a distance
-                    d = float(np.sqrt(max(0.0, ((f[i] - pivots[leaf]) ** 2).sum())))
-                    if d - radius[leaf] <= limit:
-                        heapq.heappush(heap, (d - radius[leaf], 1, (int(leaf), d)))
-                continue
-            leaf, d = at
-            keep = np.flatnonzero((np.abs(d - gaps[leaf]) <= limit) & (ids[leaf] != q_ids[i]))
-            if not len(keep):
-                continue
-            score = rows[leaf][keep] @ q[i].astype(exact)
-            for s, x in zip(score.tolist(), ids[leaf][keep].tolist()):
-                entry = (int(s), -x)
-                if low is not None and entry[0] < low:
+    best = np.full((len(q), k), LEAST)
+    # A query that accepts every score has no limit.
+    limit_of = lambda at: np.where(low[at] == LEAST, np.inf, np.sqrt(np.maximum(0.0, square[at] - 2.0 * unit * (unit * low[at]))) * (1 + SLACK) + SLACK)
+    to_pivot = np.hstack([_distances(f, p.pivot) for p in pages])
+    least = to_pivot - np.array([p.radius for p in pages])
+    order = np.argsort(least, axis=1, kind="stable")
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for turn in range(len(pages)):
+        turned = order[:, turn]
+        live = np.flatnonzero(least[np.arange(len(q)), turned] <= limit_of(slice(None)))
+        for p in np.unique(turned[live]):
+            page, at = pages[p], live[turned[live] == p]
+            for i in range(0, len(at), 512):
+                part = at[i : i + 512]
+                rows = page.open_entries(f[part], to_pivot[part, p], limit_of(part))
+                if not len(rows):
+                    continue
+                score = scores_of(q[part], page.x[rows])
+                good = (score >= low[part, None]) & (ids[part, None] != page.ids[rows])
+                some = np.flatnonzero(good.any(1))
+                if not len(some):
                     continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-            if len(best) == k and (low is None or best[0][0] > low):
-                low = best[0][0]
-                limit = far(low)
-        if best:
-            yield i, [-x for _, x in best], [s for s, _ in best]
+                score, good, part = score[some], good[some], part[some]
+                a, b = np.nonzero(good)
+                found.append((part[a], page.ids[rows][b], score[a, b]))
+                merged = np.hstack([best[part], np.where(good, score, LEAST)])
+                best[part] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+                low[part] = np.maximum(low[part], best[part].min(1))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    a, other, score = (np.concatenate(x) for x in zip(*found))
+    keep = score >= low[a]
+    a, other, score = a[keep], other[keep], score[keep]
+    by = np.lexsort((other, ~score, a))
+    a, other, score = a[by], other[by], score[by]
+    first = np.searchsorted(a, a, side="left")
+    top = np.arange(len(a)) - first < k
+    return a[top], other[top], score[top]
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
@@ -161,78 +281,60 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     Ties go to the smaller id. Vectors that are null or hold a null or non-finite
     component, and rows without an id, take no part; shorter vectors are padded
-    with zeros. Rows that repeat an id count each as candidates, once as a query.
-    Fewer than ``k`` candidates are all returned; an empty table gives none.
-    Further columns are ignored.
+    with zeros. Rows that repeat an id count each as candidates, and once as a
+    query, with the vector that sorts first. A score beyond a long counts as the
+    nearest long. Fewer than ``k`` candidates are all returned; an empty table
+    gives none. Further columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = stage(
-        vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("id is not null and v is not null"),
-        "vectors",
-    )
-    length = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    facts = rows.agg(F.max(length).alias("longest"), F.max(F.size("v")).alias("dims"), F.sum(F.col("query").cast("long")).alias("queries")).first()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    spark, schema = vectors.sparkSession, "query_id long, vec_id long, score long"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    rows = stage(rows.where("id is not null and v is not null").withColumn("mark", F.xxhash64("v")), "vectors")
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    facts = rows.agg(F.max(length).alias("longest"), F.max(F.array_max(F.transform("v", F.abs))).alias("top"), F.max(F.size("v")).alias("dims"), F.sum(F.col("query").cast("long")).alias("queries")).first()
     if not facts["queries"]:
-        return none
-    longest, dims = int(facts["longest"]), max(1, int(facts["dims"]))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").toPandas()
-    sample_x = _matrix(sample["v"], dims)
-    f = _augmented(sample_x, longest)
-    routing = f[farthest_first(f, NODES)]
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            if len(frame):
-                yield frame.assign(node=_distances(_augmented(_matrix(frame["v"], dims), longest), routing).argmin(1).astype("int32"))
-
-    placed = stage(rows.select("id", "v").mapInPandas(nearest, "id long, v array<long>, node int"), "placed")
-    sizes = {r["node"]: r["count"] for r in placed.groupBy("node").count().collect()}  # NODES rows at most
-    leaves = stage(build_leaves(rows, routing, longest, dims, sizes, placed), "leaves")
-
-    blocks = -(-int(facts["queries"]) // QUERY_BLOCK)
-    asked = rows.where("query").select("id", "v").dropDuplicates(["id"])
-    found = none
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == b).toPandas().sort_values("id", ignore_index=True)
-        if not len(part):
-            continue
-        q, ids = _matrix(part["v"], dims), part["id"].to_numpy(np.int64)
-        kept = spark.sparkContext.broadcast((ids, q, _first_bounds(ids, q, sample["id"].to_numpy(np.int64), sample_x, k), routing, longest))
-
-        def search(batches: Iterator[pd.DataFrame], kept=kept) -> Iterator[pd.DataFrame]:
-            tree = [row for frame in batches for row in frame.to_dict("records")]
-            if not tree:
-                return
-            out, n = [], 0
-            for i, found_ids, scores in search_leaves(tree, kept.value, k):
-                out.append(pd.DataFrame({"query_id": kept.value[0][i], "vec_id": found_ids, "score": scores}))
-                n += len(found_ids)
-                if n >= 20_000:
-                    yield pd.concat(out)
-                    out, n = [], 0
-            if out:
-                yield pd.concat(out)
-
-        best = leaves.mapInPandas(search, "query_id long, vec_id long, score long")
-        ranked = best.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(f"rank <= {k}")
-        found = found.unionByName(ranked.select("query_id", "rank", "vec_id", "score"))
-    return found
-
-
-def _first_bounds(ids, q, sample_ids, sample_x, k: int) -> list:
-    """The k-th best score of each query within the sample, without its own row; None if it has fewer."""
-    out = []
-    for i in range(0, len(q), 1024):
-        score = q[i : i + 1024].astype(float) @ sample_x.T.astype(float)
-        score[ids[i : i + 1024, None] == sample_ids] = -np.inf
-        if score.shape[1] < k:
-            out += [None] * len(score)
-            continue
-        kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-        # Rounded down, in case the products exceed what doubles hold exactly.
-        out += [None if not np.isfinite(s) else int(np.floor(s - abs(s) * 1e-12)) for s in kth]
-    return out
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    longest, dims, unit = float(facts["longest"]), max(1, int(facts["dims"])), 1.0
+    if longest > 2.0**1000:
+        unit = 2.0**-math.frexp(facts["top"])[1]
+        longest = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x * unit) * (x * unit)))).first()[0])
+    pages = stage(build_pages(grow(rows, longest, dims, unit), longest, dims, k, unit), "pages")
+
+    lows = pages.select(F.explode(F.arrays_zip(F.col("q_ids").alias("id"), F.col("q_marks").alias("mark"), F.col("q_lows").alias("low"))).alias("x")).select("x.*")
+    lows = lows.groupBy("id", "mark").agg(F.max("low").alias("low"))
+    asked = rows.where("query").groupBy("id").agg(F.min(F.struct("v", "mark")).alias("x")).select("id", "x.*")
+    blocks, groups = -(-int(facts["queries"]) // _fitting(QUERY_BLOCK, dims)), -(-pages.count() // GROUP_PAGES)
+
+    def pack(table: pa.Table) -> pa.Table:
+        q = _block(table["v"].combine_chunks(), dims)
+        cells = [np.asarray(table["id"]).tobytes(), q.tobytes(), np.asarray(table["low"]).tobytes()]
+        return pa.table({n: pa.array([c], pa.binary()) for n, c in zip(("ids", "vectors", "lows"), cells)})
+
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks).cast("long"))
+    packed = asked.join(lows, ["id", "mark"]).withColumn("block", block).groupBy("block").applyInArrow(pack, "ids binary, vectors binary, lows binary")
+    packed = stage(packed, "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["grp"] != group:
+                    group, held = row["grp"], []
+                if row["kind"] == 0:
+                    held.append(Page(row, dims))
+                    continue
+                ids = np.frombuffer(row["ids"], np.int64)
+                a, other, score = search(held, ids, np.frombuffer(row["vectors"]).reshape(-1, dims), np.frombuffer(row["lows"], np.int64), longest, k, unit)
+                for i in range(0, len(a), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[part]]), pa.array(other[part]), pa.array(score[part])], names=["query_id", "vec_id", "score"])
+
+    # A group's pages come first, then the blocks of queries, one after the other.
+    own = pages.drop("q_ids", "q_marks", "q_lows").withColumn("grp", F.pmod(F.xxhash64("pivot", "ids"), F.lit(groups).cast("long"))).withColumn("kind", F.lit(0))
+    passing = packed.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).withColumn("kind", F.lit(1))
+    both = own.unionByName(passing, allowMissingColumns=True).repartition("grp").sortWithinPartitions("grp", "kind")
+    best = both.mapInArrow(run, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:

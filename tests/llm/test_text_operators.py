@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -294,3 +296,60 @@ def test_top_k_against_brute_force(spark, monkeypatch, sample):
     assert got == brute_top(rows, 7, [i for i in range(0, 420, 20)])
     assert topk_mtree.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk_mtree.top_k(df.where("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_of_huge_components_and_repeated_queries(spark):
+    rows = [(0, [1e10, 0.0]), (20, [1.0, 0.5]), (1, [-1e10, 1.0]), (2, [2.0, 2.0]), (3, [1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk_mtree.top_k(df, F.col("vec_id") % 20 == 0, k=10).orderBy("query_id", "rank").collect()]
+    whole = {i: [math.floor(64 * c) for c in v] for i, v in rows}
+    want = []
+    for i in (0, 20):
+        score = {j: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[i], whole[j])))) for j in whole if j != i}
+        want += [(i, r + 1, j, score[j]) for r, j in enumerate(sorted(score, key=lambda j: (-score[j], j)))]
+    assert got == want
+    twice = spark.createDataFrame([(0, [2.0, 0.0]), (0, [1.0, 1.0]), (0, [1.0, 1.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk_mtree.top_k(twice, F.col("vec_id") % 20 == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 5, 4096), (0, 2, 6, 4096)]
+
+
+def test_one_person_has_one_name_whatever_the_title(docs):
+    text = "Dr. Anna Smith met Mrs. Anna Smith. MR. JOHN DOE and Mr. John Doe. Anna left."
+    got = pii.replace_pii(docs([(1, text)])).first()["text"]
+    anna, other = re.match(r"Dr\. (\S+) (\S+) met Mrs\. (\S+) (\S+)\. MR\. (\S+) (\S+) and Mr\. (\S+) (\S+)\. (\S+) left\.", got).group(1, 5)
+    words = re.match(r"Dr\. (\S+) (\S+) met Mrs\. (\S+) (\S+)\. MR\. (\S+) (\S+) and Mr\. (\S+) (\S+)\. (\S+) left\.", got).groups()
+    assert words[0:2] == words[2:4] and words[8] == anna and words[4] == words[6].upper() == other and "Anna" not in got and "Doe" not in got
+
+
+def test_addresses_and_versions(docs):
+    rows = [(1, "at 2001:db8:85a3::8a2e:370:7334 now"), (2, "fe80::1ff:fe23:4567:890a"), (3, "version 10.0.0.1 build, v1.2.3.4"), (4, "std::vector a::b::c 12:30:45 01:02:03:04"), (5, "host 10.0.0.1")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs(rows)).collect()}
+    assert got[3] == rows[2][1] and got[4] == rows[3][1] and "10.0.0.1" not in got[5]
+    assert re.fullmatch(r"at [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} now", got[1]) and got[1] != rows[0][1]
+    assert re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}", got[2]) and got[2] != rows[1][1]
+
+
+def test_surrogates_depend_on_the_key_by_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long " * 30):
+        got = spark.range(1).select(pii._hmac(F.lit("message").cast("binary"), key).alias("h")).first()["h"]
+        assert got == hmac.new(key.encode(), b"message", hashlib.sha256).hexdigest()
+
+
+HIDDEN = ("_maybe", "_maybe_at", "_maybe_block", "_copy", "_dropped", "_own_id", "_own_copy", "_attempts", "_id", "_digest", "_gone_id", "_gone_digest", "_gone", "_mark", "_score", "e", "u", "kind", "unit")
+
+
+def test_operators_take_any_column_names(spark, docs, monkeypatch):
+    from tessera.llm import exact_dedup
+
+    line = "a line that stands in both of the documents"
+    df = docs([(1, f"mail a.b@c.example.org\n{line}"), (2, f"own text\n{line}"), (3, "OWN text\n" + line), (4, "mail d.e@f.example.org")])
+    for name in HIDDEN:
+        df = df.withColumn(name, df["n"] + 4)
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, unit, attempt, key: F.when(attempt == 0, F.lit("x@mail0.example.net")).otherwise(real(kind, unit, attempt, key)))
+    for out in (pii.replace_pii(df), exact_dedup.keep_one(df), line_dedup.drop_lines(df, out="gone_lines").drop("gone_lines")):
+        assert out.columns == df.columns
+        assert all(r[name] == 5 for r in out.collect() for name in HIDDEN)
