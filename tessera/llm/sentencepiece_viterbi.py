@@ -11,8 +11,8 @@ Memory is a window: a piece has at most ``longest`` characters, so only the last
 ``longest`` places can be extended. As soon as the back-pointers of all of them
 meet in one boundary, the ids before it are committed and forgotten. No piece
 crosses from a word to the space that follows or holds a line break, so the paths
-meet at the end of each word: words are searched one by one, all of them through
-the same window, and what was committed for a short word is remembered.
+meet at the end of each word at the latest: words are searched one by one, all of
+them through the same window, and what was committed for a short word is remembered.
 
 Characters without a piece become byte pieces. Texts of any length are encoded
 whole.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD_CACHE, PAIR_CACHE = 600_000, 1_000_000
+WORD_CACHE = PAIR_CACHE = 600_000
 #: Characters between two commits, and the longest word whose ids are remembered.
-STEP, REMEMBERED = 32, 48
+STEP, REMEMBERED = 16, 48
 
 
 class Vocabulary:
@@ -69,8 +69,8 @@ class Vocabulary:
 class StreamingViterbi:
     """push() text as it comes, finish() at its end; both return the ids that are certain by then."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remembered: int = PAIR_CACHE):
+        self.v, self.remembered = vocabulary, remembered
         self.pairs: dict[tuple[str, str], bool] = {}
         self.reset()
 
@@ -97,7 +97,7 @@ class StreamingViterbi:
         got = self.pairs.get((a, b))
         if got is None:
             got = self.merges(a + b) == [a, b]
-            if len(self.pairs) < PAIR_CACHE:
+            if len(self.pairs) < self.remembered:
                 self.pairs[a, b] = got
         return got
 
@@ -169,7 +169,8 @@ class StreamingViterbi:
             self.text += text[at : at + STEP]
             while len(self.last) <= len(self.text):
                 self._extend(len(self.last))
-            out += self._commit()
+            if len(self.text) > self.v.longest + STEP:
+                out += self._commit()
         return out
 
     def whole(self, word: str) -> list[int]:
@@ -184,13 +185,13 @@ class StreamingViterbi:
 class _Words(dict):
     """Word to its ids; those of a word that is not yet there are committed by the search."""
 
-    def __init__(self, search: StreamingViterbi):
+    def __init__(self, search: StreamingViterbi, remembered: int):
         super().__init__()
-        self.search = search
+        self.search, self.remembered = search, remembered
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = tuple(self.search.whole(word))
-        if len(word) <= REMEMBERED and len(self) < WORD_CACHE:
+        if len(word) <= REMEMBERED and len(self) < self.remembered:
             self[word] = ids
         return ids
 
@@ -198,8 +199,8 @@ class _Words(dict):
 class Encoder:
     """Encodes and decodes whole texts, remembering the ids of words."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.words = vocabulary, _Words(StreamingViterbi(vocabulary))
+    def __init__(self, vocabulary: Vocabulary, remembered: int = WORD_CACHE):
+        self.v, self.words = vocabulary, _Words(StreamingViterbi(vocabulary, remembered), remembered)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -212,19 +213,23 @@ class Encoder:
         return text[1:] if self.v.prefix and text.startswith(" ") else text
 
 
-#: One encoder for each model in a Python worker, which serves many tasks.
-_encoders: dict[str, Encoder] = {}
+#: One encoder in a Python worker, which serves many tasks; that of another model or memory takes its place.
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    if vocabulary.path not in _encoders:
-        _encoders[vocabulary.path] = Encoder(vocabulary)
-    return _encoders[vocabulary.path]
+def _encoder(vocabulary: Vocabulary, remembered: int = WORD_CACHE) -> Encoder:
+    key = vocabulary.path, remembered
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, remembered)
+    return _encoders[key]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, remembered: int = WORD_CACHE) -> DataFrame:
     """``id, ids, n_ids, round_trip`` of every row; null and empty texts have no ids.
 
+    ``remembered`` bounds the words, and the pairs of pieces, that a worker keeps.
+
     ``round_trip`` says that the ids decode to the text. It is false only for texts
     that hold U+2581, which stands for the space in every SentencePiece model. Rows
     may repeat; an empty table gives an empty result; further columns are ignored.
@@ -232,7 +237,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kept = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(kept.value)
+        e = _encoder(kept.value, remembered)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
