@@ -16,6 +16,10 @@ from tessera.llm.columns import free_name
 from tessera.plans.scratch import stage
 
 
+#: Words whose ids a worker keeps while it packs, so that its memory is small beside that of the other stages.
+REMEMBERED = 1 << 16
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. Labels come from the table ``labels``; null texts have the score of an empty text, equal texts have equal scores."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,7 +45,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Batches of SentencePiece ids: where each segment of every document goes, and its ids. Null and empty texts give a segment without ids; rows that repeat an id are packed each."""
-    encoded = sentencepiece_viterbi.encode(docs).select(F.col("id").alias("doc_id"), "ids")
+    encoded = sentencepiece_viterbi.encode(docs, remembered=REMEMBERED).select(F.col("id").alias("doc_id"), "ids")
     return packing.pack(encoded, tokens_col="ids").withColumnRenamed("id", "doc_id")
 
 
