@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,10 @@ from tessera.plans.scratch import stage
 
 MAX_TRAIN, MAX_TERMS, THRESHOLD = 8192, 512, 0.7
 Z_STRONG, Z_MEDIUM, PREFIXES, WINDOW, NEAR = 6.0, 4.0, (4, 5, 6, 7), 24, 4
-CACHE = 300_000
+#: Entries of a task's table of tokens, and the longest token that it holds: some 50 MB.
+CACHE, CACHED_CHARS = 300_000, 40
+#: Counted terms that a worker holds before it hands them on.
+HELD_TERMS = 1 << 16
 
 SEED = frozenset("idiot idiots stupid moron morons loser losers scum trash worthless pathetic disgusting dumb fool imbecile clown garbage hate hateful kill die ugly filthy vermin shut jerk creep freak".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -100,7 +104,7 @@ class _Tokens(dict):
         if at is None:
             at = self.kinds[kind] = len(self.rows)
             self.rows.append(kind)
-        if len(self) < CACHE:
+        if len(self) < CACHE and len(token) <= CACHED_CHARS:
             self[token] = at
         return at
 
@@ -212,12 +216,11 @@ class Model:
         trace = 1 / (1 + np.exp(-margin))
         return np.clip(0.999 * np.interp(margin, at, rate) + 0.001 * trace, 0.0, 1.0)
 
-    def scores(self, texts: pd.Series, tokens: _Tokens) -> np.ndarray:
+    def scores(self, texts: Iterable[str | None], tokens: _Tokens) -> np.ndarray:
         if self.trees is None:
-            return np.full(len(texts), self.prior)
-        if not len(texts):
-            return np.zeros(0)
-        return self.calibrated(self.trees.margin(np.stack([tokens.features(t) for t in texts])))
+            return np.array([self.prior for _ in texts])
+        rows = [tokens.features(t) for t in texts]
+        return self.calibrated(self.trees.margin(np.stack(rows))) if rows else np.zeros(0)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -237,24 +240,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The broadcast side has max_train rows of two numbers at most.
     sample = stage(texts.join(F.broadcast(chosen), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")), "sample")
 
-    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, list[str]] = {}
-        for frame in batches:
-            found: Counter = Counter()
-            for text, y, half in zip(frame["text"], frame["y"], frame["half"]):
-                seen: set[str] = set()
-                for token in set((text or "").split()):
-                    terms = cache.get(token)
-                    if terms is None:
-                        terms = terms_of(token)
-                        if len(cache) < CACHE:
-                            cache[token] = terms
-                    seen.update(terms)
-                found.update((t, y, half) for t in seen)
-            if found:
-                yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["term", "y", "half", "n"])
-
-    counts = sample.mapInPandas(count_terms, "term string, y int, half int, n long").groupBy("term").pivot("y", [0, 1])
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def handed_on() -> pa.RecordBatch:
+            columns = zip(*found) if found else ((), (), ())
+            kinds = (pa.string(), pa.int32(), pa.int32())
+            out = [pa.array(c, kind) for c, kind in zip(columns, kinds)] + [pa.array(found.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(out, names=["term", "y", "half", "n"])
+
+        for batch in batches:
+            for text, y, half in zip(batch["text"], batch["y"].to_pylist(), batch["half"].to_pylist()):
+                found.update((t, y, half) for t in set(chain.from_iterable(map(terms_of, set((text.as_py() or "").split())))))
+                if len(found) >= HELD_TERMS:
+                    yield handed_on()
+                    found.clear()
+        yield handed_on()
+
+    counts = sample.mapInArrow(count_terms, "term string, y int, half int, n long").groupBy("term").pivot("y", [0, 1])
     sums = [F.sum(F.when(F.col("half") == k, F.col("n"))).alias(f"h{k}") for k in (0, 1)]
     # Terms of a bounded sample; only those in three or more toxic rows can enter a lexicon.
     terms = counts.agg(*sums).fillna(0).where("`1_h0` + `1_h1` >= 3").toPandas()
@@ -271,14 +274,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     other = [lexicon((1,)), lexicon((0,))]
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [_Tokens(x) for x in other]
-        for frame in batches:
-            if len(frame):
-                x = np.stack([tokens[k].features(t) for t, k in zip(frame["text"], frame["half"])])
-                yield pd.DataFrame({"id": frame["id"].astype(str), "y": frame["y"], "x": list(x)})
+        for batch in batches:
+            x = [tokens[k].features(t.as_py()) for t, k in zip(batch["text"], batch["half"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    rows = sample.mapInPandas(extract, "id string, y int, x array<double>").toPandas().sort_values("id", ignore_index=True)
+    rows = sample.withColumn("id", F.col("id").cast("string")).mapInArrow(extract, "id string, y int, x array<double>").toPandas().sort_values("id", ignore_index=True)
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(float)
     fold, out = np.arange(len(y)) % 5, np.zeros(len(y))
     for k in range(5):
@@ -290,11 +292,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1; null and empty texts get that of a text without words."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = _Tokens(model.lexicon)
-        for texts in batches:
-            yield pd.Series(model.scores(texts, tokens))
+        for texts in batches:  # one text at a time becomes a string
+            yield pa.array(model.scores((t.as_py() for t in texts), tokens))
 
     return docs.withColumn(out, score(F.col(text_col)))
 
