@@ -1,14 +1,15 @@
 """N-gram Jaccard join by grouped prefixes (operator 5).
 
-Documents are sets of word shingles, held as 64-bit hashes (two different
-shingles of one corpus of n meet with probability n^2 / 2^65). Two link when
-``100 * intersection >= threshold * union``. The join is exact:
+Documents are sets of word shingles, held as 64-bit hashes; what two sets share
+is only ever counted between the two. Sets and prefixes are told apart by 128-bit
+digests. Two link when ``100 * intersection >= threshold * union``. The join is exact:
 
 1. *Order.* A counter of ``ORDER_BUCKETS`` cells counts every shingle of every
    document. Shingles are ordered by their cell's count, then by hash. Any fixed
    order is right; this one puts shared passages last, out of the prefixes. The
-   counter's size is a parameter and does not grow with the input.
-2. *Sets.* Equal sets form one class. Only classes are joined.
+   counter's size is a parameter and does not grow with the input: a task emits
+   it in blocks, and the tasks that add up blocks hold one counter at most.
+2. *Sets.* Equal sets form one class, which gets a number. Only classes are joined.
 3. *Groups.* Classes with one prefix and one size form a group. Prefix lists,
    size, position and count filters work on groups.
 4. *Stars.* In each group and in each long prefix list, all are verified against
@@ -16,8 +17,8 @@ shingles of one corpus of n meet with probability n^2 / 2^65). Two link when
    of near copies is thereby settled by as many checks as it has members; where
    long lists stay open to many pairs, three further leaders follow.
 5. *Rest.* Group pairs that may still join different components are filtered by
-   size, position and number of shared prefix shingles, expanded into their
-   member pairs, and verified. No candidate between two components is left out.
+   size, position, parity bits and number of shared prefix shingles, expanded into
+   their member pairs, and verified. No candidate between two components is left out.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
+from tessera.llm.columns import free_name
 from tessera.operators.components import connected_components
 from tessera.plans.scratch import stage
 
-ORDER_BUCKETS = 1 << 19
+ORDER_BUCKETS, ORDER_BLOCK = 1 << 22, 1 << 15
 #: Lists of more groups than this are first compared with a leader.
 LONG_LIST = 16
 #: Leaders of a long list: the first alone, the others together if the list stays open.
@@ -42,7 +44,7 @@ FIRST_LEADER, MORE_LEADERS = (0,), (1, 2, 3)
 #: Bits of the filter that picks the texts whose sets are needed: 4 MB.
 SET_BITS = 1 << 25
 PAIR_BITS = 1 << 22
-WORD_CACHE = 500_000
+WORD_CACHE = 1 << 17
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -80,33 +82,67 @@ def shingle_set(text: str | None, k: int, words: _Words) -> np.ndarray:
     return np.unique(x)
 
 
-def _signature(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _digest(s: np.ndarray, seed: int = 0) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes(), seed=seed)
 
 
 def _cell(s: np.ndarray, cells: int) -> np.ndarray:
     return (s % np.uint64(cells)).astype(np.int64)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the length tells how many."""
+    top = counts.max(initial=0)
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int64).tobytes()
+
+
+def _widened(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(data) // width]).astype(np.int64)
+
+
 def count_cells(docs: DataFrame, text_col: str, k: int, cells: int) -> np.ndarray:
     """Shingles in each cell, over all documents, as a rank that fits 16 bits (256 steps a doubling)."""
+    width = min(cells, ORDER_BLOCK)
+    kind = "block int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Words(), np.zeros(cells, np.int64)
+        words, total, found, n = _Words(), np.zeros(cells, np.int64), [], 0
         for batch in batches:
-            found = [_cell(shingle_set(t.as_py(), k, words), cells) for t in batch.column(0)]
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=cells)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 65536):
-            part = at[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+            for text in batch.column(0):
+                found.append(_cell(shingle_set(text.as_py(), k, words), cells))
+                n += len(found[-1])
+                if n >= 1 << 20:
+                    total += np.bincount(np.concatenate(found), minlength=cells)
+                    found, n = [], 0
+        if found:
+            total += np.bincount(np.concatenate(found), minlength=cells)
+        for i in range(0, cells, width):
+            if total[i : i + width].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // width], pa.int32()), pa.array([_narrow(total[i : i + width])], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = _widened(counts.as_py(), width)
+                total[block] = total[block] + part if block in total else part
+        for block, part in total.items():
+            rank = np.round(256 * np.log2(1 + part)).astype(np.uint16).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rank], pa.binary())], names=["block", "counts"])
+
+    counted = docs.select(text_col).mapInArrow(count, kind)
+    out = np.zeros(cells, np.uint16)
+    for block, rank in counted.repartition("block").mapInArrow(add, kind).collect():  # 2 bytes a cell
+        out[block * width : (block + 1) * width] = np.frombuffer(bytes(rank), np.uint16)
+    return out
+
 
-    # At most `cells` rows.
-    seen = docs.select(text_col).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(cells)
-    out[seen["cell"].to_numpy()] = seen["n"].to_numpy()
-    return np.round(256 * np.log2(1 + out)).astype(np.uint16)
+def parity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits, each the parity of the shingles that a hash gives to it: two sets differ in no fewer shingles than bits."""
+    at = s >> np.uint64(57)
+    one = np.left_shift(np.uint64(1), at & np.uint64(63))
+    low = at < 64
+    return int(np.bitwise_xor.reduce(one[low], initial=0).astype(np.int64)), int(np.bitwise_xor.reduce(one[~low], initial=0).astype(np.int64))
 
 
 def prefix_length(n, threshold: int):
@@ -115,41 +151,48 @@ def prefix_length(n, threshold: int):
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int, rank: np.ndarray) -> DataFrame:
-    """``id, n, sig, pkey, prefix`` of each document: set size, hash of the set, hash of prefix and size, prefix in order."""
+    """``id, mark, n, digest, pkey, b0, b1, prefix`` of each document, as a written table.
+
+    mark: hash of the text; n: set size; digest: of the set; pkey: digest of prefix and size; b0, b1: parities; prefix: in order.
+    """
     kept = docs.sparkSession.sparkContext.broadcast(rank)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, order = _Words(), kept.value
         for batch in batches:
-            n, sig, key, prefix = [], [], [], []
-            for text in batch.column(1):
+            n, digest, key, prefix, bits = [], [], [], [], []
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), k, words)
                 n.append(len(s))
                 if not len(s):
-                    sig.append(None), key.append(None), prefix.append(None)
+                    digest.append(None), key.append(None), prefix.append(None), bits.append((None, None))
                     continue
                 first = s[np.argsort(order[_cell(s, len(order))], kind="stable")[: prefix_length(len(s), threshold)]]
-                sig.append(_signature(s))
-                key.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=len(s)) - (1 << 63))
+                digest.append(_digest(s))
+                key.append(_digest(first, seed=len(s)))
                 prefix.append(first.view(np.int64))
+                bits.append(parity(s))
+            b0, b1 = (pa.array([x[i] for x in bits], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["id", "n", "sig", "pkey", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(key, pa.binary()), b0, b1, pa.array(prefix, pa.list_(pa.int64()))],
+                names=["id", "mark", "n", "digest", "pkey", "b0", "b1", "prefix"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(sets, f"id {kind}, n long, sig long, pkey long, prefix array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), text_col)
+    out = stage(rows.mapInArrow(sets, f"id {kind}, mark long, n long, digest binary, pkey binary, b0 long, b1 long, prefix array<long>"), "prefixes")
+    kept.destroy()
+    return out
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
-    """``sig, n, shingles`` of the classes in ``wanted`` (sig, id of one of its documents).
+    """``sig, n, shingles`` of the classes in ``wanted`` (sig, digest, id of one of its documents), as a written table.
 
     A bitmap of fixed size decides which texts are hashed again; the exact join follows.
     """
     bits = SET_BITS
-    rows = bitmap.build(wanted, F.col("id"), bits).toPandas()  # at most SET_BITS / 32768 rows
     filled = np.zeros(bits // 8, np.uint8)
-    for block, data in zip(rows["block"], rows["bitmap"]):
+    for block, data in bitmap.build(wanted, F.col("id"), bits).collect():  # at most SET_BITS / 32768 rows
         at = int(block) * bitmap.BLOCK // 8
         filled[at : at + len(data)] = np.frombuffer(bytes(data), np.uint8)
     kept = docs.sparkSession.sparkContext.broadcast(filled)
@@ -163,14 +206,16 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFr
                 found = [shingle_set(batch.column(1)[int(j)].as_py(), k, words) for j in hit[i : i + 512]]
                 found = [s for s in found if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signature(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                    names=["sig", "n", "shingles"],
+                    [pa.array([_digest(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                    names=["digest", "n", "shingles"],
                 )
 
     # A class whose documents have no id is found among the rows without id.
     at = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(bitmap.position(F.col(id_col), bits)).cast("long")
-    found = docs.select(at.alias("at"), text_col).mapInArrow(sets, "sig long, n long, shingles array<long>")
-    return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    found = docs.select(at.alias("at"), text_col).mapInArrow(sets, "digest binary, n long, shingles array<long>")
+    out = stage(found.join(wanted.select("digest", "sig"), "digest").dropDuplicates(["sig"]).select("sig", "n", "shingles"), "sets")
+    kept.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -195,24 +240,33 @@ def _may_link(threshold: int) -> str:
     return f"{_size_fits(threshold)} and {100 + threshold} * least(l.n - l.pos, r.n - r.pos) >= {threshold} * (l.n + r.n)"
 
 
+def _near(threshold: int) -> str:
+    """SQL over l and r: the parities do not differ in more bits than linked sets may in shingles."""
+    differing = "(bit_count(l.b0 ^ r.b0) + bit_count(l.b1 ^ r.b1))"
+    return f"(l.b0 is null or r.b0 is null or {100 + threshold} * (l.n + r.n - {differing}) >= {2 * threshold} * (l.n + r.n))"
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, cells: int = ORDER_BUCKETS) -> DataFrame:
-    """``id, n_shingles, sig, component`` of every row; ``component`` is a hash that names the linked classes.
+    """``id, mark, n_shingles, component`` of every row; ``component`` is a number that names the linked classes.
 
-    Rows with equal sets share ``sig``. A text of fewer than ``k`` words is one
-    shingle; null texts and texts without words have no set, null ``sig`` and
-    null ``component``, and link with nothing. Rows that repeat an id count each by
+    ``mark`` is a hash of the text. A text of fewer than ``k`` words is one
+    shingle; null texts and texts without words have no set and null
+    ``component``, and link with nothing. Rows that repeat an id count each by
     its own text. An empty table gives an empty result; further columns are ignored.
     """
     rank = count_cells(docs, text_col, k, cells)
-    described = stage(describe(docs, id_col, text_col, k, threshold, rank), "prefixes")
+    described = describe(docs, id_col, text_col, k, threshold, rank)
     # The prefix is a function of the set, so any row of a class carries it.
-    classes = described.where("sig is not null").groupBy("sig").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("pkey").alias("pkey"), F.first("prefix").alias("prefix")
+    classes = described.where("digest is not null").groupBy("digest").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("pkey", "b0", "b1", "prefix")]
     )
-    classes = stage(classes, "classes")
-    members = classes.select("sig", "n", "pkey", "id").join(classes.groupBy("pkey").agg(F.min("sig").alias("gid"), F.count(F.lit(1)).alias("m")), "pkey")
-    members = stage(members.select("sig", "n", "gid", "m", "id"), "members")
-    leads = classes.join(members.where("sig = gid").select("sig"), "sig", "left_semi")
+    classes = stage(classes.withColumn("sig", F.monotonically_increasing_id()), "classes")
+    members = classes.select("sig", "digest", "n", "pkey", "b0", "b1", "id").join(classes.groupBy("pkey").agg(F.min("sig").alias("gid"), F.count(F.lit(1)).alias("m")), "pkey")
+    members = stage(members.select("sig", "digest", "n", "gid", "m", "b0", "b1", "id"), "members")
+    # Most classes lead a group: a filter of fixed size spares their prefixes a shuffle.
+    others = members.where("sig <> gid").select("sig")
+    marked = bitmap.probe(classes.select("sig", "n", "prefix"), F.col("sig"), bitmap.build(others, F.col("sig"), PAIR_BITS), PAIR_BITS, "maybe")
+    leads = marked.where("not maybe").unionByName(marked.where("maybe").join(others, "sig", "left_anti"))
     entries = leads.select(F.col("sig").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
     lists = stage(entries.join(shared, "token").select("token", "gid", "n", "pos", "groups"), "lists")
@@ -221,7 +275,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     concerned = _candidate_groups(lists, threshold).union(lists.where(f"groups > {LONG_LIST}").select("gid")).union(several.select("gid"))
     concerned = stage(concerned.distinct(), "concerned")
     lists = stage(lists.join(concerned, "gid", "left_semi"), "lists")
-    sets = stage(_sets_of(docs, id_col, text_col, k, members.join(concerned, "gid", "left_semi").select("sig", "id")), "sets")
+    sets = _sets_of(docs, id_col, text_col, k, members.join(concerned, "gid", "left_semi").select("sig", "digest", "id"))
 
     inner = several.where("sig <> gid").select(F.col("gid").alias("a"), F.col("sig").alias("b"))
     hot = stage(lists.where(f"groups > {LONG_LIST}").withColumn("component", F.col("gid")), "hot")
@@ -233,13 +287,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         links = stage(links.unionByName(_verified(_star_pairs(hot, MORE_LEADERS, threshold), sets, threshold)), "links")
         components = connected_components(links, "a", "b", staged=True)
 
-    prefixes = classes.select("sig", "prefix").join(concerned.select(F.col("gid").alias("sig")), "sig", "left_semi")
-    rest = _remaining(lists, members.join(concerned, "gid", "left_semi"), prefixes, components, threshold)
+    rest = _remaining(lists, members.join(concerned, "gid", "left_semi"), classes.select("sig", "prefix"), components, threshold)
     links = stage(links.unionByName(_verified(rest, sets, threshold)), "links")
     components = connected_components(links, "a", "b", staged=True)
-    return described.join(components, F.col("sig") == F.col("node"), "left").select(
-        "id", F.col("n").alias("n_shingles"), "sig", F.coalesce("component", "sig").alias("component")
-    )
+    named = classes.select("digest", "sig").join(components, F.col("sig") == F.col("node"), "left").select("digest", F.coalesce("component", "sig").alias("component"))
+    return described.join(named, "digest", "left").select("id", "mark", F.col("n").alias("n_shingles"), "component")
 
 
 def _candidate_groups(lists: DataFrame, threshold: int) -> DataFrame:
@@ -295,7 +347,10 @@ def _remaining(lists: DataFrame, members: DataFrame, prefixes: DataFrame, compon
     """
     labelled = _labelled(members, components, "sig")
     # A group has one label if all its members have; else null, which differs from every label.
-    groups = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).select("gid", F.when(F.col("x") == F.col("y"), F.col("x")).alias("label"))
+    groups = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.min("b0").alias("b0"), F.min("b1").alias("b1"))
+    # The parities of a group with one member are those of its set.
+    single = F.col("m") == 1
+    groups = groups.select("gid", F.when(F.col("x") == F.col("y"), F.col("x")).alias("label"), *[F.when(single, F.col(c)).alias(c) for c in ("b0", "b1")])
     entries = lists.join(groups, "gid").withColumn("early", F.expr(f"{100 + threshold} * (n - pos) >= {2 * threshold} * n"))
     sizes = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("c", F.col("label").isNotNull().alias("known"), "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max(F.col("label").isNull()).alias("mixed"))
@@ -306,7 +361,7 @@ def _remaining(lists: DataFrame, members: DataFrame, prefixes: DataFrame, compon
     outside = outside.withColumn("partner", F.explode(F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
     differ = "(l.label is null or r.label is null or l.label <> r.label)"
     once = "(r.label is not null and r.main is not null and r.label = r.main or l.gid < r.gid)"
-    found = outside.alias("l").join(entries.alias("r"), F.expr(f"l.token = r.token and l.partner = r.early and l.gid <> r.gid and {differ} and {once} and " + _may_link(threshold)))
+    found = outside.alias("l").join(entries.alias("r"), F.expr(f"l.token = r.token and l.partner = r.early and l.gid <> r.gid and {differ} and {once} and {_near(threshold)} and " + _may_link(threshold)))
     met = found.select(
         F.least("l.gid", "r.gid").alias("g"), F.greatest("l.gid", "r.gid").alias("h"),
         F.expr("if(l.gid < r.gid, l.n, r.n)").alias("p"), F.expr("if(l.gid < r.gid, r.n, l.n)").alias("q"),
@@ -317,6 +372,8 @@ def _remaining(lists: DataFrame, members: DataFrame, prefixes: DataFrame, compon
     need = f"{threshold} * (p + q)"
     met = stage(met.where(f"{100 + threshold} * (common + after - 1) >= {need}").select("g", "h", "p", "q"), "met")
     # Of the whole prefixes, all shared shingles count, and no more can follow than the longer rest behind a prefix.
+    both = met.select(F.explode(F.array("g", "h")).alias("end"))
+    prefixes = bitmap.probe(prefixes, F.col("sig"), bitmap.build(both, F.col("end"), PAIR_BITS), PAIR_BITS, "maybe").where("maybe")
     ends = prefixes.select(F.col("sig").alias("g"), F.col("prefix").alias("pg")), prefixes.select(F.col("sig").alias("h"), F.col("prefix").alias("ph"))
     whole = met.join(ends[0], "g").join(ends[1], "h").withColumn("common", F.size(F.array_intersect("pg", "ph")))
     kept = stage(whole.where(f"{100 + threshold} * (common + {_behind(threshold)}) >= {need}").select("g", "h"), "pairs")
@@ -335,17 +392,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.join(least, "component", "left").select("id", "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; all columns as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, keep_unknown: bool = True) -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id; all columns as they were.
 
-    Rows are told apart by id; rows that repeat the id that stays all stay, and
-    rows without an id stay.
+    Of rows that repeat the id that stays, one does: that whose text has the
+    smallest hash, and one of those whose id and text are the same. Rows without an
+    id stay with ``keep_unknown``; else only one of a component without any id does.
+    Rows without a set all stay. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, k, threshold)
-    gone = stage(found.where("id <> component_id").select("id").distinct(), "gone")
-    marked = bitmap.probe(docs, F.col(id_col), bitmap.build(gone, F.col("id"), SET_BITS), SET_BITS, "_maybe")
-    touched = marked.where("_maybe").join(gone.select(F.col("id").alias("_gone_id")), F.col(id_col) == F.col("_gone_id"), "left_anti")
-    return marked.where("not _maybe").unionByName(touched).drop("_maybe")
+    linked = stage(link(docs, id_col, text_col, k, threshold), "linked")
+    rows = linked.where("component is not null").groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    best = rows.groupBy("component").agg(F.min(rank).alias("best"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    gone = rows.join(best, "component").withColumn("stay", stays.cast("int")).where("n > stay")
+    if keep_unknown:
+        gone = gone.where("id is not null")
+    gone = stage(gone.select("id", "mark", "stay"), "gone")
+    mark, maybe, gone_id, gone_mark = (free_name(docs, x) for x in ("_mark", "_maybe", "_gone_id", "_gone_mark"))
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    marked = bitmap.probe(marked, F.col(mark), bitmap.build(gone, F.col("mark"), SET_BITS), SET_BITS, maybe)
+    touched = marked.where(F.col(maybe))
+    match = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+    named = gone.select(F.col("id").alias(gone_id), F.col("mark").alias(gone_mark), "stay")
+    free = marked.where(~F.col(maybe)).unionByName(touched.join(named.drop("stay"), match, "left_anti"))
+    repeated = named.where("stay > 0").drop("stay")
+    if not repeated.isEmpty():
+        free = free.unionByName(touched.join(repeated, match, "left_semi").dropDuplicates([id_col, mark]))
+    return free.drop(mark, maybe)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
