@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Folder names that give a split or a label, archives kept out.
-SPLIT_DIRS = {"train": "train", "test": "test", "val": "validation", "valid": "validation", "validation": "validation"}
+SPLIT_DIRS = {"train": "train", "test": "test", "val": "val", "valid": "val", "validation": "val"}
 LABEL_DIRS = {"real": 0, "fake": 1, "ai": 1}
-HOLDOUT_ARCHIVES = ("coco", "dalle")
+HOLDOUT_ARCHIVES, HOLDOUT_PARTS = ("coco", "dalle", "dall-e", "dalle3"), ("coco", "dalle")
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
@@ -41,25 +41,28 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _one_of(parts: Column, names: dict) -> Column:
-    known = F.filter(parts, lambda p: p.isin(*names))
     value = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return F.when(F.size(known) == 1, value[known[0]])
+    known = F.array_distinct(F.transform(F.filter(parts, lambda p: p.isin(*names)), lambda p: value[p]))
+    return F.when(F.size(known) == 1, F.get(known, F.lit(0)))
 
 
 def infer_path_metadata(df: DataFrame, path_col: str = "path") -> DataFrame:
-    """``split`` and ``label`` from exactly one folder each, and ``reason`` where there is none or several."""
+    """``split`` and ``label`` from the folders that name one, and ``reason`` where none does or they disagree."""
     parts = F.slice(F.split(F.lower(path_col), "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split(path_col, "/")) - 1))
     out = df.withColumn("split", _one_of(parts, SPLIT_DIRS)).withColumn("label", _one_of(parts, LABEL_DIRS))
     return out.withColumn("reason", first_reason((F.col("split").isNull(), "ambiguous_split"), (F.col("label").isNull(), "ambiguous_label")))
 
 
 def archive_source_info(df: DataFrame, path_col: str = "archive_path") -> DataFrame:
-    """``source_label``, ``generator``, ``is_advanced`` and ``reason`` of an archive path."""
+    """``source``, ``source_label``, ``generator``, ``is_advanced`` and ``reason`` of an archive path; a holdout's name may stand anywhere in it."""
     path = F.lower(F.concat(F.lit("/"), F.replace(F.col(path_col), F.lit("\\"), F.lit("/"))))
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-    label = F.when(path.contains("/real/"), 0).when(path.contains("/diffusion_based/") | path.contains("/gan_based") | path.contains("/other_based"), 1)
-    out = df.withColumn("generator", stem).withColumn("source_label", label).withColumn("is_advanced", F.lit(0))
-    return out.withColumn("reason", first_reason((stem.isin(*HOLDOUT_ARCHIVES), "holdout"), (label.isNull(), "unknown_source")))
+    real = path.contains("/real/")
+    label = F.when(real, 0).when(path.contains("/diffusion_based/") | path.contains("/gan_based") | path.contains("/other_based"), 1)
+    source = F.when(label.isNotNull(), F.concat(F.when(real, F.lit("wildfake_real_")).otherwise(F.lit("wildfake_")), stem))
+    out = df.withColumn("source", source).withColumn("generator", stem).withColumn("source_label", label).withColumn("is_advanced", F.lit(0))
+    holdout = stem.isin(*HOLDOUT_ARCHIVES) | path.rlike("|".join(HOLDOUT_PARTS))
+    return out.withColumn("reason", first_reason((holdout, "holdout"), (label.isNull(), "unknown_source")))
 
 
 def gatekeep_archives(requested: DataFrame, listing: DataFrame) -> DataFrame:

@@ -79,11 +79,11 @@ def group_having(s, d):
 
 
 @query("""
-    with r as (select doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 40) as fp, sha256(text) as px from documents),
+    with r as (select doc_id, sha256(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) as fp, sha256(text) as px from documents),
     g as (select fp, 'review_' || lpad(cast(row_number() over (order by fp) as varchar), 6, '0') as review_group from r group by fp having count(*) > 1 and count(distinct px) > 1)
     select doc_id, fp, px, review_group from r join g using (fp)""")
 def near_dup_review(s, d):
-    rows = fx.table(s, d, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), 1, 40).alias("fp"), F.sha2("text", 256).alias("px"))
+    rows = fx.table(s, d, "documents").select("doc_id", F.sha2(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), 256).alias("fp"), F.sha2("text", 256).alias("px"))
     return dedup.near_dup_review(rows, "fp", "px")
 
 
@@ -122,33 +122,34 @@ def label_policy(s, d):
     return validate.label_policy(rows).select("doc_id", "label")
 
 
-_PATHS = "select doc_id, case when doc_id % 5 = 0 then 'raw' else 'raw/' || case doc_id % 4 when 0 then 'Train' when 1 then 'TEST' when 2 then 'valid' else 'other' end end || '/' || case doc_id % 3 when 0 then 'REAL' when 1 then 'fake' else 'Ai/real' end || '/' || doc_id || '.png' as path from documents"
+_PATHS = "select doc_id, case when doc_id % 5 = 0 then 'raw' else 'raw/' || case doc_id % 4 when 0 then 'Train' when 1 then 'TEST' when 2 then 'valid' else 'other' end end || '/' || case doc_id % 3 when 0 then 'REAL' when 1 then 'fake' else case when doc_id % 2 = 0 then 'Ai/real' else 'Ai/fake' end end || '/' || doc_id || '.png' as path from documents"
 
 
 @query(f"""
     with p as ({_PATHS}), q as (select doc_id, string_split(lower(path), '/')[:-2] as parts from p),
-    r as (select doc_id, list_filter(parts, lambda x: x in ('train', 'test', 'val', 'valid', 'validation')) as a, list_filter(parts, lambda x: x in ('real', 'fake', 'ai')) as b from q)
-    select doc_id, case when len(a) = 1 then case when a[1] in ('val', 'valid', 'validation') then 'validation' else a[1] end end as split,
-      case when len(b) = 1 then case when b[1] = 'real' then 0 else 1 end end as label,
+    r as (select doc_id, list_distinct(list_transform(list_filter(parts, lambda x: x in ('train', 'test', 'val', 'valid', 'validation')), lambda x: case when x in ('valid', 'validation') then 'val' else x end)) as a,
+      list_distinct(list_transform(list_filter(parts, lambda x: x in ('real', 'fake', 'ai')), lambda x: case when x = 'real' then 0 else 1 end)) as b from q)
+    select doc_id, case when len(a) = 1 then a[1] end as split, case when len(b) = 1 then b[1] end as label,
       case when len(a) <> 1 then 'ambiguous_split' when len(b) <> 1 then 'ambiguous_label' end as reason from r""")
 def infer_path_metadata(s, d):
     k = F.col("doc_id")
     split = F.when(k % 4 == 0, "Train").when(k % 4 == 1, "TEST").when(k % 4 == 2, "valid").otherwise("other")
-    label = F.when(k % 3 == 0, "REAL").when(k % 3 == 1, "fake").otherwise("Ai/real")
+    label = F.when(k % 3 == 0, "REAL").when(k % 3 == 1, "fake").otherwise(F.when(k % 2 == 0, "Ai/real").otherwise("Ai/fake"))
     path = F.concat(F.when(k % 5 == 0, F.lit("raw")).otherwise(F.concat(F.lit("raw/"), split)), F.lit("/"), label, F.lit("/"), k.cast("string"), F.lit(".png"))
     return validate.infer_path_metadata(fx.table(s, d, "documents").select("doc_id", path.alias("path"))).select("doc_id", "split", "label", "reason")
 
 
 @query("""
-    with a as (select s_suppkey, case s_suppkey % 6 when 0 then 'Images/Real/afhq.zip' when 1 then 'Images/Diffusion_based/DDIM.zip' when 2 then 'Images/Real/coco.zip' when 3 then 'Images/GAN_based/Style.zip' when 4 then 'Images/Unknown/x.zip' else 'Images/Other_based/M.zip' end as p from supplier)
-    select s_suppkey, case s_suppkey % 6 when 0 then 'afhq' when 1 then 'ddim' when 2 then 'coco' when 3 then 'style' when 4 then 'x' else 'm' end as generator,
+    with a as (select s_suppkey, case s_suppkey % 6 when 0 then 'Images/Real/afhq.zip' when 1 then 'Images/Diffusion_based/DDIM.zip' when 2 then 'Images/Real/coco_val2017/part.zip' when 3 then 'Images/GAN_based/Style.zip' when 4 then 'Images/Unknown/x.zip' else 'Images/Other_based/M.zip' end as p from supplier)
+    select s_suppkey, case s_suppkey % 6 when 0 then 'afhq' when 1 then 'ddim' when 2 then 'part' when 3 then 'style' when 4 then 'x' else 'm' end as generator,
       case when s_suppkey % 6 in (0, 2) then 0 when s_suppkey % 6 = 4 then null else 1 end as source_label, 0 as is_advanced,
+      case s_suppkey % 6 when 0 then 'wildfake_real_afhq' when 1 then 'wildfake_ddim' when 2 then 'wildfake_real_part' when 3 then 'wildfake_style' when 5 then 'wildfake_m' end as source,
       case s_suppkey % 6 when 2 then 'holdout' when 4 then 'unknown_source' end as reason from a""")
 def archive_source_info(s, d):
     k = F.col("s_suppkey") % 6
-    p = F.when(k == 0, "Images/Real/afhq.zip").when(k == 1, "Images/Diffusion_based/DDIM.zip").when(k == 2, "Images/Real/coco.zip").when(k == 3, "Images/GAN_based/Style.zip").when(k == 4, "Images/Unknown/x.zip").otherwise("Images/Other_based/M.zip")
+    p = F.when(k == 0, "Images/Real/afhq.zip").when(k == 1, "Images/Diffusion_based/DDIM.zip").when(k == 2, "Images/Real/coco_val2017/part.zip").when(k == 3, "Images/GAN_based/Style.zip").when(k == 4, "Images/Unknown/x.zip").otherwise("Images/Other_based/M.zip")
     rows = fx.table(s, d, "supplier").select("s_suppkey", p.alias("archive_path"))
-    return validate.archive_source_info(rows).select("s_suppkey", "generator", "source_label", "is_advanced", "reason")
+    return validate.archive_source_info(rows).select("s_suppkey", "source", "generator", "source_label", "is_advanced", "reason")
 
 
 @query("""

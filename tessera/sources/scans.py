@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 ARCHIVE_SUFFIXES = (*IMAGE_SUFFIXES, "tif", "tiff")
+SHARD_PREFIXES = ("train-", "validation-")
+#: Names of sources that differ from their scheme.
+SOURCE_NAMES = {"sidset": "sid_set"}
 SHARD_COLUMNS = ("img_id", "image", "width", "height", "label")
 
 
@@ -31,17 +34,21 @@ def image_bytes(df: DataFrame, column: str = "image") -> DataFrame:
 def scan_parquet_shards(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of all shards that have the needed columns, and the rejected shards with their reason.
 
-    Rows carry ``parquet_file``, ``row_index`` and the ``split`` that the file name starts with.
+    Rows carry ``parquet_file``, ``row_index`` and the ``split`` that the file name starts with, in
+    any case; a shard of another name is rejected.
     """
     good, bad = [], []
     for path in sorted(paths):
+        if not path.rpartition("/")[2].lower().startswith(SHARD_PREFIXES):
+            bad.append((path, "file name must start with " + " or ".join(SHARD_PREFIXES)))
+            continue
         missing = sorted(set(SHARD_COLUMNS) - set(spark.read.parquet(path).columns))  # reads the footer
         bad.append((path, "missing columns: " + ", ".join(missing))) if missing else good.append(path)
     rejected = spark.createDataFrame(bad, "parquet_file string, reason string")
     if not good:
         return spark.createDataFrame([], "parquet_file string, row_index long, split string"), rejected
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    split = F.when(name.startswith("train-"), "train").when(name.startswith("validation-"), "validation")
+    split = F.regexp_extract(F.lower(name), "^([a-z]+)-", 1)
     rows = spark.read.parquet(*good).select(*SHARD_COLUMNS, name.alias("parquet_file"), F.col("_metadata.row_index").alias("row_index"), split.alias("split"))
     return image_bytes(rows).drop("image"), rejected
 
@@ -70,19 +77,20 @@ def scan_zip_archives(spark: SparkSession, root: str, suffixes: tuple[str, ...]
 
 
 def scan_manifest(manifest: DataFrame, files: DataFrame, container: str, member: str, scheme: str, label: str = "source_label", generator: str | None = None) -> DataFrame:
-    """``path, label, generator`` of the included rows whose container exists and whose label is 0 or 1."""
+    """``path, label, generator`` of the included rows whose container exists and whose label is 0 or 1; generators keep their case."""
     kept = manifest.where(F.col("include").cast("string").isin("True", "true") & F.col(label).cast("int").isin(0, 1)).join(files.select(container).distinct(), container, "left_semi")
-    source = F.concat(F.lit(f"{scheme.partition('-')[0]}_"), F.lower(generator)) if generator else F.lit(scheme.partition("-")[0])
+    name = SOURCE_NAMES.get(scheme.partition("-")[0], scheme.partition("-")[0])
+    source = F.concat(F.lit(f"{name}_"), F.col(generator)) if generator else F.lit(name)
     return kept.select(F.concat(F.lit(f"{scheme}://"), container, F.lit("#"), F.col(member).cast("string")).alias("path"), F.col(label).cast("int").alias("label"), source.alias("generator"))
 
 
 def scan_dataset(paths: DataFrame, path: str = "path") -> DataFrame:
-    """``path, label, generator`` from ``.../<dataset>/<real|ai>/...``; a generated file's generator is its next folder."""
+    """``path, label, generator`` from ``.../<dataset>/<real|ai>/...``; a generated file's generator is its next folder, in its own case."""
     parts = F.split(F.col(path), "/")
-    at = F.array_position(F.transform(parts, lambda p: F.when(F.lower(p).isin("real", "ai"), 1).otherwise(0)), 1).cast("int")
-    dataset, kind = F.lower(F.try_element_at(parts, F.when(at > 1, at - 1))), F.lower(F.try_element_at(parts, F.when(at > 0, at)))
+    at = F.array_position(F.transform(parts, lambda p: F.when(p.isin("real", "ai"), 1).otherwise(0)), 1).cast("int")
+    dataset, kind = F.try_element_at(parts, F.when(at > 1, at - 1)), F.try_element_at(parts, F.when(at > 0, at))
     sub = F.when(F.size(parts) > at + 1, F.try_element_at(parts, at + 1))
-    generator = F.when((dataset == "wildfake") & (kind == "ai"), F.concat(F.lit("wildfake_"), F.coalesce(F.lower(sub), F.lit("unknown")))).otherwise(dataset)
+    generator = F.when((dataset == "wildfake") & (kind == "ai"), F.concat(F.lit("wildfake_"), F.coalesce(sub, F.lit("unknown")))).otherwise(dataset)
     return paths.where(at > 1).select(path, F.when(kind == "real", 0).otherwise(1).alias("label"), generator.alias("generator"))
 
 

@@ -81,3 +81,39 @@ def test_upsert_takes_the_latest(spark):
     old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k string, v int, x int")
     got = {r["k"]: r["x"] for r in dedup.latest_wins(old, spark.createDataFrame([("a", 2, 5), ("c", 1, 7)], old.schema), "k", "v").collect()}
     assert got == {"a": 5, "b": 1, "c": 7}
+
+
+def test_paths_whose_folders_agree_are_valid(spark):
+    rows = [("train/train/real/a.png",), ("x/validation/fake/ai/b.png",), ("train/test/real/c.png",), ("test/ai/real/d.png",)]
+    out = validate.infer_path_metadata(spark.createDataFrame(rows, "path string")).collect()
+    assert [(r["split"], r["label"], r["reason"]) for r in out] == [("train", 0, None), ("val", 1, None), (None, 0, "ambiguous_split"), ("test", None, "ambiguous_label")]
+
+
+def test_holdout_archives_never_come_in(spark):
+    names = ["Images/Real/coco_val2017/x.zip", "Images/Real/dall-e.zip", "Images/Diffusion_based/DALLE3_more.zip", "Images/Real/afhq.zip"]
+    out = validate.archive_source_info(spark.createDataFrame([(n,) for n in names], "archive_path string")).collect()
+    assert [r["reason"] for r in out] == ["holdout", "holdout", "holdout", None] and out[3]["source"] == "wildfake_real_afhq"
+
+
+def test_generators_keep_their_names(spark):
+    from tessera.sources import scans
+
+    manifest = spark.createDataFrame([("a.zip", "m.png", "DDIM", 1, "True"), ("b.zip", "n.png", "X", 0, "True"), ("a.zip", "o.png", "DDIM", 1, "False")], "archive_path string, member_path string, generator string, source_label int, include string")
+    files = spark.createDataFrame([("a.zip",)], "archive_path string")
+    got = [tuple(r) for r in scans.scan_manifest(manifest, files, "archive_path", "member_path", "wildfake-zip", generator="generator").collect()]
+    assert got == [("wildfake-zip://a.zip#m.png", 1, "wildfake_DDIM")]
+    shards = manifest.withColumnRenamed("archive_path", "parquet_file")
+    assert {r["generator"] for r in scans.scan_manifest(shards, files.withColumnRenamed("archive_path", "parquet_file"), "parquet_file", "member_path", "sidset-parquet").collect()} == {"sid_set"}
+    paths = spark.createDataFrame([("raw/wildfake/ai/DDIM/a.png",), ("raw/wildfake/ai/b.png",), ("raw/Own/real/c.png",), ("raw/none/d.png",)], "path string")
+    assert [tuple(r)[1:] for r in scans.scan_dataset(paths).collect()] == [(1, "wildfake_DDIM"), (1, "wildfake_unknown"), (0, "Own")]
+
+
+def test_shards_of_other_names_are_rejected(spark, tmp_path):
+    from tessera.sources import scans
+
+    rows = spark.createDataFrame([("i", bytearray(b"x"), 1, 1, 0)], "img_id string, image binary, width int, height int, label int")
+    for name in ("Train-0.parquet", "test-0.parquet"):
+        rows.coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
+    parts = {n: f"file://{tmp_path}/{n}" for n in ("Train-0.parquet", "test-0.parquet")}
+    _, rejected = scans.scan_parquet_shards(spark, list(parts.values()))
+    assert [r["parquet_file"] for r in rejected.collect()] == [parts["test-0.parquet"]]
