@@ -20,10 +20,15 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), a new one that is removed at exit."""
+    """The cluster's checkpoint folder; where none is set (tests), a new one that is removed at exit.
+
+    On a cluster each machine would write to a folder of its own, so the setting must be there.
+    """
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
     if not _own:
         local = tempfile.mkdtemp(prefix=f"tessera-{os.getpid()}-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
