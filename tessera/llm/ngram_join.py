@@ -317,8 +317,13 @@ def _behind(threshold: int) -> str:
 
 
 def _star_pairs(hot: DataFrame, turns: tuple[int, ...], threshold: int) -> DataFrame:
-    """Pairs (a, b) of the leaders of each long list and the groups of other components in it; one leader for each turn."""
-    leads = [F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("drawn"), "gid", "n", "pos", "component")) for turn in turns]
+    """Pairs (a, b) of the leaders of each long list and the groups of other components in it; one leader for each turn.
+
+    Edits of a copy give rare shingles, which come first in the order. In turn 0 thus leads the group with the fewest
+    shingles before the list's, so that the others differ from it by their own edits only; further leaders are drawn.
+    """
+    drawn = [F.xxhash64("gid", F.lit(turn)) for turn in turns]
+    leads = [F.min(F.struct((F.col("pos") if turn == 0 else F.lit(0)).alias("before"), d.alias("drawn"), "gid", "n", "pos", "component")) for turn, d in zip(turns, drawn)]
     lead = hot.groupBy("token").agg(F.array(*leads).alias("leads"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     lead = lead.select("token", F.inline("leads"))
     found = hot.alias("r").join(lead.alias("l"), F.expr("l.token = r.token and l.component <> r.component and " + _may_link(threshold)))
