@@ -58,3 +58,18 @@ def latest_wins(stored: DataFrame, changes: DataFrame, key: str, version: str) -
     both = stored.withColumn("_new", F.lit(0)).unionByName(changes.select(*names).withColumn("_new", F.lit(1)))
     best = both.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(version, "_new")).alias("row"))
     return best.select("row.*")
+
+
+def delete_rows(stored: DataFrame, condition: Column) -> DataFrame:
+    """``stored`` without the rows for which the condition holds; where it is null the row stays."""
+    return stored.where(~F.coalesce(condition, F.lit(False)))
+
+
+def update_rows(stored: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``stored`` with ``columns`` taken from the change of the same key, nulls too; keys that are not stored are ignored.
+
+    Of several changes of a key the one with the greatest values counts. A null key is never changed.
+    """
+    one = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*columns)).alias("_change"))
+    joined = stored.join(one, key, "left")
+    return joined.select(*[F.when(F.col("_change").isNotNull(), F.col(f"_change.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns])

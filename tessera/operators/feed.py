@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import REPEATED, label_for
 from tessera.operators.clusters import cluster_repetition
+from tessera.operators.dedup import delete_rows
 from tessera.operators.splits import top_in_group
 from tessera.plans.ordinals import number_rows
 
@@ -137,3 +138,19 @@ def embedding_audit(posts: DataFrame) -> DataFrame:
 def newest(posts: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The ``k`` newest posts, of all or of each group."""
     return top_in_group(posts, by or [], [F.col("created_at").desc(), F.col("image_id")], k) if by else posts.orderBy(F.desc("created_at"), "image_id").limit(k)
+
+
+def embedding_totals(posts: DataFrame) -> DataFrame:
+    """One row: posts in all, with a vector and without."""
+    has = F.coalesce(F.size("embedding") > 0, F.lit(False))
+    n = F.count(F.lit(1))
+    return posts.agg(n.alias("total"), F.count(F.when(has, 1)).alias("with_embedding"), (n - F.count(F.when(has, 1))).alias("without_embedding"))
+
+
+def reset_posts(posts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The state after a reset: uploads go, ``seeds`` replace stored seeds of the same id, other stored seeds stay.
+
+    A post whose ``is_seed`` is null stays, since only what is known to be an upload goes.
+    """
+    kept = delete_rows(posts, ~F.col("is_seed")).join(seeds.select("image_id"), "image_id", "left_anti")
+    return kept.unionByName(seeds.withColumn("is_seed", F.lit(True)).select(*posts.columns))

@@ -86,6 +86,12 @@ def point_biserial(scores: DataFrame, binary: Column, proxy: str) -> DataFrame:
     return known.agg(F.when(F.count(F.lit(1)) > 10, F.corr("b", "x")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
+def shortcut_check(scores: DataFrame, proxy: str, p: str = "p", y: str = "y") -> DataFrame:
+    """``against, r, n`` of the proxy with the label and with the prediction; ``p_value`` of each pair gives its significance."""
+    label = point_biserial(scores, F.col(y) == 1, proxy).select(F.lit("label").alias("against"), "r", "n")
+    return label.unionByName(point_biserial(scores, F.col(p) >= 0.5, proxy).select(F.lit("prediction").alias("against"), "r", "n"))
+
+
 def p_value(r: float | None, n: int) -> float | None:
     """Two-sided p of a correlation by Student's t with n - 2 degrees of freedom."""
     if r is None or n < 3 or math.isnan(r):

@@ -400,6 +400,11 @@ def point_biserial(s, d):
     return metrics.point_biserial(fx.scores(s, d), F.col("y"), "n_chars").select(F.round("r", 9).alias("r"), "n")
 
 
+@query("select 'label' as against, round(corr(y::double, n_chars::double), 9) as r, count(*) as n from scores union all select 'prediction', round(corr((p >= 0.5)::int::double, n_chars::double), 9), count(*) from scores", views=_SCORES)
+def shortcut_check(s, d):
+    return metrics.shortcut_check(fx.scores(s, d), "n_chars").select("against", F.round("r", 9).alias("r"), "n")
+
+
 @query("select image_id, case when ai_probability >= 0.5 then case when vec_id % 2 = 0 then 'repeated_synthetic' else 'unique_ai' end else 'original' end as label from posts", recursive=True, views=_ALL_POSTS)
 def label_for(s, d):
     return fx.posts(s, d).select("image_id", scoring.label_for(F.col("ai_probability"), F.col("vec_id") % 2 == 0).alias("label"))
@@ -532,6 +537,32 @@ def upsert_posts(s, d):
     return dedup.latest_wins(p, p.where("vec_id % 2 = 0").withColumn("p", F.col("p") + 1), "image_id", "created_at").select("image_id", "p")
 
 
+@query("select count(*) as total, count(*) filter (vec_id % 5 <> 0) as with_embedding, count(*) filter (vec_id % 5 = 0) as without_embedding from embeddings")
+def embedding_totals(s, d):
+    return feed.embedding_totals(fx.vectors(s, d).withColumn("embedding", F.when(F.col("vec_id") % 5 != 0, F.col("embedding"))))
+
+
+def _stored(s, d):
+    return fx.vectors(s, d).select("vec_id", "label", (F.col("vec_id") % 3 == 0).alias("is_seed"))
+
+
+@query("select vec_id, label from embeddings where vec_id % 3 = 0")
+def delete_posts(s, d):
+    return dedup.delete_rows(_stored(s, d), ~F.col("is_seed")).select("vec_id", "label")
+
+
+@query("select vec_id, case when vec_id % 4 = 0 then label + 100 else label end as label from embeddings")
+def update_posts(s, d):
+    changes = fx.vectors(s, d).where("vec_id % 4 = 0").select("vec_id", (F.col("label") + 100).alias("label"))
+    return dedup.update_rows(_stored(s, d), changes, "vec_id", ["label"]).select("vec_id", "label")
+
+
+@query("select vec_id as image_id, case when vec_id % 5 = 0 then label + 100 else label end as label from embeddings where vec_id % 3 = 0 or vec_id % 5 = 0")
+def reset_posts(s, d):
+    seeds = fx.vectors(s, d).where("vec_id % 5 = 0").select(F.col("vec_id").alias("image_id"), (F.col("label") + 100).alias("label"))
+    return feed.reset_posts(_stored(s, d).withColumnRenamed("vec_id", "image_id"), seeds).select("image_id", "label")
+
+
 @query()
 def rank_feed(s, d):
     p = feed.feed_cluster_key(fx.posts(s, d)).withColumn("feed_id", F.pmod(F.col("vec_id"), F.lit(8)).cast("int"))

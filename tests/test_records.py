@@ -83,6 +83,15 @@ def test_upsert_takes_the_latest(spark):
     assert got == {"a": 5, "b": 1, "c": 7}
 
 
+def test_update_and_delete_of_posts(spark):
+    old = spark.createDataFrame([("a", 1, True), ("b", 2, False), (None, 3, None)], "k string, x int, seed boolean")
+    changes = spark.createDataFrame([("a", 5), ("a", 4), ("b", None), ("z", 9), (None, 8)], "k string, x int")
+    got = {r["k"]: r["x"] for r in dedup.update_rows(old, changes, "k", ["x"]).collect()}
+    assert got == {"a": 5, "b": None, None: 3}
+    assert {r["k"] for r in dedup.delete_rows(old, ~F.col("seed")).collect()} == {"a", None}
+    assert dedup.update_rows(old.limit(0), changes, "k", ["x"]).count() == 0
+
+
 def test_paths_whose_folders_agree_are_valid(spark):
     rows = [("train/train/real/a.png",), ("x/validation/fake/ai/b.png",), ("train/test/real/c.png",), ("test/ai/real/d.png",)]
     out = validate.infer_path_metadata(spark.createDataFrame(rows, "path string")).collect()
