@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from tessera.llm import chat_format, exact_dedup, fill_middle, line_dedup, ngram_join, packing, pii, sentencepiece_viterbi, sharding, topk_mtree, toxicity
 
 #: Module and query of each operator.
 OPERATORS = {
-    "packing": "op1_packing",
-    "sharding": "op2_sharding",
-    "exact_dedup": "op3_exact_dedup",
-    "toxicity": "op4_toxicity",
-    "ngram_join": "op5_ngram_join",
-    "sentencepiece_viterbi": "op6_sentencepiece",
-    "chat_format": "op7_chat_format",
-    "pii": "op8_pii",
-    "topk_mtree": "op9_topk",
-    "line_dedup": "op10_line_dedup",
+    packing: "op1_packing",
+    sharding: "op2_sharding",
+    exact_dedup: "op3_exact_dedup",
+    toxicity: "op4_toxicity",
+    ngram_join: "op5_ngram_join",
+    sentencepiece_viterbi: "op6_sentencepiece",
+    chat_format: "op7_chat_format",
+    pii: "op8_pii",
+    topk_mtree: "op9_topk",
+    line_dedup: "op10_line_dedup",
+    fill_middle: "op12_fill_middle",
 }
 
 
 def queries() -> dict:
-    out = {name: getattr(import_module(f"tessera.llm.{module}"), name) for module, name in OPERATORS.items()}
-    return out
+    return {name: getattr(module, name) for module, name in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for module in OPERATORS:
-        out |= getattr(import_module(f"tessera.llm.{module}"), "SQL", {})
+        out |= getattr(module, "SQL", {})
     return out
