@@ -163,7 +163,7 @@ def trie(sequences: DataFrame, lengths: DataFrame) -> DataFrame:
     heads = leaves.select(F.col("conv_id").alias("path")).join(heads, "path", "left").select("path", F.coalesce("head", zero).alias("head"), F.coalesce("level", F.lit(0)).alias("level"))
     heads = stage(heads, "heads")
     on_path = along.join(heads, "path").where("depth >= head")
-    top = full.where("depth = 0").withColumn("_one", F.lit(1)).join(heads.where("level = 0").withColumn("_one", F.lit(1)), "_one").drop("_one")
+    top = full.where("depth = 0").join(heads.where("level = 0"), F.col("depth") == F.col("head"))  # the root and the one path that it begins
     values = {"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("size")}
     path = new_path(spark, "paths")
     valued = on_path.unionByName(top.select(on_path.columns)).withColumns(values)
