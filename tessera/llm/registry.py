@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, fill_middle, line_dedup, ngram_join, packing, pii, prefix_trie, sentencepiece_viterbi, sharding, topk_mtree, toxicity
+from tessera.llm import ann_hnsw, chat_format, exact_dedup, fill_middle, line_dedup, ngram_join, packing, pii, prefix_trie, sentencepiece_viterbi, sharding, topk_mtree, toxicity
 
 #: Module and query of each operator.
 OPERATORS = {
@@ -18,6 +18,7 @@ OPERATORS = {
     line_dedup: "op10_line_dedup",
     prefix_trie: "op11_prefix_trie",
     fill_middle: "op12_fill_middle",
+    ann_hnsw: "op13_ann",
 }
 
 
