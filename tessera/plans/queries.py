@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring
 from tessera.operators import clusters, dedup, feed, metrics, ranker, report, splits, validate, vectors
+from tessera.plans.scratch import stage
 from tessera.sources import fixtures as fx
+from tessera.streaming import uploads
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -301,13 +303,45 @@ _ASSIGN = """, old as (select * from posts where vec_id % 4 <> 0), new as (selec
 
 @query(_ASSIGN, recursive=True, views=_ALL_POSTS)
 def assign_cluster(s, d):
-    from tessera.plans.scratch import stage
-
     p = stage(fx.posts(s, d), "posts")
     out = vectors.assign_cluster(p.where("vec_id % 4 = 0").select("image_id", "embedding"), p.where("vec_id % 4 <> 0"), fx.THRESHOLD)
     return out.select("image_id", "similarity_cluster", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+_UPLOADS = """, old as (select image_id, ai_probability, similarity_cluster, similarity_score, repetition_score, diversity_label, created_at, embedding::double[] as e, sha256(cast(case when vec_id % 16 = 1 then vec_id - 1 else vec_id end as varchar)) as h from posts where vec_id % 4 <> 0),
+    ups as (select image_id, ai_probability, created_at, embedding::double[] as e, sha256(cast(vec_id - vec_id % 8 as varchar)) as h, row_number() over (order by created_at, image_id) as pos from posts where vec_id % 4 = 0 and vec_id % 28 <> 0),
+    st as (select h, arg_max(similarity_cluster, struct_pack(c := created_at, i := image_id)) as same, arg_max(e, struct_pack(c := created_at, i := image_id)) as e from old group by h),
+    v as (select u.pos, u.image_id, u.ai_probability, u.created_at, f.pos as lead, st.same, coalesce(st.e, f.e) as vec from ups u join (select h, min(pos) as pos, arg_min(e, pos) as e from ups group by h) f using (h) left join st using (h)),
+    cand as (
+      select a.pos, round(list_inner_product(a.vec, o.e), 12) as s, o.created_at as t, o.image_id as i, o.similarity_cluster as k, null::bigint as up from v a join old o on true where a.same is null and a.pos = a.lead
+      union all select a.pos, round(list_inner_product(a.vec, b.vec), 12), b.created_at, b.image_id, null, b.pos from v a join v b on b.pos < a.pos where a.same is null and a.pos = a.lead),
+    best as (select pos, arg_max(struct_pack(k := k, up := up), struct_pack(s := s, t := t, i := i)) as b from cand where s >= 0.4 group by pos),
+    ptr as (select pos, case when same is null then case when pos <> lead then lead else b.up end end as up, coalesce(same, b.k) as k from v left join best using (pos)),
+    walk as (select pos, pos as root from ptr where up is null union all select p.pos, w.root from ptr p join walk w on p.up = w.pos),
+    ends as (select w.pos, w.root, p.k from walk w join ptr p on p.pos = w.root),
+    born as (select root, (select max(similarity_cluster) from old) + row_number() over (order by root) as k from ends where pos = root and k is null),
+    placed as (select v.*, coalesce(ends.k, born.k) as k from v join ends using (pos) left join born using (root)),
+    tops as (select similarity_cluster as k, max(ai_probability) as top from old group by 1),
+    raised as (select image_id, k, vec as e, greatest(max(ai_probability) over (partition by k order by pos), coalesce(top, 0)) as p from placed left join tops using (k)),
+    now as (select image_id, k, e, p, null::double as s, null::double as r, null::varchar as l from raised union all select image_id, similarity_cluster, e, ai_probability, similarity_score, repetition_score, diversity_label from old),
+    facts as (select k, count(*) as n, max(p) as top from now where k in (select k from raised) group by k),
+    near as (select a.image_id, max(list_inner_product(a.e, b.e)) as s from now a join now b on a.k = b.k and a.image_id <> b.image_id where a.k in (select k from raised) group by 1)
+    select image_id, k as similarity_cluster, round(p, 6) as ai_probability, round(case when n is null then now.s else greatest(0, coalesce(near.s, 0)) end, 4) as similarity_score,
+      case when n is null then r when n <= 1 then 0.0 else round(least(0.99, 0.7 + 0.1 * (n - 2)), 2) end::double as repetition_score,
+      case when n is null then l when p >= 0.5 then case when n > 1 and top >= 0.5 then 'repeated_synthetic' else 'unique_ai' end else 'original' end as diversity_label
+    from now left join facts using (k) left join near using (image_id)"""
+
+
+@query(_UPLOADS, recursive=True, views=_ALL_POSTS)
+def upload_batch(s, d):
+    p = stage(fx.posts(s, d), "posts")
+    k = F.col("vec_id")
+    stored = p.where(k % 4 != 0).withColumn("image_sha256", F.sha2(F.when(k % 16 == 1, k - 1).otherwise(k).cast("string"), 256))
+    batch = p.where(k % 4 == 0).withColumn("image_sha256", F.sha2((k - k % 8).cast("string"), 256)).withColumn("mime", F.when(k % 28 == 0, "text/html").otherwise("image/png")).withColumn("size", F.lit(10))
+    out = uploads.apply_batch(batch, stored, fx.THRESHOLD)
+    return out.select("image_id", "similarity_cluster", F.round("ai_probability", 6).alias("ai_probability"), F.round("similarity_score", 4).alias("similarity_score"), "repetition_score", "diversity_label")
+
+
 @query(
     """, m as (select a.image_id, max(list_inner_product(a.embedding::double[], b.embedding::double[])) as s from posts a join posts b on a.similarity_cluster = b.similarity_cluster and a.image_id <> b.image_id group by 1)
     select image_id, similarity_cluster, round(greatest(0, coalesce(s, 0)), 4) as similarity_score from posts left join m using (image_id)""",

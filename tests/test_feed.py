@@ -43,17 +43,17 @@ def test_stream_equals_replay(spark, tmp_path):
     folder = f"file://{tmp_path}/in"
     for i, r in enumerate(rows):
         batch(spark, r).coalesce(1).write.mode("append").parquet(folder)
-    table = uploads.PostsTable(spark, f"file://{tmp_path}/posts")
-    table.write(posts(spark), 0)
+    store = uploads.PostsStore(spark, f"file://{tmp_path}/posts", 0.9, buckets=4)
+    store.create(posts(spark))
     stream = spark.readStream.schema(batch(spark, rows[0]).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = uploads.run_stream(stream, table, 0.9, f"file://{tmp_path}/cp")
+    q = uploads.run_stream(stream, store, f"file://{tmp_path}/cp")
     q.processAllAvailable()
     q.stop()
     now = posts(spark)
     for r in rows:
         now = uploads.apply_batch(batch(spark, r), now, 0.9)
     key = lambda df: sorted((r["image_id"], r["similarity_cluster"], r["diversity_label"]) for r in df.collect())
-    assert key(table.version(2)) == key(now) and len(key(now)) == 4
+    assert key(store.posts(2)) == key(now) and len(key(now)) == 4
 
 
 def test_feed_has_ten_columns(spark):
