@@ -18,8 +18,8 @@ so there are at most log2(conversations) + 1 levels.
 level, adds to their nodes what light paths of the level below brought, forms the
 suffix sums along each path, and hands the sum at each head to the head's parent.
 
-*Skew.* Running aggregates go over blocks of ``BLOCK`` rows whose totals are
-carried on, so neither a conversation of a third of all rows nor a path of that
+*Skew.* Running aggregates go over blocks of rows whose totals are carried
+on (``plans/running.py``), so neither a conversation of a third of all rows nor a path of that
 length stands in one task. Texts are never shuffled. The digest over a node's
 conversations is one SHA-256 of a sorted list, which only one task can form; it
 streams the ids and holds none but a batch.
@@ -28,40 +28,23 @@ streams the ids and holds none but a batch.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.ordinals import number_rows
+from tessera.plans.running import running
 from tessera.plans.scratch import new_path, stage
 
-#: Rows of a block of a running aggregate.
-BLOCK = 1024
 #: Conversations of one family share the opening turns of its first, and at most this many of them.
 FAMILY, OPENING = 5, 9
 KEY = ["depth", "k1", "k2"]
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
-def running(df: DataFrame, by: str, at: str, aggregate: Callable[[Column], Column], combine: Callable[[Column, Column], Column], columns: list[str], descending: bool = False) -> DataFrame:
-    """``df`` with each of ``columns`` replaced by its aggregate over the rows of the same ``by`` up to this one, in the order of ``at`` (whole numbers, distinct within ``by``).
-
-    ``df`` is read twice, so it should be a written table.
-    """
-    blocked = df.withColumn("_block", F.floor(F.col(at) / BLOCK))
-    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    inside = Window.partitionBy(by, "_block").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(by).orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy(by, "_block").agg(*[aggregate(F.col(c)).alias(c) for c in columns])
-    carried = totals.select(by, "_block", *[aggregate(F.col(c)).over(before).alias(f"_{c}") for c in columns]).where(F.col(f"_{columns[0]}").isNotNull())
-    local = blocked.withColumns({c: aggregate(F.col(c)).over(inside) for c in columns})
-    joined = local.join(carried, [by, "_block"], "left")
-    return joined.withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(combine(F.col(c), F.col(f"_{c}"))) for c in columns}).drop("_block", *[f"_{c}" for c in columns])
-
-
 def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(conv_id, pos, digest, size)`` of each turn, places from 1, and ``(conv_id, n)`` of each conversation."""
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from tessera.llm import prefix_trie
+from tessera.plans import running
 
 HOSTILE = "conv_id long, turn long, role string, text string, depth long, k1 long, path long, level int, head long, size long, n string, digest string"
 
@@ -57,7 +58,7 @@ WORDS = ["a", "é\n", None, "", "long " * 50]
 
 @pytest.mark.parametrize("block", [2, 1024])
 def test_equals_brute_force(table, monkeypatch, block):
-    monkeypatch.setattr(prefix_trie, "BLOCK", block)
+    monkeypatch.setattr(running, "BLOCK", block)
     rows = conversations(block, 40, 6, WORDS)
     # A conversation much longer than the others, repeated rows, ties and null turns, no id, and copies of one conversation.
     rows += [(100, t, "user", WORDS[t % 5]) for t in range(40)] + [(100, 3, "user", "b"), (100, 3, "user", "b"), (100, None, "user", "first"), (None, 0, "user", "a"), (None, None, None, None)]
