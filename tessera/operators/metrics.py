@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.significance import correlation_p
+
 #: Weights of the final score, and the rows that are no perturbation.
 CLEAN_WEIGHT, ROBUST_WEIGHT, CLEAN, UNSEEN = 0.5, 0.5, "clean", "unseen_generator"
 
@@ -81,44 +81,16 @@ def compression_proxy(size: Column, width: Column, height: Column, path: Column)
 
 
 def point_biserial(scores: DataFrame, binary: Column, proxy: str) -> DataFrame:
-    """``r`` and ``n`` over rows with a proxy; ``r`` only with more than ten of them."""
+    """``r``, its two-sided ``p`` and ``n`` over rows with a proxy; ``r`` and ``p`` only with more than ten of them."""
     known = scores.where(F.col(proxy).isNotNull()).select(binary.cast("double").alias("b"), F.col(proxy).cast("double").alias("x"))
-    return known.agg(F.when(F.count(F.lit(1)) > 10, F.corr("b", "x")).alias("r"), F.count(F.lit(1)).alias("n"))
+    found = known.agg(F.when(F.count(F.lit(1)) > 10, F.corr("b", "x")).alias("r"), F.count(F.lit(1)).alias("n"))
+    return found.select("r", correlation_p(F.col("r"), F.col("n")).alias("p"), "n")
 
 
 def shortcut_check(scores: DataFrame, proxy: str, p: str = "p", y: str = "y") -> DataFrame:
-    """``against, r, n`` of the proxy with the label and with the prediction; ``p_value`` of each pair gives its significance."""
-    label = point_biserial(scores, F.col(y) == 1, proxy).select(F.lit("label").alias("against"), "r", "n")
-    return label.unionByName(point_biserial(scores, F.col(p) >= 0.5, proxy).select(F.lit("prediction").alias("against"), "r", "n"))
-
-
-def p_value(r: float | None, n: int) -> float | None:
-    """Two-sided p of a correlation by Student's t with n - 2 degrees of freedom."""
-    if r is None or n < 3 or math.isnan(r):
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    return _beta_inc(df / 2, 0.5, df / (df + r * r * df / (1 - r * r)))
-
-
-def _beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_inc(b, a, 1 - x)
-    c, d = 1.0, 1 / max(1e-300, 1 - (a + b) * x / (a + 1))
-    out = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d)
-            c = 1 + num / c
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * out / a
+    """``against, r, p, n`` of the proxy with the label and with the prediction."""
+    label = point_biserial(scores, F.col(y) == 1, proxy).select(F.lit("label").alias("against"), "r", "p", "n")
+    return label.unionByName(point_biserial(scores, F.col(p) >= 0.5, proxy).select(F.lit("prediction").alias("against"), "r", "p", "n"))
 
 
 def score_summary(scores: DataFrame, p: str = "p", y: str = "y") -> DataFrame:

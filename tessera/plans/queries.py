@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.operators import clusters, dedup, feed, metrics, ranker, report, splits, validate, vectors
-from tessera.plans.scratch import stage
+from tessera.operators import caches, clusters, dedup, feed, metrics, ranker, report, splits, training, validate, vectors
+from tessera.plans.scratch import new_path, stage
 from tessera.sources import fixtures as fx
+from tessera.sources import ranges, scans
 from tessera.streaming import uploads
 
 QUERIES: dict = {}
@@ -164,6 +165,23 @@ def archive_gatekeeping(s, d):
     return validate.gatekeep_archives(asked, listing).select("s_suppkey", "reason")
 
 
+@query("select source as archive, doc_id || '.txt' as member, sha256(coalesce(text, '')) as sha, octet_length(encode(coalesce(text, ''))) as size from documents")
+def scan_archives(s, d):
+    folder = new_path(s, "archives")
+    docs = fx.table(s, d, "documents").select(F.col("source").alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("member_path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    stage(ranges.write_archives(docs, folder), "written")
+    read = scans.scan_zip_archives(s, folder, suffixes=("txt",)).where("error is null")
+    return read.select(F.regexp_extract("archive_path", r"([^/]+)\.zip$", 1).alias("archive"), F.col("member_path").alias("member"), F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
+
+
+@query("select doc_id, sha256(text) as sha, octet_length(encode(text)) as size from documents join labels using (doc_id)")
+def lookup_rows(s, d):
+    places = fx.table(s, d, "documents").select("doc_id", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+    wanted = stage(places.join(fx.table(s, d, "labels").select("doc_id"), "doc_id"), "wanted")
+    read = ranges.read_rows(wanted, "text").where("reason is null")
+    return wanted.join(read, ["path", "row_index"]).select("doc_id", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
+
+
 # Splits and samples ---------------------------------------------------------------
 
 
@@ -182,6 +200,18 @@ def seeded_split(s, d):
     return splits.seeded_split(fx.samples(s, d), holdout="src0")
 
 
+@query(
+    """, r as (select *, row_number() over (order by sha256('7:' || path), path) - 1 as pos, count(*) over () as n from samples where generator <> 'src1')
+    select path, label, generator, case when pos < floor(n * 0.6) then 'train' when pos < floor(n * 0.6) + floor(n * 0.2) then 'val' else 'test' end as split from r
+    union all select path, label, generator, 'unseen_generator' from samples where generator = 'src1'""",
+    views=_SAMPLES,
+)
+def cached_split(s, d):
+    folder, known = new_path(s, "split"), {"holdout": "src1", "train": 0.6, "val": 0.2, "seed": 7}
+    caches.cached_split(fx.samples(s, d), folder, **known)
+    return caches.cached_split(fx.samples(s, d), folder, **known)  # read back
+
+
 @query("select sha256(string_agg(path, chr(10) order by path) || chr(10)) as fingerprint, count(*) as n from samples", views=_SAMPLES)
 def samples_fingerprint(s, d):
     return splits.fingerprint(fx.samples(s, d))
@@ -358,6 +388,20 @@ def find_by_hash(s, d):
     return vectors.find_by_hash(fx.posts(s, d), hashes).select("image_id", "vec_id")
 
 
+@query("""
+    with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings), c as (select unnest(['clean', 'noise', 'flip']) as condition)
+    select vec_id, condition, case when label < 7 and condition <> 'flip' then 0 else 1 end as run,
+      round(list_sum(list_transform(e, lambda x: case condition when 'clean' then x when 'noise' then x + 0.05 else -x end)), 6) as total from v, c""")
+def embed_once(s, d):
+    v = fx.vectors(s, d).select("vec_id", "label", "embedding")
+    shapes = {"clean": lambda e: F.transform(e, lambda x: x.cast("double")), "noise": lambda e: F.transform(e, lambda x: x.cast("double") + 0.05), "flip": lambda e: F.transform(e, lambda x: -x.cast("double"))}
+    wanted = v.withColumn("condition", F.explode(F.array(*map(F.lit, shapes))))
+    table = caches.FeatureTable(s, new_path(s, "features"), ["vec_id", "condition"], "vec_id long, condition string, features array<double>")
+    table.ensure(wanted.where("label < 7 and condition <> 'flip'"), caches.embed_conditions(shapes))
+    out = caches.with_features(wanted.select("vec_id", "condition", "embedding"), table, caches.embed_conditions(shapes))
+    return out.select("vec_id", "condition", "run", F.round(F.aggregate("features", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+
+
 # Scores and evaluation --------------------------------------------------------------
 
 
@@ -429,14 +473,34 @@ def compression_proxy(s, d):
     return fx.table(s, d, "documents").select("doc_id", metrics.compression_proxy(F.octet_length("text").cast("double"), F.col("n_chars"), F.lit(1), path).alias("proxy"))
 
 
-@query("select round(corr(y::double, n_chars::double), 9) as r, count(*) as n from scores", views=_SCORES)
+#: Student's t in finite sums: one for an odd, one for an even number of degrees of freedom.
+_P = """, c as (select *, n - 2 as v, atan(r * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) as u from cor),
+    t as (select against, k.i from c, range(20000) k(i) where k.i <= (v - 2 - v % 2) // 2),
+    a as (
+      select against, any_value(r) as r, any_value(n) as n, any_value(v) as v, any_value(u) as u,
+        sum(case when v % 2 = 0 then exp(lgamma(i + 0.5) - lgamma(i + 1.0)) / sqrt(pi()) else exp(lgamma(i + 1.0) - lgamma(i + 1.5)) * sqrt(pi()) / 2 end * pow(cos(u), 2 * i)) as s
+      from c join t using (against) group by against)
+    select against, round(r, 9) as r, round(1 - abs(case when v % 2 = 0 then sin(u) * s else 2 / pi() * (u + sin(u) * cos(u) * s) end), 9) as p, n from a"""
+
+
+@query(f", cor as (select 'label' as against, corr(y::double, n_chars::double) as r, count(*) as n from scores) {_P}", views=_SCORES)
 def point_biserial(s, d):
-    return metrics.point_biserial(fx.scores(s, d), F.col("y"), "n_chars").select(F.round("r", 9).alias("r"), "n")
+    out = metrics.point_biserial(fx.scores(s, d), F.col("y"), "n_chars")
+    return out.select(F.lit("label").alias("against"), F.round("r", 9).alias("r"), F.round("p", 9).alias("p"), "n")
 
 
-@query("select 'label' as against, round(corr(y::double, n_chars::double), 9) as r, count(*) as n from scores union all select 'prediction', round(corr((p >= 0.5)::int::double, n_chars::double), 9), count(*) from scores", views=_SCORES)
+@query(f", cor as (select 'label' as against, corr(y::double, n_chars::double) as r, count(*) as n from scores union all select 'prediction', corr((p >= 0.5)::int::double, n_chars::double), count(*) from scores) {_P}", views=_SCORES)
 def shortcut_check(s, d):
-    return metrics.shortcut_check(fx.scores(s, d), "n_chars").select("against", F.round("r", 9).alias("r"), "n")
+    return metrics.shortcut_check(fx.scores(s, d), "n_chars").select("against", F.round("r", 9).alias("r"), F.round("p", 9).alias("p"), "n")
+
+
+@query()
+def train_head(s, d):
+    v = fx.vectors(s, d)
+    rows = v.select(F.col("embedding").alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
+    _, losses = training.train_head(rows, training.Head.drawn(64, 16), steps=8, folder=new_path(s, "head"))
+    at = F.posexplode(F.array(*[F.lit(x) for x in losses])).alias("step", "loss")
+    return s.range(1).select(at)
 
 
 @query("select image_id, case when ai_probability >= 0.5 then case when vec_id % 2 = 0 then 'repeated_synthetic' else 'unique_ai' end else 'original' end as label from posts", recursive=True, views=_ALL_POSTS)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.ranges import list_files, list_members, read_members
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 ARCHIVE_SUFFIXES = (*IMAGE_SUFFIXES, "tif", "tiff")
 SHARD_PREFIXES = ("train-", "validation-")
@@ -53,27 +50,11 @@ def scan_parquet_shards(spark: SparkSession, paths: list[str]) -> tuple[DataFram
     return image_bytes(rows).drop("image"), rejected
 
 
-def scan_zip_archives(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ARCHIVE_SUFFIXES, batch: int = 64) -> DataFrame:
-    """``archive_path, member_path, content, error`` of the image members of all archives, read in place; a broken archive gives one row with an error."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for path, data in zip(frame["path"], frame["content"]):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for name in sorted(i.filename for i in z.infolist() if not i.is_dir() and i.filename.lower().rpartition(".")[2] in suffixes):
-                            rows.append((path, name, z.read(name), None))
-                            if len(rows) == batch:
-                                yield pd.DataFrame(rows, columns=["archive_path", "member_path", "content", "error"])
-                                rows = []
-                except (zipfile.BadZipFile, OSError, EOFError) as e:
-                    rows.append((path, None, None, f"invalid_zip: {e}"))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive_path", "member_path", "content", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
-    return files.select("path", "content").mapInPandas(members, "archive_path string, member_path string, content binary, error string")
+def scan_zip_archives(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ARCHIVE_SUFFIXES) -> DataFrame:
+    """``archive_path, member_path, content, error`` of the image members of all archives, read in place; a broken archive gives one row with an error, a broken member its own."""
+    members = list_members(list_files(spark, root, "*.zip"))
+    wanted = members.where(F.col("reason").isNotNull() | F.lower(F.element_at(F.split("member_path", r"\."), -1)).isin(*suffixes))
+    return read_members(wanted).withColumnRenamed("reason", "error")
 
 
 def scan_manifest(manifest: DataFrame, files: DataFrame, container: str, member: str, scheme: str, label: str = "source_label", generator: str | None = None) -> DataFrame:
@@ -105,12 +86,6 @@ def union_sources(*sources: DataFrame | None) -> DataFrame:
     return out
 
 
-def resolve_members(wanted: DataFrame, archives: DataFrame) -> DataFrame:
-    """``wanted`` pseudo-paths ``scheme://container#member`` with their bytes, each container opened once."""
-    keyed = wanted.withColumn("archive_path", F.regexp_extract("path", "://(.*)#", 1)).withColumn("member_path", F.regexp_extract("path", "#(.*)$", 1))
-    return keyed.join(archives.select("archive_path", "member_path", "content"), ["archive_path", "member_path"])
-
-
 def write_manifests(classified: DataFrame, path: str) -> None:
     """``manifest``, ``clean_manifest`` and ``rejects`` below ``path`` as CSV with headers."""
     valid = classified.where("reason is null").drop("reason")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
+from tessera.functions.significance import correlation_p
 from tessera.operators import clusters, metrics, vectors
 from tessera.operators.components import connected_components
 
@@ -92,8 +93,21 @@ def test_temperature_recovers_the_scale(spark):
     assert abs(metrics.temperature_fit(spark.createDataFrame(pd.DataFrame({"logit": z, "y": y}))) - 2.5) < 0.35
 
 
-def test_p_value_of_a_known_correlation():
-    assert abs(metrics.p_value(0.5, 20) - 0.0247) < 2e-4 and metrics.p_value(None, 20) is None
+@pytest.mark.parametrize("r, n, p", [(0.5, 20, 0.02476956), (-0.5, 20, 0.02476956), (0.1, 11, 0.769875), (0.9, 5, 0.03738607), (0.01, 100_000, 0.00156518975), (0.02, 100_000, 2.5303e-10), (0.0, 50, 1.0), (1.0, 9, 0.0), (None, 20, None), (float("nan"), 20, None), (0.3, 2, None)])
+def test_p_of_a_correlation(spark, r, n, p):
+    got = spark.createDataFrame([(r, n)], "r double, n long").select(correlation_p(F.col("r"), F.col("n")).alias("p")).first()["p"]
+    assert got is None if p is None else abs(got - p) <= 1e-4 * p + 1e-15
+
+
+def test_p_equals_a_numeric_integral(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(r), int(n)) for r, n in zip(rng.uniform(-0.95, 0.95, 40), rng.integers(3, 400, 40))]
+    for row in spark.createDataFrame(rows, "r double, n long").withColumn("p", correlation_p(F.col("r"), F.col("n"))).collect():
+        # The density of r under no correlation is proportional to cos(u)^(n - 3) with r = sin(u).
+        u = np.linspace(-np.pi / 2, np.pi / 2, 200_001)
+        density = np.cos(u) ** (row["n"] - 3)
+        assert abs(row["p"] - np.trapezoid(np.where(np.abs(np.sin(u)) >= abs(row["r"]), density, 0), u) / np.trapezoid(density, u)) < 2e-4
+
 
 
 def test_heads_agree(spark, points):
