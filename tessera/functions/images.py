@@ -298,3 +298,14 @@ def make_variants(images: DataFrame, per_image: int, key: str = "path", content:
 
     long = images.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(per_image))))
     return long.withColumn(content, run(F.col(content), F.col(key).cast("string"), F.col("variant"))).withColumn("is_original", F.col("variant") == 0)
+
+
+def draw_shades(df: DataFrame, shade: str, side: int = 12) -> DataFrame:
+    """``df`` with ``content``: a small PNG whose pixels depend on the whole number ``shade`` alone; a null shade gives bytes that are no image."""
+
+    @F.pandas_udf("binary")
+    def draw(values: pd.Series) -> pd.Series:
+        ramp = np.arange(side * side * 3).reshape(side, side, 3)
+        return pd.Series([b"no image" if pd.isna(v) else encode_png(((ramp * (int(v) % 251 + 1) + int(v)) % 256).astype(np.uint8)) for v in values])
+
+    return df.withColumn("content", draw(F.col(shade).cast("double")))

@@ -16,20 +16,17 @@ def cleaning_report(classified: DataFrame, split: str = "split", label: str = "l
         F.col("reason").isNull().alias("valid"), F.coalesce(F.col("include"), F.lit(False)).alias("included"),
         F.concat_ws("/", split, F.col(label).cast("string")).alias("part"), F.col(size).alias("dims"), "reason",
     )
-    sections = F.filter(
-        F.array(
-            F.struct(F.lit("total").alias("section"), F.lit("discovered").alias("name")),
-            F.when(F.col("valid"), F.struct(F.lit("total").alias("section"), F.lit("valid").alias("name"))),
-            F.when(F.col("valid") & F.col("included"), F.struct(F.lit("total").alias("section"), F.lit("included").alias("name"))),
-            F.when(~F.col("valid"), F.struct(F.lit("total").alias("section"), F.lit("rejected").alias("name"))),
-            F.when(F.col("valid") & F.col("included"), F.struct(F.lit("included").alias("section"), F.col("part").alias("name"))),
-            F.when(F.col("valid") & F.col("dims").isNotNull(), F.struct(F.lit("dims").alias("section"), F.col("dims").alias("name"))),
-            F.when(~F.col("valid"), F.struct(F.lit("reason").alias("section"), F.col("reason").alias("name"))),
-        ),
-        lambda s: s.isNotNull(),
+    state = [F.col("valid"), F.col("included")]
+    sets = rows.groupingSets([state, [*state, F.col("part")], [F.col("valid"), F.col("dims")], [F.col("valid"), F.col("reason")]], *state, F.col("part"), F.col("dims"), F.col("reason"))
+    counts = sets.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("absent"))
+    # A bit of ``absent`` is set for each column that is not in the set: valid 16, included 8, part 4, dims 2, reason 1.
+    total = lambda name, holds: F.when((F.col("absent") == 7) & holds, F.struct(F.lit("total").alias("section"), F.lit(name).alias("name")))
+    cell = lambda absent, column, section, holds: F.when((F.col("absent") == absent) & holds & F.col(column).isNotNull(), F.struct(F.lit(section).alias("section"), F.col(column).alias("name")))
+    sections = F.array(
+        total("discovered", F.lit(True)), total("valid", F.col("valid")), total("included", F.col("valid") & F.col("included")), total("rejected", ~F.col("valid")),
+        cell(3, "part", "included", F.col("valid") & F.col("included")), cell(13, "dims", "dims", F.col("valid")), cell(14, "reason", "reason", ~F.col("valid")),
     )
-    counts = rows.groupBy("valid", "included", "part", "dims", "reason").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.explode(sections).alias("s"), "n").groupBy("s.section", "s.name").agg(F.sum("n").alias("n"))
+    return counts.select(F.explode(F.array_compact(sections)).alias("s"), "n").groupBy("s.section", "s.name").agg(F.sum("n").alias("n"))
 
 
 def report_json(report: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring
-from tessera.operators import caches, clusters, dedup, feed, metrics, ranker, report, splits, training, validate, vectors
+from tessera.functions import images, scoring
+from tessera.operators import caches, cleaners, clusters, dedup, feed, metrics, ranker, report, splits, training, validate, vectors
 from tessera.plans.scratch import new_path, stage
 from tessera.sources import fixtures as fx
 from tessera.sources import ranges, scans
@@ -82,11 +82,14 @@ def group_having(s, d):
 
 
 @query("""
-    with r as (select doc_id, sha256(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) as fp, sha256(text) as px from documents),
+    with r as (select doc_id, nullif(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: sha256(x))))[1:4], ' '), '') as fp, sha256(text) as px from documents),
     g as (select fp, 'review_' || lpad(cast(row_number() over (order by fp) as varchar), 6, '0') as review_group from r group by fp having count(*) > 1 and count(distinct px) > 1)
     select doc_id, fp, px, review_group from r join g using (fp)""")
 def near_dup_review(s, d):
-    rows = fx.table(s, d, "documents").select("doc_id", F.sha2(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), 256).alias("fp"), F.sha2("text", 256).alias("px"))
+    # The four smallest hashes of all distinct words: a change of few words seldom touches them.
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: F.sha2(w, 256)))
+    sketch = F.array_join(F.slice(F.array_sort(words), 1, 4), " ")
+    rows = fx.table(s, d, "documents").select("doc_id", F.nullif(sketch, F.lit("")).alias("fp"), F.sha2("text", 256).alias("px"))
     return dedup.near_dup_review(rows, "fp", "px")
 
 
@@ -165,6 +168,28 @@ def archive_gatekeeping(s, d):
     return validate.gatekeep_archives(asked, listing).select("s_suppkey", "reason")
 
 
+_CLEANED = """with p as (
+      select p_partkey, p_size, ['Images/Real/afhq', 'Images/GAN_based/style', 'Images/Diffusion_based/ddim', 'Images/Real/coco'][p_partkey % 4 + 1] || '.zip' as archive_path,
+        ['train', 'test', 'other'][p_partkey % 3 + 1] || '/' || p_partkey || '.png' as member_path, case when p_partkey % 50 <> 0 then p_size % 40 + 50 * (p_partkey % 97) end as shade, p_partkey % 4 in (0, 3) as real from part),
+    v as (select *, case when member_path like 'test/%' then 'test' when member_path like 'train/%' then 'train' when k < 8 then 'train' when k = 8 then 'validation' else 'test' end as split
+      from (select *, ('0x' || substr(sha256(member_path), 1, 8))::bigint % 10 as k from p) where archive_path not like '%coco%'),
+    g as (select shade, count(*) as n, count(distinct real) as l, arg_min(p_partkey, struct_pack(s := split not in ('validation', 'test'), a := archive_path, m := member_path)) as first from v where shade is not null group by shade having count(*) > 1)
+    select archive_path, member_path, split, case when real then 0 else 1 end as label, case when shade is null then 'unreadable' end as reason, shade is not null and coalesce(l = 1 and p_partkey = first, true) as include,
+      case when l > 1 then 'exact_duplicate_label_conflict' when p_partkey <> first then 'exact_duplicate' end as exclusion_reason from v left join g using (shade)"""
+
+
+@query(_CLEANED)
+def clean_archives(s, d):
+    k, folder = F.col("p_partkey"), new_path(s, "raw")
+    shade = F.when(k % 50 != 0, F.col("p_size") % 40 + 50 * (k % 97))
+    archive = F.element_at(F.array(*[F.lit(f"Images/{x}") for x in ("Real/afhq", "GAN_based/style", "Diffusion_based/ddim", "Real/coco")]), (k % 4 + 1).cast("int"))
+    member = F.concat(F.element_at(F.array(*map(F.lit, ("train", "test", "other"))), (k % 3 + 1).cast("int")), F.lit("/"), k.cast("string"), F.lit(".png"))
+    drawn = images.draw_shades(fx.table(s, d, "part").select(archive.alias("archive"), member.alias("member_path"), shade.alias("shade")), "shade")
+    stage(ranges.write_archives(drawn, folder), "written")
+    done = cleaners.clean_archives(s, folder, [f"Images/{x}.zip" for x in ("Real/afhq", "GAN_based/style", "Diffusion_based/ddim", "Real/coco", "Real/gone")])
+    return done.records.select("archive_path", "member_path", "split", "label", "reason", "include", "exclusion_reason")
+
+
 @query("select source as archive, doc_id || '.txt' as member, sha256(coalesce(text, '')) as sha, octet_length(encode(coalesce(text, ''))) as size from documents")
 def scan_archives(s, d):
     folder = new_path(s, "archives")

@@ -56,8 +56,9 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
                     if z:
                         yield closed()
                     store, at = fs.FileSystem.from_uri(folder) if ":" in folder.partition("/")[0] else (fs.LocalFileSystem(), folder)
-                    store.create_dir(at)
-                    name, target, n = archive, store.open_output_stream(posixpath.join(at, f"{archive}.zip")), 0
+                    path = posixpath.join(at, f"{archive}.zip")
+                    store.create_dir(posixpath.dirname(path))
+                    name, target, n = archive, store.open_output_stream(path), 0
                     z = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
                 z.writestr(zipfile.ZipInfo(member), content or b"", zipfile.ZIP_DEFLATED)
                 n += 1
