@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import images, scoring
-from tessera.operators import caches, cleaners, clusters, dedup, feed, metrics, ranker, report, splits, training, validate, vectors
+from tessera.operators import caches, cleaners, clusters, dedup, feed, metrics, ranker, report, splits, startup, training, validate, vectors
 from tessera.plans.scratch import new_path, stage
 from tessera.sources import fixtures as fx
-from tessera.sources import ranges, scans
+from tessera.sources import ranges, scans, sinks
 from tessera.streaming import uploads
 
 QUERIES: dict = {}
@@ -592,6 +592,37 @@ def simulate_feed(s, d):
     return feed.simulate_feed(fx.feed_events(s, d), ["ts"]).select("image_id", "kept")
 
 
+@query(
+    """, c as (select case when vec_id % 2 = 0 then 'REAL/' else 'FAKE/' end || vec_id || '.png' as k, vec_id / 1000.0::double as s from embeddings where vec_id % 3 = 0),
+    o as (select image_id, 0.9::double as s from posts where vec_id % 10 = 0),
+    a as (select image_id, similarity_cluster as k, round(coalesce(o.s, c.s, ai_probability), 6) as p, case when vec_id % 5 <> 0 then embedding::double[] end as e from posts left join c on c.k = substr(thumbnail_url, 14) left join o using (image_id)),
+    f as (select k, count(*) as n, max(p) as top from a group by k),
+    m as (select a.image_id, max(list_inner_product(a.e, b.e)) as s from a join a b on a.k = b.k and a.image_id <> b.image_id where a.e is not null and b.e is not null group by 1)
+    select image_id, p as ai_probability, round(least(1, abs(p - 0.5) * 2), 6) as confidence, case when n <= 1 then 0.0 else round(least(0.99, 0.7 + 0.1 * (n - 2)), 2) end::double as repetition_score,
+      case when p >= 0.5 then case when n > 1 and top >= 0.5 then 'repeated_synthetic' else 'unique_ai' end else 'original' end as diversity_label, round(greatest(0, coalesce(s, 0)), 4) as similarity_score
+    from a join f using (k) left join m using (image_id)""",
+    recursive=True,
+    views=_ALL_POSTS,
+)
+def start_posts(s, d):
+    p, v = stage(fx.posts(s, d), "posts"), fx.vectors(s, d)
+    key = F.concat(F.when(F.col("vec_id") % 2 == 0, "REAL/").otherwise("FAKE/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("key")
+    scores = v.where("vec_id % 3 = 0").select(key, (F.col("vec_id") / 1000).alias("score"))
+    forced = v.where("vec_id % 10 = 0").select(F.format_string("post_%06d", "vec_id").alias("image_id"), F.lit(0.9).alias("score"))
+    seeds = p.drop("embedding", "similarity_score", "repetition_score", "diversity_label")
+    out = startup.start_posts(seeds, v.where("vec_id % 5 <> 0").select(key, "embedding"), scores, forced)
+    return out.select("image_id", "ai_probability", F.round("confidence", 6).alias("confidence"), "repetition_score", "diversity_label", "similarity_score")
+
+
+@query(f", {_REACH} select vec_id, component as similarity_cluster, round((count(*) over (partition by component) - 1) / cast(count(*) over () as double), 6) as repetition_score from comp", recursive=True, views=_PAIRS)
+def export_results(s, d):
+    path = f"{new_path(s, 'export')}/results.csv"
+    labelled = clusters.cluster_threshold(fx.vectors(s, d), fx.THRESHOLD).select("vec_id", F.col("component").alias("similarity_cluster"))
+    scored = clusters.corpus_repetition(labelled, "similarity_cluster").select("vec_id", "similarity_cluster", F.round("repetition_score", 6).alias("repetition_score"))
+    sinks.write_report(scored, path, "vec_id")
+    return s.read.schema("vec_id long, similarity_cluster long, repetition_score double").option("header", "true").csv(path)
+
+
 @query(
     """, w as (select *, count(*) over (partition by similarity_cluster) as n, max(ai_probability) over (partition by similarity_cluster) as top from posts)
     select image_id, case when n <= 1 then 0.0 else round(least(0.99, 0.7 + 0.1 * (n - 2)), 2) end::double as repetition_score, case when ai_probability >= 0.5 then case when n > 1 and top >= 0.5 then 'repeated_synthetic' else 'unique_ai' end else 'original' end as diversity_label from w""",

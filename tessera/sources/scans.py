@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.splits import stratified_cap
 from tessera.sources.ranges import list_files, list_members, read_members
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -75,14 +78,42 @@ def scan_dataset(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.where(at > 1).select(path, F.when(kind == "real", 0).otherwise(1).alias("label"), generator.alias("generator"))
 
 
-def union_sources(*sources: DataFrame | None) -> DataFrame:
-    """All sources that are there, by name."""
-    present = [s for s in sources if s is not None]
-    if not present:
+def scan_nested(paths: DataFrame, generator: str = "cifake", path: str = "path") -> DataFrame:
+    """``path, label, generator`` of images in ``.../<train|test>/<REAL|FAKE>/...``, one pool; folder names count in their own case."""
+    kind = F.regexp_extract(F.col(path), r"/(?:train|test)/(REAL|FAKE)/(?:.*/)?[^/]+\.(?i:jpg|jpeg|png|webp)$", 1)
+    return paths.where(kind != "").select(path, F.when(kind == "REAL", 0).otherwise(1).alias("label"), F.lit(generator).alias("generator"))
+
+
+def relabel_folders(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``path, label`` by the folder that an image lies in, real 0 and fake 1 in any case; another folder is an error."""
+    folder = F.lower(F.regexp_extract(F.col(path), r"([^/]+)/[^/]+$", 1))
+    unknown = paths.where(~folder.isin("real", "fake")).select(folder.alias("f")).distinct().limit(5).collect()
+    if unknown:
+        raise ValueError(f"expected real and fake folders, found {', '.join(sorted(r['f'] for r in unknown))}")
+    return paths.select(path, F.when(folder == "real", 0).otherwise(1).alias("label"))
+
+
+def scan_split(manifest: DataFrame, split: str, container: str, member: str, scheme: str, label: str = "source_label") -> DataFrame:
+    """``path, label`` of a split's rows whose label is 0 or 1, to be read on demand by ``ranges.resolve_paths``; no such row is an error."""
+    kept = manifest.where((F.col("split") == split) & F.col(label).cast("int").isin(0, 1))
+    rows = kept.select(F.concat(F.lit(f"{scheme}://"), container, F.lit("#"), F.col(member).cast("string")).alias("path"), F.col(label).cast("int").alias("label"))
+    if rows.isEmpty():
+        raise ValueError(f"no usable rows for split {split!r}")
+    return rows
+
+
+def union_sources(sources: dict[str, DataFrame | None], most: int | None = None, seed: int = 42) -> DataFrame:
+    """``path, label, generator`` of all sources that are there, each capped to ``most`` rows, evenly by label; a source that is not there (None) gives a warning."""
+    out = None
+    for name, rows in sources.items():
+        if rows is None:
+            warnings.warn(f"source {name} is not there", stacklevel=2)
+            continue
+        rows = rows.select("path", "label", "generator")
+        rows = rows if most is None else stratified_cap(rows, most, seed=seed)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
         raise ValueError("no source is present")
-    out = present[0]
-    for s in present[1:]:
-        out = out.unionByName(s)
     return out
 
 
