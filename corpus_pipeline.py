@@ -21,8 +21,10 @@ REMEMBERED = 1 << 16
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. Labels come from the table ``labels``; null texts have the score of an empty text, equal texts have equal scores."""
+    """Documents that score below the threshold. Labels come from the table ``labels``; null texts have the score of an empty text, equal texts have equal scores. Where the labels to learn from hold one class only, nothing can be told apart and every row stays."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.trees is None:
+        return docs
     score = free_name(docs, "_toxicity")
     return toxicity.with_score(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
