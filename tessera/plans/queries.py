@@ -87,10 +87,10 @@ def group_having(s, d):
     select doc_id, fp, px, review_group from r join g using (fp)""")
 def near_dup_review(s, d):
     # The four smallest hashes of all distinct words: a change of few words seldom touches them.
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: F.sha2(w, 256)))
-    sketch = F.array_join(F.slice(F.array_sort(words), 1, 4), " ")
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)), lambda w: F.sha2(w, 256))
+    sketch = F.array_join(F.slice(F.sort_array(words), 1, 4), " ")
     rows = fx.table(s, d, "documents").select("doc_id", F.nullif(sketch, F.lit("")).alias("fp"), F.sha2("text", 256).alias("px"))
-    return dedup.near_dup_review(rows, "fp", "px")
+    return dedup.near_dup_review(stage(rows, "sketches"), "fp", "px")
 
 
 @query("""
