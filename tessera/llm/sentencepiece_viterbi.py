@@ -7,12 +7,14 @@ a path is admissible if no merge would cross two neighbouring pieces, that is,
 if the two encode to themselves when joined; exactly one path to each place is,
 and it is what the merges give. Either way the ids equal those of the library.
 
-Memory is a window: a piece has at most ``longest`` characters, so only the last
-``longest`` places can be extended. As soon as the back-pointers of all of them
-meet in one boundary, the ids before it are committed and forgotten. No piece
-crosses from a word to the space that follows or holds a line break, so the paths
-meet at the end of each word at the latest: words are searched one by one, all of
-them through the same window, and what was committed for a short word is remembered.
+Memory is a window: a place survives while a piece that starts there may still go
+on, that is, while the characters since are the beginning of a longer piece; that
+is at most ``longest`` - 1 characters. After each character the back-pointers of
+the surviving places are followed; where all of them meet in one boundary, the ids
+before it are committed and forgotten. In ordinary text that happens every few
+characters, inside words too. At the end of a word nothing survives but the end
+itself, since no piece crosses from a word to the space that follows or holds a line
+break. So the committed ids of a word are those of all its copies, and are remembered.
 
 Characters without a piece become byte pieces. Texts of any length are encoded
 whole.
@@ -20,7 +22,6 @@ whole.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD_CACHE = PAIR_CACHE = 600_000
-#: Characters between two commits, and the longest word whose ids are remembered.
-STEP, REMEMBERED = 16, 48
+#: The longest word whose ids are remembered, and characters after which committed ones are forgotten.
+REMEMBERED, CHUNK = 48, 1024
 
 
 class Vocabulary:
@@ -50,6 +51,8 @@ class Vocabulary:
         self.bytes_ = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.vocab_size()) if m.is_byte(i)}
         self.unknown = m.unk_id()
         self.longest = max(map(len, self.ids))
+        # Beginnings of longer pieces.
+        self.open = frozenset(p[:k] for p in self.ids for k in range(1, len(p)))
         self.prefix = bool(m.encode("a", out_type=str)[0].startswith(SPACE))
         # "bpe" scores are the negative rank of the merge.
         self.bpe = len(normal) > 1 and all(float(s).is_integer() for s in self.scores.values())
@@ -72,13 +75,15 @@ class StreamingViterbi:
     def __init__(self, vocabulary: Vocabulary, remembered: int = PAIR_CACHE):
         self.v, self.remembered = vocabulary, remembered
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.commits = 0
         self.reset()
 
     def reset(self) -> None:
-        self.text, self.start = "", 0  # the characters from the last committed boundary, whose place is 0
-        self.last: list[str | None] = [None]  # best last piece to each place from there
+        self.text = ""  # the characters since those that are forgotten
+        self.last: list[str | None] = [None]  # best last piece to each place
         self.best = [0.0]
-        self.before: str | None = None  # the piece that ends at the boundary
+        self.done = 0  # the place up to which ids are committed
+        self.alive = [0]  # places from which a piece may go on, in order; the last is the end
 
     def merges(self, text: str) -> list[str]:
         """Pieces by merging the best pair, leftmost first among equals."""
@@ -101,62 +106,82 @@ class StreamingViterbi:
                 self.pairs[a, b] = got
         return got
 
-    def _extend(self, i: int) -> None:
-        """Find the best last piece to place i."""
-        v, text, last, ids = self.v, self.text, self.last, self.v.ids
-        if v.bpe:
-            for size in range(min(v.longest, i), 0, -1):
-                piece = text[i - size : i]
-                if size > 1 and piece not in ids:
-                    continue
-                left = last[i - size] if i > size else self.before
-                if left is None or self._joins(left, piece):
-                    last.append(piece)
-                    self.best.append(0.0)
-                    return
-            raise AssertionError("no path")
+    def _merged_to(self, i: int) -> str:
+        """The last piece to place i on the admissible path; there is exactly one, so the last place left needs no look."""
+        text, last, ids, pairs = self.text, self.last, self.v.ids, self.pairs
+        for at in self.alive:
+            if at == i - 1:
+                break
+            piece = text[at:i]
+            if piece in ids:
+                left = last[at]
+                if left is None:
+                    return piece
+                joins = pairs.get((left, piece))
+                if joins or joins is None and self._joins(left, piece):
+                    return piece
+        return text[i - 1 : i]
+
+    def _best_to(self, i: int) -> str:
+        """The last piece to place i on the path of the highest score."""
         found, top = None, float("-inf")
-        for size in range(1, min(v.longest, i) + 1):
-            piece = text[i - size : i]
-            k = ids.get(piece)
-            score = v.scores[k] if k is not None else -1e6 if size == 1 else None
-            if score is not None and self.best[i - size] + score > top:
-                found, top = piece, self.best[i - size] + score
-        last.append(found)
+        for at in self.alive:
+            piece = self.text[at:i]
+            k = self.v.ids.get(piece)
+            score = self.v.scores[k] if k is not None else -1e6 if i - at == 1 else None
+            if score is not None and self.best[at] + score > top:
+                found, top = piece, self.best[at] + score
         self.best.append(top)
+        return found
+
+    def _advance(self) -> list[int]:
+        """Search to the end of the text held, and commit wherever the surviving paths meet."""
+        out, text, last, may_go_on = [], self.text, self.last, self.v.open
+        last_piece = self._merged_to if self.v.bpe else self._best_to
+        for i in range(len(last), len(text) + 1):
+            last.append(last_piece(i))
+            self.alive = alive = [at for at in self.alive if text[at:i] in may_go_on]
+            alive.append(i)
+            if alive[0] != self.done:  # else the last boundary survives itself
+                out += self._commit()
+        return out
 
     def _commit(self) -> list[int]:
-        """Ids up to the boundary in which the paths to all places that can still be extended meet."""
-        n = len(self.last) - 1
-        live = [-p for p in range(max(0, n - self.v.longest + 1), n + 1)]
-        heapq.heapify(live)
-        while len(live) > 1:  # step the furthest path back until one place is left
-            p = -heapq.heappop(live)
-            if p == -live[0]:
-                continue
-            q = p - len(self.last[p])
-            heapq.heappush(live, -q)
-        return self._take(-live[0])
-
-    def _take(self, end: int) -> list[int]:
-        if not end:
-            return []
-        pieces, p = [], end
-        while p:
-            pieces.append(self.last[p])
-            p -= len(self.last[p])
-        pieces.reverse()
-        self.before = pieces[-1]
-        base = self.best[end]
-        self.text, self.last, self.best = self.text[end:], [None, *self.last[end + 1 :]], [b - base for b in self.best[end:]]
-        return self.ids_of(pieces)
+        """Ids up to the boundary in which the paths to all surviving places meet."""
+        last, done, end = self.last, self.done, self.alive[0]
+        for p in self.alive:
+            while p != end:  # step the path that is further on back
+                if p > end:
+                    p -= len(last[p])
+                else:
+                    end -= len(last[end])
+            if end == done:
+                return []
+        self.done = end
+        self.commits += 1
+        piece = last[end]
+        end -= len(piece)
+        if end == done:
+            return self.ids_of((piece,))
+        pieces = [piece]
+        while end > done:
+            pieces.append(last[end])
+            end -= len(last[end])
+        return self.ids_of(reversed(pieces))
+
+    def _forget(self) -> None:
+        """Drop what is committed, but for the piece that ends there."""
+        if self.done:
+            base = self.best[self.done] if not self.v.bpe else 0.0
+            self.text, self.last, self.best = self.text[self.done :], self.last[self.done :], [b - base for b in self.best[self.done :]]
+            self.alive, self.done = [at - self.done for at in self.alive], 0
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         out = []
+        ids = self.v.ids
         for piece in pieces:
-            k = self.v.ids.get(piece)
-            if k is not None:
-                out.append(k)
+            if piece in ids:
+                out.append(ids[piece])
             elif self.v.bytes_:
                 out.extend(self.v.bytes_[b] for b in piece.encode())
             else:
@@ -165,19 +190,19 @@ class StreamingViterbi:
 
     def push(self, text: str) -> list[int]:
         out = []
-        for at in range(0, len(text), STEP):
-            self.text += text[at : at + STEP]
-            while len(self.last) <= len(self.text):
-                self._extend(len(self.last))
-            if len(self.text) > self.v.longest + STEP:
-                out += self._commit()
+        for at in range(0, len(text), CHUNK):
+            self.text += text[at : at + CHUNK]
+            out += self._advance()
+            self._forget()
         return out
 
     def whole(self, word: str) -> list[int]:
         return self.push(word) + self.finish()
 
     def finish(self) -> list[int]:
-        out = self._take(len(self.last) - 1)
+        """Ids of what is left before an end that no piece crosses: it alone survives."""
+        self.alive = self.alive[-1:]
+        out = self._commit()
         self.reset()
         return out
 

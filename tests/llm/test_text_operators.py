@@ -91,11 +91,27 @@ def test_stream_commits_early_and_keeps_a_small_window(vocabulary):
     assert out + search.finish() == LIBRARY.SentencePieceProcessor(model_file=sp.MODEL).encode(t[1:].replace("▁", " ")) and widest < 64
 
 
+def test_ordinary_text_is_committed_where_the_paths_meet(vocabulary):
+    library = LIBRARY.SentencePieceProcessor(model_file=sp.MODEL)
+    for text in ("The committee adjourned before lunch.", "Eine Verwaltungsvorschrift", "la información", "a b c d", "日本語のテキスト"):
+        search, ids, widest = sp.StreamingViterbi(vocabulary), [], 0
+        for c in ("▁" if vocabulary.prefix else "") + text.replace(" ", "▁"):
+            ids += search.push(c)
+            widest = max(widest, len(search.text))
+        # Commits come long before the end, and inside words too.
+        assert search.commits > len(text.split()) / 2 and ids and widest <= 2 * vocabulary.longest, text
+        assert ids + search.finish() == library.encode(text)
+    encoder = sp.Encoder(vocabulary)
+    encoder.encode("Eine Verwaltungsvorschrift")
+    assert encoder.words.search.commits > 2
+
+
 def test_unigram_search_finds_the_best_path(vocabulary):
     import copy
 
     v = copy.copy(vocabulary)
     v.bpe, v.ids, v.scores, v.longest = False, {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}, {1: -1.0, 2: -1.0, 3: -1.2, 4: -0.9, 5: -3.0}, 3
+    v.open = {"a", "ab", "b"}
     s = sp.StreamingViterbi(v)
     assert s.push("abab") + s.finish() in ([3, 3], [1, 4, 2]) and s.whole("aba") == [1, 4]
 
