@@ -8,9 +8,9 @@ In scripts without spaces each letter is a token, and so is each run of digits.
 place the token that more than half of its documents' lines have there, else
 ``<*>``. If at least ``CONSTANT`` of the places are constant, lines that agree
 with all of these take that template; every other line is a template of its own
-form. A form with fewer than ``MIN_TOKENS`` constant tokens says little of a
-line: such lines are templates of their own tokens, fields as they are. Counts
-are exact and cover all lines of all documents.
+form. A form or general template with fewer than ``general_tokens`` constant
+tokens says too little of a line: such lines are templates of their own tokens,
+fields as they are. Counts are exact and cover all lines of all documents.
 
 *Dropping.* A template with at least ``min_tokens`` constant tokens that stands
 in ``MIN_DOCS`` or more documents is dropped, in all of them or, with
@@ -45,7 +45,7 @@ def tokens_of(line: Column) -> Column:
     return F.split(masked, SPACE)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, general_tokens: int) -> DataFrame:
     """``id, copy, at, leaf, form, constant, own, tokens`` of every line with a token; ``copy`` tells rows apart that repeat an id, ``own`` is the template of a line that no general one covers."""
     text = F.col(text_col)
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(spaced(text), "\n")).alias("at", "line"))
@@ -54,7 +54,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Hashes stand for leaves and forms: texts of lines are not shuffled.
     rows = rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))).withColumn("form", F.xxhash64("tokens"))
     rows = rows.withColumn("constant", _constant(F.col("tokens")))
-    exact = (F.col("constant") < MIN_TOKENS) & (F.col("constant") < F.size("tokens"))
+    exact = (F.col("constant") < general_tokens) & (F.col("constant") < F.size("tokens"))
     return rows.withColumn("own", F.when(exact, F.xxhash64(F.split("line", SPACE))).otherwise(F.col("form"))).drop("line")
 
 
@@ -62,7 +62,7 @@ def _constant(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t != FIELD))
 
 
-def general_templates(lines: DataFrame) -> DataFrame:
+def general_templates(lines: DataFrame, general_tokens: int = MIN_TOKENS) -> DataFrame:
     """``leaf, places`` of the leaves whose lines mostly agree; a place is a token or null."""
     counts = lines.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
@@ -71,18 +71,18 @@ def general_templates(lines: DataFrame) -> DataFrame:
     whole = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", token.alias("token")))).alias("p"))
     whole = whole.select("leaf", F.col("p.token").alias("places"))
     constant = F.size(F.filter("places", lambda t: t.isNotNull()))
-    return whole.where((constant >= F.lit(CONSTANT) * F.size("places")) & (constant < F.size("places")) & (constant >= MIN_TOKENS))
+    return whole.where((constant >= F.lit(CONSTANT) * F.size("places")) & (constant < F.size("places")) & (constant >= general_tokens))
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", general_tokens: int = MIN_TOKENS) -> DataFrame:
     """``id, copy, at, template, constant`` of every line with a token; ``template`` is a hash."""
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col, general_tokens)
     rows = stage(lines.select("id", "copy", "at", "leaf", "form", "own", "constant"), "lines")
     leaves = rows.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("id").alias("c"), F.max("id").alias("d"))
     leaves = stage(leaves.where("a <> b and not (c <=> d)").select("leaf"), "leaves")
     near = bitmap.probe(lines, F.col("leaf"), bitmap.build(leaves, F.col("leaf"), FILTER_BITS), FILTER_BITS, "_open").where("_open")
     near = stage(near.join(leaves, "leaf", "left_semi").select("leaf", "form", "tokens"), "open")
-    general = stage(general_templates(near), "general")
+    general = stage(general_templates(near, general_tokens), "general")
     if general.isEmpty():
         return rows.select("id", "copy", "at", F.col("own").alias("template"), "constant")
     agrees = F.forall(F.arrays_zip("places", "tokens"), lambda x: x["places"].isNull() | (x["places"] == x["tokens"]))
@@ -97,16 +97,17 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     return per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: str | None = "first", min_tokens: int = MIN_TOKENS, out: str = "dropped") -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep: str | None = "first", min_tokens: int = MIN_TOKENS, out: str = "dropped", general_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text_col``, and in ``out`` the numbers of those lines from 0 (a column of that name is replaced).
 
     Lines end at a line feed. Blank lines and lines with fewer than ``min_tokens``
-    constant tokens stay. Rows that repeat an id are one document; rows without an
+    constant tokens stay; lines that differ in their fields count as one template
+    from ``general_tokens`` constant tokens on. Rows that repeat an id are one document; rows without an
     id together are one, and lose their recurring lines to any that has an id.
     Null texts stay null, an empty table gives an empty result, other columns and
     all rows stay as they were.
     """
-    lines = stage(templates(docs, id_col, text_col), "templates")
+    lines = stage(templates(docs, id_col, text_col, general_tokens), "templates")
     found = recurring(lines, min_docs, min_tokens)
     gone = lines.join(found, "template")
     if keep == "first":
