@@ -13,8 +13,10 @@ before it. The parser is deterministic: split at the terminator, cut the role at
 its colon, take one backslash from each escaped control string.
 
 Each turn is first rendered as it is and parsed again. Where the parse differs
-from the source, the text is escaped and parsed once more. The conversation is
-then parsed as a whole and compared with its source turns (``round_trip``).
+from the source, the text is escaped; one escape is enough, as it takes every
+control string out of a text and is undone exactly. The conversation is then parsed
+as a whole and compared with its source turns: where that fails no output is
+right, so the job ends with an error that names the conversation.
 """
 
 from __future__ import annotations
@@ -87,7 +89,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Turns stand in the order of their number, ties by role and text; rows that
     repeat are turns of their own. Null roles and texts count as empty, a null turn
     number comes first, and a null conversation id is a conversation. An empty
-    table gives an empty result; further columns are ignored.
+    table gives an empty result; further columns are ignored. ``round_trip`` is true
+    in every row, and a conversation for which it is not is an error.
     """
     # One shuffle: the running length and the grouping both go by conversation.
     at = "sum(length(rendered)) over (partition by conv_id order by turn, role, text rows between unbounded preceding and current row) - length(rendered)"
@@ -106,7 +109,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col("ts.source").alias("source"),
         F.size(F.filter("ts", lambda t: t["escaped"])).alias("n_escaped"),
     ).withColumn("turns", parse(F.col("formatted")))
-    return read.withColumn("round_trip", F.col("turns") == F.col("source")).drop("source")
+    same = F.coalesce(F.col("turns") == F.col("source"), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("turns are not read back from conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    return read.withColumn("round_trip", F.when(same, True).otherwise(failed.cast("boolean"))).drop("source")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -143,6 +143,13 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_a_lossy_grammar_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "a </turn> b"), (2, 0, "user", "plain")], "conv_id long, turn int, role string, text string")
+    monkeypatch.setattr(chat_format, "escape", lambda text: F.replace(text, F.lit("</turn>"), F.lit("")))
+    with pytest.raises(Exception, match="not read back from conversation 1"):
+        chat_format.format_chats(df).collect()
+
+
 def test_bare_control_strings_never_stand_in_a_text(spark):
     df = spark.createDataFrame([(1, 0, "user", "a ### b </turn> c \\### d")], "conv_id long, turn int, role string, text string")
     row = chat_format.format_chats(df).first()
@@ -282,6 +289,15 @@ def test_the_query_drops_short_lines_and_lines_without_spaces(spark, docs, tmp_p
     assert got[4] == ("\nown four", [0, 1, 2]) and got[None] == ("第9", [0])
 
 
+def test_short_lines_are_templates_by_parameter(docs):
+    rows = [(1, "Page 3\nown alpha\n17"), (2, "Page 4\nown beta\n18"), (3, "Page 5\nChapter 1 2\n19"), (4, "Chapter 7 8"), (5, "Seite 3")]
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.drop_lines(docs(rows), min_tokens=0, general_tokens=1).collect()}
+    # Lines of fields alone are templates of their own.
+    assert got == {1: [], 2: [0], 3: [0], 4: [0], 5: []}
+    everywhere = {r["doc_id"]: r["dropped"] for r in line_dedup.drop_lines(docs(rows), min_tokens=0, general_tokens=0, keep=None).collect()}
+    assert everywhere == {1: [0, 2], 2: [0, 2], 3: [0, 1, 2], 4: [0], 5: []}
+
+
 # Search ------------------------------------------------------------------------------------------------
 
 
