@@ -38,6 +38,14 @@ WORD_CACHE = PAIR_CACHE = 600_000
 REMEMBERED, CHUNK = 48, 1024
 
 
+def seen_as(pieces) -> dict[str, int]:
+    """What a string is: a piece (1), the beginning of a longer one (2), or both (3)."""
+    out = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), 2)
+    for p in pieces:
+        out[p] = out.get(p, 0) | 1
+    return out
+
+
 class Vocabulary:
     """Pieces and scores of a model file; small and fixed, so it travels with the task."""
 
@@ -51,8 +59,8 @@ class Vocabulary:
         self.bytes_ = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.vocab_size()) if m.is_byte(i)}
         self.unknown = m.unk_id()
         self.longest = max(map(len, self.ids))
-        # Beginnings of longer pieces.
-        self.open = frozenset(p[:k] for p in self.ids for k in range(1, len(p)))
+        self.rank = {p: self.scores[i] for p, i in self.ids.items()}
+        self.seen = seen_as(self.ids)
         self.prefix = bool(m.encode("a", out_type=str)[0].startswith(SPACE))
         # "bpe" scores are the negative rank of the merge.
         self.bpe = len(normal) > 1 and all(float(s).is_integer() for s in self.scores.values())
@@ -87,13 +95,15 @@ class StreamingViterbi:
 
     def merges(self, text: str) -> list[str]:
         """Pieces by merging the best pair, leftmost first among equals."""
-        v, parts = self.v, list(text)
+        rank, parts = self.v.rank, list(text)
         while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = v.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or v.scores[k] > best):
-                    best, at = v.scores[k], i
+            best, at, left = None, -1, parts[0]
+            for i in range(1, len(parts)):
+                right = parts[i]
+                k = rank.get(left + right)
+                if k is not None and (best is None or k > best):
+                    best, at = k, i - 1
+                left = right
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -106,26 +116,10 @@ class StreamingViterbi:
                 self.pairs[a, b] = got
         return got
 
-    def _merged_to(self, i: int) -> str:
-        """The last piece to place i on the admissible path; there is exactly one, so the last place left needs no look."""
-        text, last, ids, pairs = self.text, self.last, self.v.ids, self.pairs
-        for at in self.alive:
-            if at == i - 1:
-                break
-            piece = text[at:i]
-            if piece in ids:
-                left = last[at]
-                if left is None:
-                    return piece
-                joins = pairs.get((left, piece))
-                if joins or joins is None and self._joins(left, piece):
-                    return piece
-        return text[i - 1 : i]
-
-    def _best_to(self, i: int) -> str:
+    def _best_to(self, i: int, alive: list[int]) -> str:
         """The last piece to place i on the path of the highest score."""
         found, top = None, float("-inf")
-        for at in self.alive:
+        for at in alive:
             piece = self.text[at:i]
             k = self.v.ids.get(piece)
             score = self.v.scores[k] if k is not None else -1e6 if i - at == 1 else None
@@ -135,19 +129,33 @@ class StreamingViterbi:
         return found
 
     def _advance(self) -> list[int]:
-        """Search to the end of the text held, and commit wherever the surviving paths meet."""
-        out, text, last, may_go_on = [], self.text, self.last, self.v.open
-        last_piece = self._merged_to if self.v.bpe else self._best_to
+        """Search to the end of the text held, and commit wherever the surviving paths meet.
+
+        In a model of kind "bpe" exactly one path to each place is admissible, so the
+        single character, the last choice left, needs no look.
+        """
+        out, text, last, alive, pairs, bpe, seen = [], self.text, self.last, self.alive, self.pairs, self.v.bpe, self.v.seen.get
         for i in range(len(last), len(text) + 1):
-            last.append(last_piece(i))
-            self.alive = alive = [at for at in self.alive if text[at:i] in may_go_on]
-            alive.append(i)
+            found, survivors = None if bpe else self._best_to(i, alive), []
+            for at in alive:
+                piece = text[at:i]
+                kind = seen(piece, 0)
+                if kind > 1:
+                    survivors.append(at)
+                if found is None and kind & 1 and at != i - 1:
+                    left = last[at]
+                    joins = left is None or pairs.get((left, piece))
+                    if joins or joins is None and self._joins(left, piece):
+                        found = piece
+            last.append(found or text[i - 1])
+            survivors.append(i)
+            self.alive = alive = survivors
             if alive[0] != self.done:  # else the last boundary survives itself
-                out += self._commit()
+                self._commit(out)
         return out
 
-    def _commit(self) -> list[int]:
-        """Ids up to the boundary in which the paths to all surviving places meet."""
+    def _commit(self, out: list[int]) -> None:
+        """Add the ids up to the boundary in which the paths to all surviving places meet."""
         last, done, end = self.last, self.done, self.alive[0]
         for p in self.alive:
             while p != end:  # step the path that is further on back
@@ -155,19 +163,23 @@ class StreamingViterbi:
                     p -= len(last[p])
                 else:
                     end -= len(last[end])
-            if end == done:
-                return []
+        if end == done:
+            return
         self.done = end
         self.commits += 1
-        piece = last[end]
-        end -= len(piece)
-        if end == done:
-            return self.ids_of((piece,))
-        pieces = [piece]
+        pieces = []
         while end > done:
-            pieces.append(last[end])
-            end -= len(last[end])
-        return self.ids_of(reversed(pieces))
+            piece = last[end]
+            pieces.append(piece)
+            end -= len(piece)
+        for piece in reversed(pieces):
+            k = self.v.ids.get(piece)
+            if k is not None:
+                out.append(k)
+            elif self.v.bytes_:
+                out.extend(self.v.bytes_[b] for b in piece.encode())
+            else:
+                out.append(self.v.unknown)
 
     def _forget(self) -> None:
         """Drop what is committed, but for the piece that ends there."""
@@ -176,18 +188,6 @@ class StreamingViterbi:
             self.text, self.last, self.best = self.text[self.done :], self.last[self.done :], [b - base for b in self.best[self.done :]]
             self.alive, self.done = [at - self.done for at in self.alive], 0
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
-        out = []
-        ids = self.v.ids
-        for piece in pieces:
-            if piece in ids:
-                out.append(ids[piece])
-            elif self.v.bytes_:
-                out.extend(self.v.bytes_[b] for b in piece.encode())
-            else:
-                out.append(self.v.unknown)
-        return out
-
     def push(self, text: str) -> list[int]:
         out = []
         for at in range(0, len(text), CHUNK):
@@ -201,8 +201,9 @@ class StreamingViterbi:
 
     def finish(self) -> list[int]:
         """Ids of what is left before an end that no piece crosses: it alone survives."""
+        out: list[int] = []
         self.alive = self.alive[-1:]
-        out = self._commit()
+        self._commit(out)
         self.reset()
         return out
 

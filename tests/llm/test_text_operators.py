@@ -111,7 +111,7 @@ def test_unigram_search_finds_the_best_path(vocabulary):
 
     v = copy.copy(vocabulary)
     v.bpe, v.ids, v.scores, v.longest = False, {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}, {1: -1.0, 2: -1.0, 3: -1.2, 4: -0.9, 5: -3.0}, 3
-    v.open = {"a", "ab", "b"}
+    v.seen = sp.seen_as(v.ids)
     s = sp.StreamingViterbi(v)
     assert s.push("abab") + s.finish() in ([3, 3], [1, 4, 2]) and s.whole("aba") == [1, 4]
 
