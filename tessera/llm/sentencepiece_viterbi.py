@@ -93,27 +93,29 @@ class StreamingViterbi:
         self.done = 0  # the place up to which ids are committed
         self.alive = [0]  # places from which a piece may go on, in order; the last is the end
 
-    def merges(self, text: str) -> list[str]:
-        """Pieces by merging the best pair, leftmost first among equals."""
-        rank, parts = self.v.rank, list(text)
-        while True:
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether merging the best pair of a + b, leftmost first among equals, ends with a and b: no merge ever crosses from one to the other."""
+        rank, parts, edge = self.v.rank.get, [*a, *b], len(a)
+        while len(parts) > 1:
             best, at, left = None, -1, parts[0]
             for i in range(1, len(parts)):
                 right = parts[i]
-                k = rank.get(left + right)
+                k = rank(left + right)
                 if k is not None and (best is None or k > best):
-                    best, at = k, i - 1
+                    best, at = k, i
                 left = right
+            if at == edge:
+                return False
             if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                break
+            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
+            edge -= at < edge
+        return parts == [a, b]
 
     def _joins(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            got = self.merges(a + b) == [a, b]
-            if len(self.pairs) < self.remembered:
-                self.pairs[a, b] = got
+        got = self._apart(a, b)
+        if len(self.pairs) < self.remembered:
+            self.pairs[a, b] = got
         return got
 
     def _best_to(self, i: int, alive: list[int]) -> str:
