@@ -32,7 +32,9 @@ from tessera.llm import bitmap
 from tessera.llm.columns import free_name
 from tessera.plans.scratch import stage
 
-KEY, ID_BITS, ATTEMPTS = "surrogates-1", 1 << 25, 40
+#: A public key, for tests and for queries without the setting; never a default of a function.
+KEY = "surrogates-1"
+ID_BITS, ATTEMPTS = 1 << 25, 40
 
 MALE = "Mr|MR|Mister|Herr|HERR|Señor|SEÑOR|Sr|SR|Monsieur|MONSIEUR|Господин|г-н|Κύριος"
 FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Señora|SEÑORA|Señorita|Sra|SRA|Madame|MADAME|Mme|MME|Mlle|Госпожа|г-жа|Κυρία"
@@ -67,6 +69,8 @@ _SECRETS = [
     _MIXED,
 ]
 _HEX = "[0-9a-fA-F]{1,4}"
+#: The number of a book: thirteen digits after 978 or 979, with or without its name.
+_NO_ISBN = r"(?<!(?i:isbn(?:-1[03])?[ :]{1,2}))(?!97[89](?:[ \-]?\d){10}(?![ \-]?\d))"
 #: Each stands for itself at any place of a text; no two kinds match the same string.
 PATTERNS = {
     "email": rf"(?<![{_ALNUM}._%+\-])[{_ALNUM}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}",
@@ -75,8 +79,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": rf"(?<![A-Za-z0-9])(?:{'|'.join(_SECRETS)})(?![A-Za-z0-9@])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": rf"(?<![\w+])(?:{_GROUPED}|(?<!\d[.\-])(?:{'|'.join(_PHONES)})(?![\p{{L}}_]))",
-    "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d])",
+    "phone": rf"(?<![\w+]){_NO_ISBN}(?:{_GROUPED}|(?<!\d[.\-])(?:{'|'.join(_PHONES)})(?![\p{{L}}_]))",
+    "card": rf"(?<![\d.\-]){_NO_ISBN}\d(?:[ \-]?\d){{12,18}}(?![\d])",
     "person": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: What an entity of each kind starts with. Checked once at the start of a word, so that most places of a text cost one comparison.
@@ -185,7 +189,7 @@ def _mod97(iban: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda acc, c: (acc * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
 
 
-def surrogate(kind: Column, unit: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, unit: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a unit, in canonical form."""
     message = F.encode(F.concat_ws("\x1f", kind, unit, attempt.cast("string")), "utf-8")
     return let(_hmac(message, key), lambda h: _drawn(kind, unit, h, attempt))
@@ -287,7 +291,7 @@ def _mentions(text: Column, names: Column, attempts: Column, key: str) -> Column
     return let(between, joined)
 
 
-def rewritten(text: Column, attempts: Column, key: str = KEY) -> Column:
+def rewritten(text: Column, attempts: Column, key: str) -> Column:
     """The text with each entity and each further mention of its names replaced; all else stays as it is."""
 
     def joined(found: Column, names: Column) -> Column:
@@ -298,7 +302,7 @@ def rewritten(text: Column, attempts: Column, key: str = KEY) -> Column:
     return let(entities(text), lambda found: F.when(F.size(found) > 0, let(_names(found), lambda names: joined(found, names))).otherwise(text))
 
 
-def redrawn(units: DataFrame, key: str = KEY) -> DataFrame:
+def redrawn(units: DataFrame, key: str) -> DataFrame:
     """``kind, unit, attempt`` of the distinct units whose first surrogate is taken."""
     current = units.withColumn("attempt", F.lit(0))
     found = units.select("kind", F.col("unit").alias("s"), F.lit(True).alias("real"))
@@ -314,11 +318,13 @@ def redrawn(units: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
-def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col``; all other columns and rows as they were.
 
+    ``key`` has no default, as surrogates under a public key can be traced back.
     Null texts stay null, texts without entities stay as they are. One entity has
-    one surrogate in all documents, two entities never share one. Rows may repeat
+    one surrogate in all documents, two entities never share one; a given name
+    counts as one entity for each gender that its documents tell (or none). Rows may repeat
     or lack an id. An empty table gives an empty result.
     """
     marked = docs.select(F.col(id_col).alias("_id"), F.explode(entities(F.col(text_col))).alias("e"))
