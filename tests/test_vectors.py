@@ -119,3 +119,39 @@ def test_heads_agree(spark, points):
 @pytest.mark.parametrize(("p", "repeated", "label"), [(0.5, True, "repeated_synthetic"), (0.5, False, "unique_ai"), (0.49, True, "original")])
 def test_labels(spark, p, repeated, label):
     assert spark.range(1).select(scoring.label_for(F.lit(p), F.lit(repeated))).first()[0] == label
+
+
+def test_pairwise_stats_expand_no_pairs(spark, monkeypatch):
+    def expanded(*_):
+        raise AssertionError("pairs left their tasks")
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "cosine_matrix", expanded)
+    for n in (2, 3, 41, 60):
+        x = np.random.default_rng(n).normal(size=(n, 8))
+        x[: n // 3] = x[0]  # cosines that occur many times
+        sims = (x @ x.T)[np.triu_indices(n, 1)]
+        row = vectors.pairwise_stats(frame(spark, x)).first()
+        assert np.allclose(row[:4], [sims.min(), np.median(sims), sims.mean(), sims.max()], rtol=1e-12, atol=1e-14) and row["n_pairs"] == len(sims)
+    assert tuple(vectors.pairwise_stats(frame(spark, x[:1])).first()) == (None, None, None, None, 0)
+
+
+def test_ordered_bits_of_doubles():
+    x = np.sort(np.r_[np.random.default_rng(0).normal(size=100), 0.0, 1e-320, -1e-320, -np.inf, np.inf])
+    bits = vectors._ordered(x)
+    assert (np.diff(bits.astype(object)) > 0).all() and [vectors._double(int(b)) for b in bits] == list(x)
+    assert vectors._ordered(np.array([-0.0])) == vectors._ordered(np.array([0.0]))
+
+
+def test_pairs_come_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(vectors, "STRIP_CELLS", 64)
+    x = unit(np.random.default_rng(1).normal(size=(60, 8)))
+
+    def keep(a_keys, a, b_keys, b, same):
+        assert len(a) * len(b) <= max(64, len(b)), "more than a strip at once"
+        return pd.DataFrame({"n": [len(a) * len(b)]})
+
+    got = vectors.all_pairs(frame(spark, x), "vec_id", "embedding", keep, "n long").toPandas()["n"]
+    assert len(got) > 60 / 32 * 3
+    assert vectors.cosine_matrix(frame(spark, x)).count() == 60 * 59 // 2
