@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,12 +119,20 @@ def seed_posts(files: DataFrame, start: str) -> DataFrame:
     )
 
 
-def near_dupe_posts(manifest: DataFrame, start: str, offset: int = 1000) -> DataFrame:
-    """Posts of ``manifest`` (image_path, similarity_cluster): one account for each cluster, a minute apart."""
+def four_digits(number: Column) -> Column:
+    """``number`` with zeros before it, four digits at least."""
+    return F.format_string("%04d", number)
+
+
+def near_dupe_posts(manifest: DataFrame, start: str, offset: int = 1000, tag: Callable[[Column], Column] = four_digits) -> DataFrame:
+    """Posts of ``manifest`` (image_path, similarity_cluster): one account for each cluster, a minute apart.
+
+    ``tag`` writes a cluster's number in ids and handles.
+    """
     sizes = manifest.groupBy("similarity_cluster").agg(F.count(F.lit(1)).alias("g"))
     numbered = number_rows(manifest.join(sizes, "similarity_cluster"), F.col("similarity_cluster"), F.col("image_path"), name="i")
     return numbered.select(
-        F.format_string("demo_dupe_%04d_%d", "similarity_cluster", F.col("i") + 1).alias("image_id"), F.format_string("@reposter%04d", "similarity_cluster").alias("handle"),
+        F.concat(F.lit("demo_dupe_"), tag(F.col("similarity_cluster")), F.lit("_"), (F.col("i") + 1).cast("string")).alias("image_id"), F.concat(F.lit("@reposter"), tag(F.col("similarity_cluster"))).alias("handle"),
         "image_path", F.lit(0.9).alias("ai_probability"), F.round((F.col("g") - 1) / F.col("g"), 2).alias("repetition_score"),
         F.when(F.col("g") > 1, REPEATED).otherwise("unique_ai").alias("diversity_label"), (F.col("similarity_cluster") + offset).cast("long").alias("similarity_cluster"),
         F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("i") * 60_000_000).alias("created_at"),
