@@ -23,3 +23,14 @@ def test_near_dupe_posts_equals_sql_with_five_digits(spark, tmp_path):
 def test_near_dupe_posts_tell_clusters_apart(spark):
     manifest = spark.createDataFrame([("a", 1014), ("b", 10143), ("c", 3)], "image_path string, similarity_cluster long")
     assert {r["handle"] for r in feed.near_dupe_posts(manifest, "2024-01-01").collect()} == {"@reposter1014", "@reposter10143", "@reposter0003"}
+
+
+def test_p_of_a_correlation_over_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.significance import correlation_p
+
+    # Exact sums of Student's series in extended precision; the SQL of shortcut_check stops at 20,000 terms.
+    known = [(0.005663812961273187, 102239, 0.07014283832200109), (0.001090756911118737, 102239, 0.7272668303263484), (0.002509525873917309, 20598, 0.7187379942868304)]
+    rows = spark.createDataFrame([k[:2] for k in known], "r double, n long").withColumn("p", correlation_p(F.col("r"), F.col("n"))).collect()
+    assert all(abs(r["p"] - k[2]) < 1e-9 for r, k in zip(rows, known))
