@@ -9,10 +9,13 @@ task gets a stretch of an archive or one row group, whatever the size of the fil
 from __future__ import annotations
 
 import posixpath
+import shutil
 import struct
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -24,6 +27,11 @@ from pyspark.sql import functions as F
 STRETCH, BATCH_BYTES = 64 << 20, 16 << 20
 #: The fixed part of a member's header, and the mark that it begins with (both of the archive format).
 HEADER, MARK = struct.Struct("<4s5H3I2H"), b"PK\x03\x04"
+#: The same for an entry of the directory, the end of an archive, its wide form and the place of that; the flag of names in UTF-8, and where wide forms begin.
+ENTRY, ENTRY_MARK = struct.Struct("<4s6H3I5H2I"), b"PK\x01\x02"
+END, WIDE_END, WIDE_AT, UTF8, MOST = struct.Struct("<4s4H2IH"), struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4sIQI"), 0x800, 0xFFFFFFFF
+#: Bytes of a directory read, or of an archive written, at once.
+CHUNK = 1 << 20
 MEMBERS = "archive_path string, member_path string, start long, packed long, size long, crc long, method int, flags int, reason string"
 
 
@@ -35,6 +43,34 @@ def opened(path: str) -> pa.NativeFile:
     return store.open_input_file(name)
 
 
+class _Writer:
+    """An archive written member by member; its directory waits in a temporary file, so memory does not grow with the members."""
+
+    def __init__(self, target: pa.NativeFile):
+        self.target, self.directory, self.at, self.n = target, tempfile.TemporaryFile(), 0, 0
+
+    def add(self, member: str, content: bytes) -> None:
+        name, squeeze = member.encode(), zlib.compressobj(wbits=-15)
+        packed = squeeze.compress(content) + squeeze.flush()
+        # Version 2.0, names in UTF-8 where they need it, first day of 1980.
+        common = (0 if member.isascii() else UTF8, zipfile.ZIP_DEFLATED, 0, 1 << 5 | 1, zlib.crc32(content), len(packed), len(content), len(name))
+        self.target.write(HEADER.pack(MARK, 20, *common, 0) + name + packed)
+        far = struct.pack("<2HQ", 1, 8, self.at) if self.at >= MOST else b""
+        self.directory.write(ENTRY.pack(ENTRY_MARK, 45 if far else 20, 45 if far else 20, *common, len(far), 0, 0, 0, 0, min(self.at, MOST)) + name + far)
+        self.at += HEADER.size + len(name) + len(packed)
+        self.n += 1
+
+    def close(self) -> None:
+        size, n = self.directory.tell(), self.n
+        self.directory.seek(0)
+        shutil.copyfileobj(self.directory, self.target, CHUNK)
+        self.directory.close()
+        if n >= 0xFFFF or size >= MOST or self.at >= MOST:
+            self.target.write(WIDE_END.pack(b"PK\6\6", WIDE_END.size - 12, 45, 45, 0, 0, n, n, size, self.at) + WIDE_AT.pack(b"PK\6\7", 0, self.at + size, 1))
+        self.target.write(END.pack(b"PK\5\6", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, MOST), min(self.at, MOST), 0))
+        self.target.close()
+
+
 def write_archives(members: DataFrame, folder: str) -> DataFrame:
     """Write ``members`` (archive, member_path, content) as one archive ``<folder>/<archive>.zip`` each; ``archive, n`` of what was written.
 
@@ -43,25 +79,24 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, target, z, n = None, None, None, 0
+        name, z = None, None
 
         def closed() -> pa.RecordBatch:
             z.close()
-            target.close()
-            return pa.RecordBatch.from_pydict({"archive": [name], "n": pa.array([n], pa.int64())})
+            return pa.RecordBatch.from_pydict({"archive": [name], "n": pa.array([z.n], pa.int64())})
 
         for batch in batches:
-            for archive, member, content in zip(*(batch.column(c).to_pylist() for c in ("archive", "member_path", "content"))):
-                if archive != name:
-                    if z:
-                        yield closed()
-                    store, at = fs.FileSystem.from_uri(folder) if ":" in folder.partition("/")[0] else (fs.LocalFileSystem(), folder)
-                    path = posixpath.join(at, f"{archive}.zip")
-                    store.create_dir(posixpath.dirname(path))
-                    name, target, n = archive, store.open_output_stream(path), 0
-                    z = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
-                z.writestr(zipfile.ZipInfo(member), content or b"", zipfile.ZIP_DEFLATED)
-                n += 1
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                for archive, member, content in zip(*(part.column(c).to_pylist() for c in ("archive", "member_path", "content"))):
+                    if archive != name:
+                        if z:
+                            yield closed()
+                        store, at = fs.FileSystem.from_uri(folder) if ":" in folder.partition("/")[0] else (fs.LocalFileSystem(), folder)
+                        path = posixpath.join(at, f"{archive}.zip")
+                        store.create_dir(posixpath.dirname(path))
+                        name, z = archive, _Writer(store.open_output_stream(path, buffer_size=CHUNK))
+                    z.add(member, content or b"")
         if z:
             yield closed()
 
@@ -74,21 +109,95 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length")
 
 
+def _directory(file: pa.NativeFile) -> tuple[int, int, int]:
+    """Where the directory of an archive begins, its bytes, and what is to be added to the places that it gives."""
+    length = file.size()
+    back = min(length, END.size + WIDE_AT.size + 0xFFFF)
+    file.seek(length - back)
+    tail = file.read(back)
+    found = tail.rfind(b"PK\5\6")
+    if found < 0 or len(tail) - found < END.size:
+        raise zipfile.BadZipFile("File is not a zip file")
+    *_, size, start, _ = END.unpack_from(tail, found)
+    end = length - back + found
+    if found >= WIDE_AT.size and tail[found - WIDE_AT.size : found].startswith(b"PK\6\7"):
+        at = end - WIDE_AT.size - WIDE_END.size
+        file.seek(max(0, at))
+        wide = file.read(WIDE_END.size)
+        if at >= 0 and wide.startswith(b"PK\6\6"):
+            (*_, size, start), end = WIDE_END.unpack(wide), at
+    moved = end - size - start
+    if moved < 0:
+        raise zipfile.BadZipFile("Bad offset for central directory")
+    return start + moved, size, moved
+
+
+def _entries(file: pa.NativeFile, begin: int, size: int, moved: int) -> Iterator[tuple]:
+    """Name, place, packed size, size, checksum, method and flags of each member, the directory read chunk by chunk."""
+    file.seek(begin)
+    held, at, left = b"", 0, size
+
+    def need(n: int) -> None:
+        nonlocal held, at, left
+        while len(held) - at < n:
+            more = file.read(min(CHUNK, left))
+            if not more:
+                raise zipfile.BadZipFile("Truncated central directory")
+            held, at, left = held[at:] + more, 0, left - len(more)
+
+    while left or at < len(held):
+        need(ENTRY.size)
+        mark, _, version, flags, method, _, _, crc, packed, full, named, extras, noted, _, _, _, start = ENTRY.unpack_from(held, at)
+        if mark != ENTRY_MARK:
+            raise zipfile.BadZipFile("Bad magic number for central directory")
+        if version & 0xFF > zipfile.MAX_EXTRACT_VERSION:
+            raise NotImplementedError(f"zip file version {(version & 0xFF) / 10:.1f}")
+        need(ENTRY.size + named + extras + noted)
+        raw, extra = held[at + ENTRY.size : at + ENTRY.size + named], held[at + ENTRY.size + named : at + ENTRY.size + named + extras]
+        at += ENTRY.size + named + extras + noted
+        try:
+            name = raw.decode("utf-8" if flags & UTF8 else "cp437")
+            while len(extra) >= 4:
+                kind, n = struct.unpack_from("<2H", extra)
+                if kind == 1:  # sizes and places beyond 32 bits
+                    wide = list(struct.unpack_from(f"<{n // 8}Q", extra, 4))
+                    full = wide.pop(0) if full == MOST else full
+                    packed = wide.pop(0) if packed == MOST else packed
+                    start = wide.pop(0) if start == MOST else start
+                elif kind == 0x7075 and n > 5 and struct.unpack_from("<BI", extra, 4) == (1, zlib.crc32(raw)):
+                    name = extra[9 : 4 + n].decode()
+                extra = extra[4 + n :]
+        except (UnicodeDecodeError, struct.error, IndexError) as e:
+            raise zipfile.BadZipFile(f"Corrupt entry: {e}") from e
+        yield name.partition("\0")[0], start + moved, packed, full, crc, method, flags
+
+
 def list_members(archives: DataFrame, path: str = "path") -> DataFrame:
-    """One row of ``MEMBERS`` for each file in each archive, from the directories at the archives' ends; an unreadable archive gives one row with a reason."""
+    """One row of ``MEMBERS`` for each file in each archive, from the directories at the archives' ends; an unreadable archive gives one row with a reason.
+
+    A directory is read twice in chunks, to check it and to list it, and never held whole.
+    """
+
+    def listed(name: str) -> Iterator[tuple]:
+        try:
+            with opened(name) as file:
+                where = _directory(file)
+                for _ in _entries(file, *where):
+                    pass
+                for entry in _entries(file, *where):
+                    if not entry[0].endswith("/"):
+                        yield name, *entry, None
+        except FileNotFoundError:
+            yield name, *[None] * 7, "archive_not_found"
+        except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError, pa.ArrowInvalid) as e:
+            yield name, *[None] * 7, f"invalid_zip: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                try:
-                    with opened(name) as file, zipfile.ZipFile(file) as z:
-                        rows = [(name, i.filename, i.header_offset, i.compress_size, i.file_size, i.CRC, i.compress_type, i.flag_bits, None) for i in z.infolist() if not i.is_dir()]
-                except FileNotFoundError:
-                    rows = [(name, *[None] * 7, "archive_not_found")]
-                except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError, pa.ArrowInvalid) as e:
-                    rows = [(name, *[None] * 7, f"invalid_zip: {e}")]
-                for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist([dict(zip(_MEMBERS.names, r)) for r in rows[i : i + 10_000]], schema=_MEMBERS)
+                rows = listed(name)
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(_MEMBERS.names, r)) for r in part], schema=_MEMBERS)
 
     return archives.select(path).mapInArrow(run, MEMBERS)
 
@@ -138,7 +247,7 @@ def read_members(members: DataFrame) -> DataFrame:
                     except (ValueError, OSError, zlib.error) as e:
                         reason = f"bad_member: {e}"
                 rows.append((row["archive_path"], row["member_path"], content, reason))
-                held += len(content or b"")
+                held += len(content or b"") + 1024  # the row itself counts too
                 if held >= BATCH_BYTES:
                     yield out()
                     rows, held = [], 0

@@ -100,3 +100,33 @@ def test_paths_are_resolved_by_scheme(spark, tmp_path):
     for path, (content, reason) in wanted.items():
         assert (None if got[path]["content"] is None else bytes(got[path]["content"])) == content, path
         assert got[path]["reason"] == reason if reason is None else got[path]["reason"].startswith(reason), path
+
+
+def test_archives_of_many_members_are_written_and_listed_in_little_memory(tmp_path):
+    import tracemalloc
+
+    names = [f"train/{i:06d}.png" for i in range(70_000)]  # more than the plain form of an end can count
+    path = str(tmp_path / "many.zip")
+    tracemalloc.start()
+    z = ranges._Writer(ranges.fs.LocalFileSystem().open_output_stream(path))
+    for n in names:
+        z.add(n, b"content of " + n.encode())
+    z.close()
+    with ranges.opened(path) as file:
+        count = sum(1 for _ in ranges._entries(file, *ranges._directory(file)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == len(names) and peak < 24 << 20
+    with zipfile.ZipFile(path) as check:
+        assert check.namelist() == names and check.read(names[66_000]) == b"content of " + names[66_000].encode() and check.testzip() is None
+
+
+def test_a_directory_is_listed_as_by_the_library(tmp_path):
+    path = tmp_path / "odd.zip"
+    archive(path, [("a.png", b"a"), ("d/", b""), ("é/ü.PNG", b"u" * 900), ("s.png", b"")], s=zipfile.ZIP_STORED)
+    for before, after in ((b"", b""), (b"some bytes in front", b"")):
+        moved = tmp_path / f"moved{len(before)}.zip"
+        moved.write_bytes(before + path.read_bytes() + after)
+        with zipfile.ZipFile(moved) as z, ranges.opened(str(moved)) as file:
+            want = [(i.filename, i.header_offset, i.compress_size, i.file_size, i.CRC, i.compress_type, i.flag_bits) for i in z.infolist()]
+            assert list(ranges._entries(file, *ranges._directory(file))) == want
