@@ -188,33 +188,32 @@ def transform_survival(clean: DataFrame, variants: DataFrame, threshold: float,
 def best_matches(uploads: DataFrame, posts: DataFrame, key: str, vector: str, order: str) -> DataFrame:
     """``key, best_cluster, best_sim``: the nearest post of each upload, the newest (greatest ``order``) among equals; only positive cosines count.
 
-    Uploads are one batch; they are read in blocks of ``BLOCK_ROWS`` that each task
-    compares with its own part of the posts, and partial bests are combined.
+    Blocks of uploads meet blocks of posts, ``BLOCK_ROWS`` rows of each in a task, and
+    partial bests are combined. A task holds one strip of their product.
     """
+    cells = STRIP_CELLS
     asked = uploads.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    schema = posts.select(F.col("similarity_cluster").alias("best_cluster"), F.col(order).alias("_at")).schema
-    out = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toPandas()  # about BLOCK_ROWS rows
-        keys, matrix = part["k"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float) if len(part) else np.zeros((0, 1))
-        kept = posts.sparkSession.sparkContext.broadcast((keys, matrix))
-
-        def nearest(batches: Iterator[pd.DataFrame], kept=kept) -> Iterator[pd.DataFrame]:
-            keys, matrix = kept.value
-            for frame in batches:
-                if not len(frame) or not len(keys):
-                    continue
-                frame = frame.sort_values("_at", ascending=False, kind="stable", ignore_index=True)
-                sims = np.round(matrix @ np.stack(frame["v"].to_numpy()).astype(float).T, 12)
-                at = sims.argmax(1)
-                yield pd.DataFrame({"k": keys, "best_cluster": frame["best_cluster"].to_numpy()[at], "_at": frame["_at"].to_numpy()[at], "best_sim": sims[np.arange(len(keys)), at]})
-
-        known = posts.where(F.col(vector).isNotNull()).select(F.col("similarity_cluster").alias("best_cluster"), F.col(order).alias("_at"), F.col(vector).alias("v"))
-        kinds = f"k {uploads.schema[key].dataType.simpleString()}, best_cluster {schema['best_cluster'].dataType.simpleString()}, _at {schema['_at'].dataType.simpleString()}, best_sim double"
-        found = known.mapInPandas(nearest, kinds)
-        out = found if out is None else out.unionByName(found)
+    known = posts.where(F.col(vector).isNotNull()).select(F.col("similarity_cluster").alias("best_cluster"), F.col(order).alias("_at"), F.col(vector).alias("v"))
+    n, m = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (asked, known))
+    place = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = asked.select("k", "v", place(n, "k").alias("i"), each(m).alias("j"))
+    right = known.select("best_cluster", "_at", "v", each(n).alias("i"), place(m, "_at", "v").alias("j"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in ("k", "best_cluster", "_at", "best_sim")})
+        b = b.sort_values(["_at", "best_cluster"], ascending=False, ignore_index=True)
+        x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
+        at, best = np.zeros(len(x), int), np.zeros(len(x))
+        for s in strips(len(x), len(y), cells):
+            sims = np.round(x[s] @ y.T, 12)
+            at[s], best[s] = sims.argmax(1), sims.max(1)
+        return pd.DataFrame({"k": a["k"].to_numpy(), "best_cluster": b["best_cluster"].to_numpy()[at], "_at": b["_at"].to_numpy()[at], "best_sim": best})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    kinds = f"k {kind(asked, 'k')}, best_cluster {kind(known, 'best_cluster')}, _at {kind(known, '_at')}, best_sim double"
+    out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(nearest, kinds)
     best = out.where("best_sim > 0").groupBy("k").agg(F.max(F.struct("best_sim", "_at", "best_cluster")).alias("b"))
     return best.select(F.col("k").alias(key), F.col("b.best_cluster").alias("best_cluster"), F.col("b.best_sim").alias("best_sim"))
 
