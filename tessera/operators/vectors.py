@@ -238,8 +238,9 @@ def annotate_similarity(posts: DataFrame, key: str = "image_id", vector: str = "
 
     Without a vector the former score stays, or 0. Members of one cluster are
     compared in blocks: a cluster's rows are dealt into chunks of ``BLOCK_ROWS``
-    and only chunk pairs meet in a task.
+    and only chunk pairs meet in a task, which holds one strip of their product.
     """
+    cells = STRIP_CELLS
     rows = posts.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
     sizes = rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"), F.count(F.lit(1)).alias("m")).where("m > 1")
     dealt = rows.join(sizes, "c").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks").cast("long")).cast("int"))
@@ -253,11 +254,17 @@ def annotate_similarity(posts: DataFrame, key: str = "image_id", vector: str = "
             a, b = members[members["chunk"] == i], members[members["chunk"] == j]
             if not len(a) or not len(b):
                 continue
-            sims = np.stack(a["v"].to_numpy()).astype(float) @ np.stack(b["v"].to_numpy()).astype(float).T
-            sims[a["k"].to_numpy()[:, None] == b["k"].to_numpy()] = -np.inf
-            out.append(pd.DataFrame({"k": a["k"].to_numpy(), "s": sims.max(1)}))
+            x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
+            a, b = a["k"].to_numpy(), b["k"].to_numpy()
+            best, other = np.zeros(len(x)), np.full(len(y), -np.inf)
+            for s in strips(len(x), len(y), cells):
+                sims = x[s] @ y.T
+                if i == j:  # a key lies in one chunk
+                    sims[a[s][:, None] == b] = -np.inf
+                best[s], other = sims.max(1), np.maximum(other, sims.max(0))
+            out.append(pd.DataFrame({"k": a, "s": best}))
             if i != j:
-                out.append(pd.DataFrame({"k": b["k"].to_numpy(), "s": sims.max(0)}))
+                out.append(pd.DataFrame({"k": b, "s": other}))
         return pd.concat(out) if out else pd.DataFrame({"k": [], "s": []})
 
     kind = posts.schema[key].dataType.simpleString()
