@@ -16,6 +16,8 @@ the clusters that it changes. Content hashes have buckets of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +27,7 @@ from tessera.functions.images import describe_images
 from tessera.functions.scoring import ROBUST_UPLOAD, confidence, filename_heuristic, label_for, robustness
 from tessera.operators.feed import recalculate_clusters
 from tessera.operators.validate import first_reason
-from tessera.operators.vectors import BLOCK_ROWS, all_pairs, annotate_similarity, dot
+from tessera.operators.vectors import BLOCK_ROWS, STRIP_CELLS, all_pairs, annotate_similarity, dot, strips
 from tessera.plans.ordinals import number_rows
 from tessera.plans.running import running
 from tessera.plans.scratch import new_path, stage
@@ -91,31 +93,38 @@ def _blocks(df: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 def open_clusters(asked: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """``at, similarity_cluster``: the clusters in which some member may reach ``threshold`` with the vector (``at``, ``vec``)."""
+    cells, none = STRIP_CELLS, F.lit(None).cast("double")
     left, n = _blocks(asked, "at")
     right, m = _blocks(clusters.where("pivot is not null").select("similarity_cluster", "pivot", "angle", "length"), "similarity_cluster")
-    left = left.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("at", "vec", F.col("_b").alias("i"), F.col("_o").alias("j"))
-    right = right.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("similarity_cluster", "pivot", "angle", "length", F.col("_o").alias("i"), F.col("_b").alias("j"))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = left.select(F.lit(True).alias("asks"), F.col("at").alias("key"), F.col("vec").alias("v"), none.alias("angle"), none.alias("length"), F.col("_b").alias("i"), each(m).alias("j"))
+    right = right.select(F.lit(False).alias("asks"), F.col("similarity_cluster").alias("key"), F.col("pivot").alias("v"), "angle", "length", each(n).alias("i"), F.col("_b").alias("j"))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = pd.concat(list(batches))
+        a, b = both[both["asks"]], both[~both["asks"]]
         if not len(a) or not len(b):
-            return pd.DataFrame({"at": [], "similarity_cluster": []})
-        x, y = _stack(a["vec"]), _stack(b["pivot"])
+            return
+        x, y = _stack(a["v"]), _stack(b["v"])
         size, other = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        angle = np.arccos(np.clip(x @ y.T / np.maximum(size[:, None] * other, 1e-300), -1.0, 1.0))
-        nearest = np.maximum(0.0, angle - b["angle"].to_numpy() * (1 + SLACK) - SLACK)
-        bound = size[:, None] * b["length"].to_numpy() * np.cos(nearest) * (1 + SLACK) + SLACK
-        i, j = np.nonzero((bound >= threshold) & (nearest < np.pi / 2))
-        return pd.DataFrame({"at": a["at"].to_numpy()[i], "similarity_cluster": b["similarity_cluster"].to_numpy()[j]})
+        keys, named, spread, length = a["key"].to_numpy(), b["key"].to_numpy(), b["angle"].to_numpy() * (1 + SLACK) + SLACK, b["length"].to_numpy()
+        for s in strips(len(x), len(y), cells // 4):  # several arrays of that size
+            angle = np.arccos(np.clip(x[s] @ y.T / np.maximum(size[s][:, None] * other, 1e-300), -1.0, 1.0))
+            nearest = np.maximum(0.0, angle - spread)
+            bound = size[s][:, None] * length * np.cos(nearest) * (1 + SLACK) + SLACK
+            i, j = np.nonzero((bound >= threshold) & (nearest < np.pi / 2))
+            yield pd.DataFrame({"at": keys[s][i], "similarity_cluster": named[j]})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "at long, similarity_cluster long")
+    return left.unionByName(right).groupBy("i", "j").applyInPandas(meet, "at long, similarity_cluster long")
 
 
 def nearest_members(asked: DataFrame, posts: DataFrame) -> DataFrame:
     """``at, sim, created_at, image_id, similarity_cluster``: the best member of the clusters that each row of ``asked`` (at, vec, similarity_cluster) names, the newest among equals.
 
     Long clusters are compared in chunks of ``BLOCK_ROWS`` on both sides; small ones
-    share tasks.
+    share tasks. A task holds one strip of a product.
     """
+    cells = STRIP_CELLS
     sized = lambda df, name: df.groupBy("similarity_cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
     known = posts.where(F.size("embedding") > 0).select("similarity_cluster", "embedding", "created_at", "image_id")
     facts = sized(asked, "m").join(sized(known, "n"), "similarity_cluster")
@@ -132,9 +141,12 @@ def nearest_members(asked: DataFrame, posts: DataFrame) -> DataFrame:
             own = members.get(cluster)
             if own is None:
                 continue
-            sims = np.round(_stack(rows["vec"]) @ _stack(own["embedding"]).T, 12)
-            best = sims.argmax(1)
-            out.append(pd.DataFrame({"at": rows["at"].to_numpy(), "sim": sims[np.arange(len(rows)), best], "created_at": own["created_at"].to_numpy()[best], "image_id": own["image_id"].to_numpy()[best], "similarity_cluster": cluster}))
+            x, y = _stack(rows["vec"]), _stack(own["embedding"])
+            best, most = np.zeros(len(x), int), np.zeros(len(x))
+            for s in strips(len(x), len(y), cells):
+                sims = np.round(x[s] @ y.T, 12)
+                best[s], most[s] = sims.argmax(1), sims.max(1)
+            out.append(pd.DataFrame({"at": rows["at"].to_numpy(), "sim": most, "created_at": own["created_at"].to_numpy()[best], "image_id": own["image_id"].to_numpy()[best], "similarity_cluster": cluster}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("at", "sim", "created_at", "image_id", "similarity_cluster")})
 
     found = left.groupBy("l", "i", "j").cogroup(right.groupBy("r", "i", "j")).applyInPandas(compare, "at long, sim double, created_at timestamp, image_id string, similarity_cluster long")
