@@ -155,3 +155,45 @@ def test_pairs_come_in_strips(spark, monkeypatch):
     got = vectors.all_pairs(frame(spark, x), "vec_id", "embedding", keep, "n long").toPandas()["n"]
     assert len(got) > 60 / 32 * 3
     assert vectors.cosine_matrix(frame(spark, x)).count() == 60 * 59 // 2
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(vectors, "BLOCKS", 5)
+    x = unit(np.random.default_rng(1).normal(size=(60, 8)))
+    assert vectors._blocks(frame(spark, x), "vec_id", "embedding")[1] <= 5  # 30 before
+    sims = x @ x.T
+    got = {(r["src"], r["dst"]): r["sim"] for r in vectors.cosine_matrix(frame(spark, x)).collect()}
+    assert len(got) == 60 * 59 // 2 and all(abs(s - sims[p]) < 1e-12 for p, s in got.items())
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 8 * 4)  # four vectors
+    assert vectors._blocks(frame(spark, x), "vec_id", "embedding")[1] == 15
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "ties", "doubles", "keys", "nan", "huge", "crowded"])
+def test_pairwise_stats_in_two_passes(spark, monkeypatch, kind):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "STRIP_CELLS", 100)
+    monkeypatch.setattr(vectors, "READ", 8)
+    passes, pairs = [], vectors.all_pairs
+    monkeypatch.setattr(vectors, "all_pairs", lambda *a, **k: (passes.append(1), pairs(*a, **k))[1])
+    x, keys = unit(np.random.default_rng(5).normal(size=(61, 8))), list(range(61))
+    if kind == "copies":
+        x = x[np.arange(61) % 7]
+    elif kind == "ties":
+        x = np.eye(8)[np.arange(61) % 8]
+    elif kind == "doubles":  # cosines that single precision cannot tell apart
+        x = unit(np.ones((61, 8)) + 1e-9 * x)
+    elif kind == "keys":
+        keys = [k // 2 for k in keys]
+    elif kind == "nan":
+        x[3, 2] = np.nan
+    elif kind == "huge":
+        x = x * 1e20
+    elif kind == "crowded":
+        monkeypatch.setattr(vectors, "MIDDLE", 0)
+    rows = [(k, [float(c) for c in v]) for k, v in zip(keys, x)]
+    got = vectors.pairwise_stats(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).first()
+    sims = np.array([x[i] @ x[j] for i in range(61) for j in range(61) if keys[i] < keys[j]])
+    sims = sims[~np.isnan(sims)]
+    assert np.allclose(got[:4], [sims.min(), np.median(sims), sims.mean(), sims.max()], rtol=1e-12, atol=1e-14) and got["n_pairs"] == len(sims)
+    assert len(passes) == 2 or kind in ("nan", "huge", "crowded")  # 3 before
